@@ -60,3 +60,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         labels = saved(step.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("changed")))
         if labels.where("changed").isEmpty():
             return labels.select("id", "component")
+
+
+#: Ids that a join may broadcast (about 16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """``df`` joined (left_semi, left_anti) with a one-column table of distinct ids.
+
+    The ids are saved and counted first: up to ``BROADCAST_IDS`` they are broadcast, so that the
+    wide rows of ``df`` stay where they are; beyond that both sides are shuffled.
+    """
+    few = saved(ids)
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, column, how)

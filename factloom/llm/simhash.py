@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, saved
+from .common import connected_components, join_ids, saved
 from .words import chunks, split_words
 
 BLOCK = 1 << 15
@@ -218,7 +218,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, similarity: float)
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    s = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(sets, "doc_id long, s binary"))
+    s = saved(join_ids(docs, ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary").dropDuplicates(["doc_id"]))
     both = pairs.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     return both.select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long")
 
@@ -227,4 +227,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     """The documents without the later members of each group of near copies, in all their columns."""
     groups = near_duplicates(docs, words, similarity)
     gone = groups.where("doc_id > group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)

@@ -102,7 +102,9 @@ def _lines(docs: DataFrame, ranks: np.ndarray, similarity: float) -> DataFrame:
                 first = np.flatnonzero(np.diff(line, prepend=-1))
                 n = np.diff(np.append(first, len(line)))
                 place = np.arange(len(h)) - np.repeat(first, n)
-                bits = [np.bitwise_xor.reduceat(np.uint64(1) << ((h >> np.uint64(s)) & np.uint64(63)), first).view(np.int64) for s in (5, 17)]
+                # 128 parity bits: every word flips one of them
+                flip, half = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)) & np.uint64(1)
+                bits = [np.bitwise_xor.reduceat(np.where(half == k, flip, np.uint64(0)), first).view(np.int64) for k in (0, 1)]
                 wanted = (place < np.repeat(prefix_length(n, similarity), n)) & (rank > 0) & (np.repeat(n, n) > 1 / (1 - similarity) - 1 - 1e-9)
                 cut = np.add.reduceat(wanted, first).cumsum()[:-1]
                 yield pd.DataFrame({
@@ -134,9 +136,7 @@ def survivors(x: pd.DataFrame, y: pd.DataFrame, similarity: float) -> np.ndarray
     if not len(i):
         return np.zeros((0, 2), np.int64)
     most = n[i, 0] + m[0, j] - 2 * need[i, j]
-    good = np.ones(len(i), bool)
-    for b in ("b1", "b2"):
-        good &= _popcount(x[b].to_numpy()[i] ^ y[b].to_numpy()[j]) <= most
+    good = sum(_popcount(x[b].to_numpy()[i] ^ y[b].to_numpy()[j]) for b in ("b1", "b2")) <= most
     return np.stack([i[good], j[good]], 1)
 
 
@@ -180,7 +180,7 @@ def _stream(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataF
 def candidate_edges(classes: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
     """Edges ``a``, ``b`` between classes that hold every candidate pair in one component."""
     posts = classes.select("id", "n", "b1", "b2", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("place"))))
-    dealt = _celled(saved(posts.toDF("id", "n", "b1", "b2", "word", "place")), "word", cell)
+    dealt = _celled(posts.toDF("id", "n", "b1", "b2", "word", "place"), "word", cell)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _stream(batches, ["word", "cell"]):
@@ -216,10 +216,9 @@ def _aligned(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray, similarity: float)
     need = _overlap(n, m, similarity)
     most = n + m - 2 * need
     ok = (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= need)
-    for b in ("b1", "b2"):
-        x = pdf[b].to_numpy()
-        ok &= _popcount(x[i] ^ x[j]) <= most
-    return np.stack([i[ok], j[ok]], 1)
+    i, j, most = i[ok], j[ok], most[ok]
+    good = sum(_popcount(x[i] ^ x[j]) for x in (pdf["b1"].to_numpy(), pdf["b2"].to_numpy())) <= most
+    return np.stack([i[good], j[good]], 1)
 
 
 def _celled(rows: DataFrame, key: str, cell: int) -> DataFrame:

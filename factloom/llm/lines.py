@@ -60,9 +60,15 @@ def rarity(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"k": at, "n": total[at]})
 
     counted = docs.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    found = counted.select("k", F.when(F.col("n") <= 1, 0).otherwise(F.least(F.lit(255), F.round(F.log2("n") * 8) + 1)).cast("short").alias("r")).toPandas()
+    found = counted.select("k", F.when(F.col("n") <= 1, 0).otherwise(F.least(F.lit(255), F.round(F.log2("n") * 8) + 1)).cast("short").alias("r"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"k": [pdf["k"].to_numpy(np.int32).tobytes()], "r": [pdf["r"].to_numpy(np.uint8).tobytes()]})
+
     out = np.zeros(1 << RARITY_BITS, np.uint8)
-    out[found["k"]] = found["r"]
+    for x in found.mapInPandas(pack, "k binary, r binary").toLocalIterator():  # five bytes a bucket
+        out[np.frombuffer(x["k"], np.int32)] = np.frombuffer(x["r"], np.uint8)
     return out
 
 

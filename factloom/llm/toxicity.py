@@ -113,12 +113,15 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
         words += len(s.features)
     x, first, d = np.concatenate(feats), np.concatenate(firsts), np.concatenate(docs)
     owner = np.repeat(d, np.diff(np.append(first, len(x))))
-    pairs = np.unique(np.stack([np.repeat(owner, x.shape[1]), x.ravel()], 1), axis=0)
-    used = np.flatnonzero(np.bincount(pairs[:, 1], minlength=1 << BITS) >= least)
+    # one number for a document and a feature, so that a sort of plain integers finds the distinct ones
+    pairs = np.unique((np.repeat(owner, x.shape[1]) << BITS) | x.ravel())
+    used = np.flatnonzero(np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= least)
+    del pairs, owner
     place = np.full(1 << BITS, len(used))  # the features left out share a weight that stays 0
     place[used] = np.arange(len(used))
-    flat = place[x]
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(x))))
+    flat = place[x].astype(np.int32)
+    del x, place
+    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
     w, m, v = (np.zeros(len(used) + 2) for _ in range(3))
     w[-1] = -4.0
     share = weight / weight.sum()
@@ -129,7 +132,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
         # d loss / d z: sigmoid(z) for clean documents, -sigmoid(z) (1 - p) / p for toxic ones
         factor = np.where(toxic, -(1 - p) / np.maximum(p, 1e-9), 1.0) * share
         g = factor[d] * _sigmoid(z)
-        grad = np.append(np.bincount(flat.ravel(), np.repeat(g[sentence], x.shape[1]), len(used) + 1), g.sum())
+        grad = np.append(np.bincount(flat.ravel(), np.repeat(g[sentence], flat.shape[1]), len(used) + 1), g.sum())
         grad[:-2] += decay * w[:-2]
         grad[-2] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2

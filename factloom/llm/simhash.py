@@ -9,7 +9,7 @@ also tries each single bit flip of the second) finds all of them without pairing
 members of a segment; the longer chains and the full distance are checked on the joined rows.
 
 ``near_duplicates`` serves corpora in which copies have up to a tenth of their shingles
-changed. A 64-bit SimHash then differs in 5 to 13 bits, which no exact filter can find at
+changed. A 64-bit SimHash then often differs in 5 to 15 bits, which no exact filter can find at
 scale, so there the fingerprint links are joined by candidates from minimum hashes of the same
 shingles, and every candidate of either kind is verified by the exact Jaccard similarity.
 

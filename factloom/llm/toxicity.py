@@ -146,18 +146,21 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> np.ndarray:
     """Weights fitted on labelled ``docs``; ``usable`` says which rows may teach.
 
-    The sample has about ``sample`` rows of either label, chosen by a hash of the id. One task
-    fits it; only the weights, of fixed size, come to the driver.
+    The sample has about ``sample`` ids of either label, chosen by a hash of the id, so its ids are
+    broadcast and texts stay where they are. Should rows repeat their ids, the sample ends at
+    ``4 * sample`` rows in order of a hash. One task fits it; only the weights, of fixed size, come
+    to the driver.
     """
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic")
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
     rows = docs.where(usable) if usable is not None else docs
     rows = rows.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).where("text <> ''")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rate = {k: min(1.0, sample / max(1, counts.get(k, 0))) for k in (0, 1)}
     u = F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = known.where(u < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
+    taught = rows.join(F.broadcast(drawn), "doc_id").select("text", "toxic", F.col("doc_id").cast("string").alias("id"))
     # the sample is bounded, so its texts may meet in one task
-    taught = rows.join(drawn, "doc_id").select("text", "toxic", F.col("doc_id").cast("string").alias("id"))
+    taught = taught.orderBy(F.xxhash64("id", "text"), "id", "text", "toxic").limit(4 * sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frames = list(batches)

@@ -33,6 +33,8 @@ from .common import connected_components, join_ids, saved
 from .words import chunks, split_words
 
 BLOCK = 1 << 15
+#: Bytes of texts whose words are found at once.
+PART = 1 << 18
 
 
 def shingles(text: str | None, words: int) -> list[int]:
@@ -129,7 +131,7 @@ _ADD = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
 def _shingle_sets(texts: list[str | None], words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text, whose words are lower-cased."""
     blobs = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    for _, part in chunks(blobs):
+    for _, part in chunks(blobs, PART):
         w = split_words(part)
         bounds = np.searchsorted(w.doc, np.arange(len(part) + 1))
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .words import chunks, mix
 
 BITS = 18
+#: Bytes of texts, and words of the sample, that are worked on at once.
+PART, STEP = 1 << 18, 1 << 17
 SAMPLE = 3_000
 TRAIN_CHARS = 20_000
 STEPS, RATE, DECAY = 120, 0.2, 1e-4
@@ -64,7 +66,7 @@ class Sentences:
         self.doc = np.searchsorted(offset, start[at_first], side="right") - 1
         self.begin, self.end = start[at_first] - offset[self.doc], end[last] - offset[self.doc]
         if not len(start):
-            self.features, self.first = np.zeros((0, 1 + len(CUTS)), np.int64), at_first
+            self.features, self.first = np.zeros((0, 1 + len(CUTS)), np.int32), at_first
             return
         at = np.flatnonzero(letter)
         length = end - start
@@ -77,7 +79,7 @@ class Sentences:
         order = np.lexsort((hashes[0], sentence))
         fresh = np.append(True, (np.diff(hashes[0][order].view(np.int64)) != 0) | (np.diff(sentence[order]) != 0))
         kept = order[fresh]
-        self.features = np.stack([(mix(h[kept]) >> np.uint64(64 - BITS)).astype(np.int64) for h in hashes], 1)
+        self.features = np.stack([(mix(h[kept]) >> np.uint64(64 - BITS)).astype(np.int32) for h in hashes], 1)
         self.first = np.searchsorted(sentence[kept], self.ids)
 
 
@@ -104,35 +106,41 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
     small where gradients are, so words of a few documents gain little: labels are noisy.
     """
     feats, firsts, docs = [], [], []
-    words = 0
-    for begin, blobs in chunks([t.encode("utf-8", "surrogatepass") for t in texts]):
+    words, taught_by = 0, np.zeros(1 << BITS, np.int64)
+    for begin, blobs in chunks([t.encode("utf-8", "surrogatepass") for t in texts], PART):
         s = Sentences([b.decode("utf-8", "surrogatepass") for b in blobs])
         feats.append(s.features)
         firsts.append(s.first + words)
         docs.append(s.doc + begin)
         words += len(s.features)
-    x, first, d = np.concatenate(feats), np.concatenate(firsts), np.concatenate(docs)
-    owner = np.repeat(d, np.diff(np.append(first, len(x))))
-    # one number for a document and a feature, so that a sort of plain integers finds the distinct ones
-    pairs = np.unique((np.repeat(owner, x.shape[1]) << BITS) | x.ravel())
-    used = np.flatnonzero(np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS) >= least)
-    del pairs, owner
-    place = np.full(1 << BITS, len(used))  # the features left out share a weight that stays 0
+        # a text is in one chunk, so its distinct features are counted there
+        owner = np.repeat(s.doc, np.diff(np.append(s.first, len(s.features))))
+        pairs = np.unique((np.repeat(owner, 1 + len(CUTS)) << BITS) | s.features.ravel())
+        taught_by += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+    first, d = np.concatenate(firsts), np.concatenate(docs)
+    used = np.flatnonzero(taught_by >= least)
+    place = np.full(1 << BITS, len(used), np.int32)  # the features left out share a weight that stays 0
     place[used] = np.arange(len(used))
-    flat = place[x].astype(np.int32)
-    del x, place
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(flat))))
+    flat = np.concatenate([place[x] for x in feats])
+    del feats
+    sentence = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(flat))))
+    steps_of = [slice(i, i + STEP) for i in range(0, len(flat), STEP)]
+    each = np.zeros(len(flat))
     w, m, v = (np.zeros(len(used) + 2) for _ in range(3))
     w[-1] = -4.0
     share = weight / weight.sum()
     for t in range(1, steps + 1):
-        z = np.add.reduceat(w[flat].sum(1), first) + w[-1]
+        for i in steps_of:
+            each[i] = w[flat[i]].sum(1)
+        z = np.add.reduceat(each, first) + w[-1]
         keep = np.bincount(d, _softplus(z), len(texts))  # -log of the chance of no toxic sentence
         p = -np.expm1(-keep)
         # d loss / d z: sigmoid(z) for clean documents, -sigmoid(z) (1 - p) / p for toxic ones
         factor = np.where(toxic, -(1 - p) / np.maximum(p, 1e-9), 1.0) * share
         g = factor[d] * _sigmoid(z)
-        grad = np.append(np.bincount(flat.ravel(), np.repeat(g[sentence], flat.shape[1]), len(used) + 1), g.sum())
+        grad = np.append(np.zeros(len(used) + 1), g.sum())
+        for i in steps_of:
+            grad[:-1] += np.bincount(flat[i].ravel(), np.repeat(g[sentence[i]], flat.shape[1]), len(used) + 1)
         grad[:-2] += decay * w[:-2]
         grad[-2] = 0
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -176,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
 
 def _scored(texts: pd.Series, weights: np.ndarray) -> Iterator[tuple[int, int, Sentences, np.ndarray, np.ndarray]]:
     blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for begin, part in chunks(blobs):
+    for begin, part in chunks(blobs, PART):
         s = Sentences([b.decode("utf-8", "surrogatepass") for b in part])
         p, z = scores(weights, s, len(part))
         yield begin, len(part), s, p, z

@@ -12,8 +12,18 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that Spark hands to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the input tables."""
+    """One of the input tables.
+
+    Texts may be long, so the session's Arrow batches are made smaller; the batch size has no
+    influence on results.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1 +1,6 @@
-"""Registered queries and their SQL."""
+"""Registered queries: ``QUERIES`` and, where SQL has the same, ``SQL``."""
+
+from . import audits  # noqa: F401
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

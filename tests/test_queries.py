@@ -5,8 +5,8 @@ import os
 import duckdb
 import pytest
 
+from factloom import plans
 from factloom.operators import graph, relational
-from factloom.plans import queries as plans
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -3,7 +3,7 @@
 Keys are (text hash, doc_id). Each record enters the sample with a probability in proportion to
 its share of the bytes and of the rows, the sample's quantiles become the boundaries of many
 fine ranges, every record goes to its range, and ranges that turn out overfull are subdivided by
-a sample of their own. The exact bytes of all ranges then decide where shards begin, so shard
+samples of their own until no new boundary is found. The exact bytes of all ranges then decide where shards begin, so shard
 sizes are near equal whatever the sample missed. Equal texts have neighbouring keys: a group of
 copies stays in one range and one shard unless the group alone is overfull, and then it is
 divided by ``doc_id``.
@@ -84,7 +84,7 @@ def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[
     """Splitters, and for every range its shard and the rows before it in the shard."""
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     cuts = _splitters(_sample(rows, total, count, sample), ranges)
-    for _ in range(3):
+    while True:  # every round adds splitters, so that ``sums`` are those of the final ranges
         placed = saved(_ranged(rows, cuts))
         sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas().sort_values("range")
         over = sums[(sums["bytes"] > 4 * total / ranges) & (sums["bytes"] > total * WHOLE / shards) & (sums["rows"] > 1)]

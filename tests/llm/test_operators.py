@@ -119,6 +119,14 @@ def test_sharding_keeps_small_groups_together_and_whole_records(docs, empty):
     assert sharding.place(empty, 4).count() == 0 and sharding.shard_records(empty).count() == 0
 
 
+def test_sharding_subdivides_until_no_range_is_overfull(spark):
+    rows = [(i, f"{i}") for i in range(20_000)] + [(100_000 + k, f"{k}" * 13_000) for k in range(6)]
+    got = sharding.place(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, ranges=64).collect()
+    assert sorted((x.doc_id, x["size"]) for x in got) == sorted((i, size_of(t)) for i, t in rows)
+    for k in range(4):
+        assert sorted(x.slot for x in got if x.shard == k) == list(range(sum(x.shard == k for x in got)))
+
+
 # --- 2 line dedup -------------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ Three fixed patterns give the base spans. The method adds spans of kind ``entrop
 slides over each candidate string (a run of key-like characters that holds a digit), keeping
 counts per character that change by one character in and one out, and so the window's Shannon
 entropy; a span runs from the first to the last window whose entropy reaches the threshold of
-the candidate's character class. Candidates on the allow list (UUIDs, candidates that meet a
-base span, and strings named by the caller) are suppressed.
+the candidate's character class. Base spans are cut out of a candidate, and each piece that is
+left and holds a window is scanned by itself. UUIDs and strings named by the caller are
+suppressed.
 
 Defined cases: a null or empty text has no spans, counts of zero and the digest of the empty
 string; offsets count code points; repeated rows are scanned alike; other columns are ignored.
@@ -93,16 +94,31 @@ def _windows(piece: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(piece)), start, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
+def _free(x: Column, base: Column) -> Column:
+    """The pieces of a candidate of ``WINDOW`` characters or more that no base span (by start) covers."""
+
+    def piece(begin: Column, end: Column) -> Column:
+        own = F.struct(begin.alias("start"), F.lit(3).alias("kind"), end.alias("end"), F.substr(x["piece"], begin - x["start"] + 1, end - begin).alias("piece"))
+        return F.when(end - begin >= WINDOW, F.array(own)).otherwise(F.array().cast(SPAN))
+
+    return F.aggregate(
+        F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+        F.struct(x["start"].alias("at"), F.array().cast(SPAN).alias("out")),
+        lambda s, b: F.struct(F.greatest(s["at"], b["end"]).alias("at"), F.concat(s["out"], piece(s["at"], b["start"])).alias("out")),
+        lambda s: F.concat(s["out"], piece(s["at"], x["end"])),
+    )
+
+
 def find_secrets(docs: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id``, ``base`` and ``added``: arrays of (start, kind, end, piece), by start then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text")).withColumn(
         "base", F.array_sort(F.concat(_spans(F.col("text"), 0, ASSIGN, 2, ASSIGN_MIN), _spans(F.col("text"), 1, ACCESS), _spans(F.col("text"), 2, HEX)))
     )
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     listed = lambda x: x["piece"].rlike(UUID) | x["piece"].isin(*allow) if allow else x["piece"].rlike(UUID)
-    candidates = F.filter(_spans(F.col("text"), 3, CANDIDATE), lambda x: x["piece"].rlike("[0-9]") & free(x) & ~listed(x))
-    scanned = F.transform(candidates, lambda x: F.struct(x.alias("x"), _windows(x["piece"]).alias("w")))
+    candidates = F.filter(_spans(F.col("text"), 3, CANDIDATE), lambda x: x["piece"].rlike("[0-9]") & ~listed(x))
+    pieces = F.filter(F.flatten(F.transform(candidates, lambda x: _free(x, F.col("base")))), lambda x: ~listed(x))
+    scanned = F.transform(pieces, lambda x: F.struct(x.alias("x"), _windows(x["piece"]).alias("w")))
     hits = F.filter(scanned, lambda s: s["w"]["first"] >= 0)
     added = F.transform(
         hits,

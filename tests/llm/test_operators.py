@@ -328,6 +328,26 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("cell", [1024, 32])
+def test_near_duplicates_of_a_star_are_one_group(spark, cell):
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(500, " ".join(base))]
+    for i in range(300):
+        w = list(base)
+        for k in range(0, 300, 50):  # six edits change 30 shingles of 296
+            w[k + r.randrange(5, 45)] = f"e{i}x{k}"
+        rows.append((i if i < 150 else 600 + i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    pairs = [(a, b) for a in sets for b in sets if a < b and alike(a, b)]
+    assert len(pairs) == 300 and all(500 in p for p in pairs)
+    want = components_of(sets, pairs)
+    small = {} if cell == 1024 else {"cell": cell}
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **small)
+    assert {x.doc_id: x.group_id for x in found.collect()} == {i: g for i, g in want.items() if any(i in p for p in pairs)}
+
+
 # --- 7 top-k ------------------------------------------------------------------------------
 
 

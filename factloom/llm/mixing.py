@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import BROADCAST_IDS, WORD, saved
 
 #: Hex digits of a document's place that name its slice: 4096 slices of every source, each
 #: summed as one window. Raise it with the documents of a source.
@@ -93,16 +93,37 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
     """The documents of the mix in training order, as often as it takes them, in their own columns.
 
-    A document of share r = target / source size appears floor(r) times and once more with the
-    fraction that remains, by a hash of its id, so reruns agree and no text is cut. The copies
-    after the first follow in later epochs of the same stream.
+    A source's documents, the longest first, take the difference of the rounded cumulative share
+    r = target / source size after and before each: floor(r) or one more whole copies. Sizes fall
+    along that order, so the words taken miss the target by at most half of the longest document.
+    Every copy stands in its source's stream after the tokens taken before it, first copies before
+    second ones, and its time is the inverse of the cumulative demand as in ``mix``. Ties of the
+    id are broken by the text, then by the row.
     """
-    columns = docs.columns
-    plan = targets(sizes(docs), weights, repeats)
-    plan = saved(plan.select(F.col("source").alias("_s"), F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0D END").alias("_share"), F.col("weight").alias("_w")))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # one row per source, saved, so that Spark knows its size: broadcast if small, else shuffled
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_copies", F.floor(F.col("_share") + u).cast("int")).where("_copies > 0")
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    rows = rows.withColumn("_at", (F.col("_epoch") + F.pmod(F.xxhash64("doc_id", F.lit("place")), F.lit(1 << 40)) / F.lit(float(1 << 40))) / F.col("_copies"))
-    return rows.withColumn("_position", F.expr(time_of("_at", "_w"))).orderBy("_position", "doc_id").select(columns)
+    rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    place = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    sized = rows.select("_row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
+    sized = saved(sized.withColumn("slice", F.substring("place", 1, DIGITS)))
+    plan = targets(sized, weights, repeats)
+    plan = saved(plan.select(F.col("source").alias("s"), "ordinal", F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0D END").alias("share"), "weight"))
+    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("source", "s")
+    # ranks by size, then place: documents before the size, before the slice and within both
+    counts = saved(placed.groupBy("ordinal", "size", "slice").count())
+    same = counts.groupBy("ordinal", "size").agg(F.sum("count").alias("n"))
+    longer = same.select("ordinal", "size", (F.sum("n").over(W.partitionBy("ordinal").orderBy(F.desc("size"))) - F.col("n")).alias("longer"))
+    before = counts.withColumn("before", F.sum("count").over(W.partitionBy("ordinal", "size").orderBy("slice")) - F.col("count")).drop("count").join(longer, ["ordinal", "size"])
+    within = F.row_number().over(W.partitionBy("ordinal", "size", "slice").orderBy("place", "_row"))
+    ranked = placed.join(before, ["ordinal", "size", "slice"]).withColumn("rank", F.col("longer") + F.col("before") + within)
+    taken = ranked.withColumn("copies", F.expr("CAST(floor(rank * share + 0.5D) - floor((rank - 1) * share + 0.5D) AS INT)")).where("copies > 0")
+    taken = saved(taken.select("_row", "ordinal", "weight", "size", "slice", "place", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch")))
+    # tokens taken before every copy: before the epoch and slice, and within both
+    sums = taken.groupBy("ordinal", "epoch", "slice").agg(F.sum("size").alias("words"))
+    source = W.partitionBy("ordinal")
+    offset = sums.select("ordinal", "epoch", "slice", F.sum("words").over(source).alias("total"), (F.sum("words").over(source.orderBy("epoch", "slice")) - F.col("words")).alias("offset"))
+    stream = W.partitionBy("ordinal", "epoch", "slice").orderBy("place", "_row").rowsBetween(W.unboundedPreceding, 0)
+    run = taken.withColumn("run", F.sum("size").over(stream)).join(offset, ["ordinal", "epoch", "slice"])
+    share = "((offset + run - size / 2) / total)"
+    order = saved(run.select("_row", F.expr(f"CASE WHEN total = 0 THEN 0.0D ELSE {time_of(share)} END").alias("_position")))
+    # few copies are broadcast, so that texts are shuffled once; beyond that both sides are
+    found = rows.join(F.broadcast(order) if order.count() <= BROADCAST_IDS else order, "_row")
+    return found.orderBy("_position", "doc_id", "_row").select(docs.columns)

@@ -409,6 +409,33 @@ def test_mix_meets_its_targets(docs, empty):
     assert mixed.columns == docs.columns and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixed_documents_meet_their_targets_to_half_a_document(spark):
+    r = random.Random(13)
+    rows = [(None if i % 3 == 0 else i // 2, f"w{i} " * r.choice((1, 5, 40, 700)), "abcd"[min(3, i % 7)], i) for i in range(1500)]
+    rows += [(9000 + i, f"few{i} " * k, "few", 9000 + i) for i, k in enumerate((3000, 20, 10, 5))] + [(None, "same words here", "null", 9100 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row int").repartition(3)
+    target = {x.source: x.target for x in mixing.targets(mixing.sizes(df)).collect()}
+    longest, taken, copies = {}, dict.fromkeys(target, 0), {}
+    for _, t, s, _ in rows:
+        longest[s] = max(longest.get(s, 0), len(t.split()))
+    got = mixing.mixed_documents(df).collect()
+    for x in got:
+        taken[x.source] += len(x.text.split())
+        copies[x.row] = copies.get(x.row, 0) + 1
+    assert {s: abs(taken[s] - target[s]) <= longest[s] / 2 + 1e-6 for s in target} == dict.fromkeys(target, True)
+    assert max(copies.values()) <= 3
+    again = [x.row for x in mixing.mixed_documents(df).collect()]
+    assert again == [x.row for x in got]
+    # cumulative tokens follow the demand of each source: half of the words by the time of share 0.5
+    run, weight = {}, {s: i % 3 + 1 for i, s in enumerate(sorted(target))}
+    half = {}
+    for k, x in enumerate(got):
+        run[x.source] = run.get(x.source, 0) + len(x.text.split())
+        if x.source not in half and run[x.source] >= taken[x.source] / 2:
+            half[x.source] = k
+    assert half[next(s for s in "abcd" if weight[s] == 1)] < half[next(s for s in "abcd" if weight[s] == 3)]
+
+
 # --- 9 decontamination --------------------------------------------------------------------
 
 

@@ -11,8 +11,8 @@ Character references are decoded, white space inside a block becomes one space,
 trimmed, empty blocks vanish and content blocks are joined by one line break.
 
 Defined cases: null or empty html has empty text; text outside any element is a block like any
-other; unclosed elements end with their parent; a ``<`` that starts no tag is text; repeated
-rows give the same text; other columns are ignored.
+other; unclosed elements end with their parent, but an unclosed script, style, textarea, title or
+xmp takes the rest of the page, as in browsers; a ``<`` that starts no tag is text; repeated rows give the same text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +32,12 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style textarea title noscript template svg math iframe object audio video canvas noembed noframes select button xmp".split())
+RAW_TAGS = frozenset("script style textarea title xmp".split())
+#: Inline elements whose content is markup that never shows as article text.
+OPAQUE_TAGS = frozenset("noscript template svg math iframe object audio video canvas noembed noframes select button".split())
 DROPPED_TAGS = frozenset("head form fieldset legend label datalist output dialog menu option optgroup input".split())
+#: Parts of drawings and formulas that may hold blocks.
+HOLDERS = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside header".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_NAMES = frozenset(
@@ -43,7 +47,7 @@ CONTENT_NAMES = frozenset("article articlebody content entry post main mainconte
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"\s+")
 #: Smoothness between neighbouring blocks and between neighbours under one parent.
@@ -67,7 +71,7 @@ class Block(NamedTuple):
 
 def _element(tag: str, attributes: str, number: int) -> Element:
     lean = 6.0 if tag in CONTENT_TAGS else -6.0 if tag in BOILERPLATE_TAGS else 0.0
-    dropped = tag in DROPPED_TAGS
+    dropped = tag in DROPPED_TAGS or tag in OPAQUE_TAGS
     if attributes.strip():
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -121,21 +125,27 @@ def blocks(page: str) -> list[Block]:
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        # inside an opaque element nothing breaks the text around it
+        opaque = next((k for k, e in enumerate(stack) if e.tag in OPAQUE_TAGS), len(stack))
         if m[1] or m[4]:  # an end tag closes its element and those left open inside
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag in BLOCK_TAGS or any(e.tag in BLOCK_TAGS for e in stack[k:] if k):
+            if any(e.tag in BLOCK_TAGS for e in stack[k:opaque]) if k else tag in BLOCK_TAGS and opaque == len(stack):
                 close()
             if k:
                 del stack[k:]
             continue
+        closed = (m[3] or m[6] or "").rstrip().endswith("/")
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else length
+            if not closed:
+                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                at = end.end() if end else length
             continue
         if tag == "br":
             say(" ")
             continue
-        if tag in BLOCK_TAGS:
+        if tag in BLOCK_TAGS and opaque < len(stack) and stack[opaque].tag in ("svg", "math") and not any(e.tag in HOLDERS for e in stack[opaque + 1 :]):
+            del stack[opaque:]  # a block ends a drawing or formula left open, as in browsers
+        if tag in BLOCK_TAGS and opaque == len(stack):
             close()
             # a new paragraph or item ends the one before it
             ends = ("p",) if tag != "li" else ("li", "p")
@@ -144,7 +154,7 @@ def blocks(page: str) -> list[Block]:
                 if any(e.tag in BLOCK_TAGS and e.tag not in ends for e in stack[inner + 1 :]):
                     break
                 del stack[inner:]
-        if tag not in VOID_TAGS and not (m[3] or m[6] or "").rstrip().endswith("/"):
+        if tag not in VOID_TAGS and not closed:
             number += 1
             stack.append(_element(tag, m[3] or m[6] or "", number))
     close()

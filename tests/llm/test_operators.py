@@ -257,6 +257,21 @@ def test_extraction_keeps_the_article_only(spark):
     assert all(x.n_chars == len(x.text) for x in got)
 
 
+@pytest.mark.parametrize("markup", [
+    '<a href="/hidden-lakes">{}</a>', '<span title="Hidden gems">{}</span>', '<div data-hidden="false">{}</div>', '<div data-id="ad-1">{}</div>', "<p title='id=ad class=ad hidden'>{}</p>",
+    '<svg viewBox="0 0 1 1"/><p>{}</p>', "<svg><path d=x><p>{}</p>", "<div><video src=x></div><p>{}</p>", "<div><button>Buy</div><p>{}</p>", '<object data="x"/>{}', "<p>{}<select><option>no<option>no</select></p>", "<script src=x /><p>{}</p>", "<script>no</script ><p>{}</p>",
+])
+def test_extraction_keeps_text_beside_ordinary_markup(markup):
+    text = "The lakes of the north lie under snow for most of the year, and few people go there before the summer."
+    assert extract.main_text(f"<article><p>{text}</p>{markup.format(text)}<p>{text}</p></article>") == "\n".join([text] * 3)
+
+
+def test_extraction_drops_opaque_and_hidden_elements():
+    text = "The lakes of the north lie under snow for most of the year, and few people go there before the summer."
+    for inner in ("<button><p>no</p></button>", "<select><option>no</option></select>", "<svg><title>no</title><text>no</text></svg>", "<span hidden>no</span>", '<span aria-hidden="true">no</span>', "<iframe src=x>no</iframe>", "<noscript><div>no</div></noscript>"):
+        assert extract.main_text(f"<article><p>{text} {inner}{text}</p></article>") == f"{text} {text}"
+
+
 # --- 5 language ---------------------------------------------------------------------------
 
 

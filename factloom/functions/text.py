@@ -43,3 +43,8 @@ def segments(c: Column) -> Column:
     """Path segments of a URL."""
     path = F.regexp_replace(F.regexp_replace(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     return F.filter(F.split(path, "/"), lambda s: s != "")
+
+
+def word_start(c: Column, stem: str) -> Column:
+    """Whether a word begins with ``stem``, in any case."""
+    return F.lower(c).rlike(r"(?<![\p{L}\p{N}])" + stem)

@@ -1,4 +1,4 @@
-"""Checks whose findings are rows: query advice, rights, coverage, conflicts, generations."""
+"""Checks whose findings are rows: rights, coverage, conflicts, generations."""
 
 from __future__ import annotations
 
@@ -7,35 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Names of the rules and the words of the query language that each looks for.
-# Patterns are for texts in upper case, with comments removed and strings emptied.
-_JOIN, _FIELD = r"(СОЕДИНЕНИЕ|JOIN)", r"[\p{L}\d_]+\.[\p{L}\d_]+"
-_VIRTUAL = r"\.(ОСТАТКИ|ОБОРОТЫ|ОСТАТКИИОБОРОТЫ|СРЕЗПОСЛЕДНИХ|СРЕЗПЕРВЫХ)"
-_FUNCTION = r"(ГОД|КВАРТАЛ|МЕСЯЦ|ДЕНЬ|НАЧАЛОПЕРИОДА|КОНЕЦПЕРИОДА)"
-RULES = {
-    "SelectStar": r"(^|\s)(ВЫБРАТЬ|SELECT)\s+(РАЗРЕШЕННЫЕ\s+)?(РАЗЛИЧНЫЕ\s+)?(ПЕРВЫЕ\s+\d+\s+)?\*",
-    "JoinWithSubquery": _JOIN + r"\s*\(",
-    "FullOuterJoin": r"(^|[^\p{L}\d_])(ПОЛНОЕ|FULL)\s+(ВНЕШНЕЕ\s+|OUTER\s+)?" + _JOIN,
-    "UnionWithoutAll": r"(ОБЪЕДИНИТЬ|UNION)\s+(ВЫБРАТЬ|SELECT)",
-    "SumAsCount": r"(СУММА|SUM)\s*\(\s*1\s*\)",
-    "VirtualTableNoParams": _VIRTUAL + r"(\s*\(\s*\)|\s*[^\s(\p{L}]|\s+[^\s(]|\s*$)",
-    "VirtualTablesJoined": _JOIN + r"\s+[\p{L}\d_.]+" + _VIRTUAL + r"([^\p{L}]|$)",
-    "CompositeDereference": r"[\p{L}\d_]\.РЕГИСТРАТОР\.[\p{L}\d_]+",
-    "FunctionOnFilterField": r"(^|[^\p{L}\d_])" + _FUNCTION + r"\s*\(\s*" + _FIELD + r"[^()]*\)\s*(=|>|<)",
-}
-OUTER_JOIN, IS_NULL = r"(ЛЕВОЕ|ПРАВОЕ|ПОЛНОЕ|LEFT|RIGHT|FULL)\s+(ВНЕШНЕЕ\s+|OUTER\s+)?" + _JOIN, r"ЕСТЬ\s*NULL|ISNULL|IS\s+NULL"
-LEADING_WILDCARD = r'(ПОДОБНО|LIKE)\s*"%'
-
-
-def query_advice(queries: DataFrame) -> DataFrame:
-    """``id``, ``rule`` for every rule that a query's ``text`` breaks."""
-    bare = F.upper(F.regexp_replace("text", r'("[^"]*")|//[^\n]*', "$1"))
-    clean = F.regexp_replace(bare, r'"[^"]*"', '""')
-    found = [F.when(clean.rlike(pattern), name) for name, pattern in RULES.items()]
-    found += [F.when(clean.rlike(OUTER_JOIN) & ~clean.rlike(IS_NULL), "OuterJoinWithoutIsNull"), F.when(bare.rlike(LEADING_WILDCARD), "LeadingWildcardLike")]
-    return queries.select("id", F.explode(F.array_compact(F.array(*found))).alias("rule"))
-
-
 def similar(name: Column, asked: str) -> Column:
     """Whether either name holds the other, or they share four letters and 70 % of the shorter one."""
     a = F.lower(name)
@@ -51,7 +22,7 @@ def rights_pivot(grants: DataFrame, roles: DataFrame) -> DataFrame:
     ``for_new`` is set, else it doesn't grant. A role that grants once grants.
     """
     stated = grants.groupBy("right", "role").agg(F.bool_or("value").alias("value"))
-    every = stated.select("right").distinct().join(F.broadcast(roles))  # rights have some dozen names
+    every = stated.select("right").distinct().join(roles)  # every right with every role is the result itself
     state = F.when(F.col("value"), "granted").when(F.col("value").isNull() & F.col("for_new"), "undetermined").otherwise("refused")
     each = every.join(stated, ["right", "role"], "left").withColumn("state", state)
     of = lambda s: F.array_join(F.array_sort(F.collect_set(F.when(F.col("state") == s, F.col("role")))), ",")
@@ -69,12 +40,12 @@ def affected(changed: DataFrame, references: DataFrame) -> DataFrame:
     return out.withColumn("full", (F.col("refs") > F.greatest(F.lit(5000.0), F.col("all_refs") * 0.1)) | (F.col("files") > F.col("all_files") / 2))
 
 
-def republished(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+def republished(old: DataFrame, new: DataFrame, key: str, digest: str, generation: int) -> DataFrame:
     """Rows of the next generation: untouched ones keep their generation, removed ones go."""
     o = old.select(key, F.col(digest).alias("_old"), F.col("generation").alias("_g"))
     n = new.join(o, key, "left")
     same = F.col("_old").eqNullSafe(F.col(digest)) & F.col("_g").isNotNull()
-    return n.select(*new.columns, F.when(same, F.col("_g")).otherwise(F.lit(2)).alias("generation"))
+    return n.select(*new.columns, F.when(same, F.col("_g")).otherwise(F.lit(generation)).alias("generation"))
 
 
 def merged_edges(evidence: DataFrame) -> DataFrame:

@@ -30,11 +30,6 @@ def tier(name: Column, wanted: str) -> Column:
     return F.when(name == wanted, 0).when(name.startswith(wanted), 1).when(name.contains(wanted), 2)
 
 
-def common_prefix(a: Column, wanted: str) -> Column:
-    """Length of the common prefix of a name and a constant."""
-    return reduce(lambda n, k: F.when(a.startswith(wanted[:k]), k).otherwise(n), range(1, len(wanted) + 1), F.lit(0))
-
-
 def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``key`` and ``side``: only_a, only_b or common."""
     x, y = a.select(key).distinct().withColumn("_a", F.lit(1)), b.select(key).distinct().withColumn("_b", F.lit(1))
@@ -50,3 +45,38 @@ def slice_last(df: DataFrame, dims: list[str], period: str, until: Column, tie:
 def top_by(df: DataFrame, section: list[str], n: int, *order: Column) -> DataFrame:
     """First ``n`` rows of each section with their ``rank``."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*section).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def holds(c: Column, part: str) -> Column:
+    """Whether a text holds ``part`` literally, in any case."""
+    return F.lower(c).contains(part.lower())
+
+
+def in_list(df: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` is in a list of any length."""
+    return df.join(asked.select(key).distinct(), key, "left_semi")
+
+
+def within(region: Column, roots: list[str]) -> Column:
+    """Whether a region is one of ``roots`` or below it."""
+    return reduce(lambda a, r: a | (region == r) | region.startswith(r + "/"), roots, F.lit(False))
+
+
+def typed_difference(a: DataFrame, b: DataFrame, kind: str, name: str) -> DataFrame:
+    """``kind``, ``name`` and ``side``; names of a kind that one side lacks are "not comparable"."""
+    x, y = (df.select(kind, name).distinct().withColumn(c, F.lit(1)) for df, c in ((a, "_a"), (b, "_b")))
+    both = x.join(y, [kind, name], "full")
+    known = both.groupBy(kind).agg(F.max("_a").alias("_ka"), F.max("_b").alias("_kb"))
+    side = F.when(F.col("_ka").isNull() | F.col("_kb").isNull(), "not comparable").when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b").otherwise("common")
+    return both.join(known, kind).select(kind, name, side.alias("side"))
+
+
+def checklist(wanted: DataFrame, have: DataFrame, keys: list[str], enough: int) -> DataFrame:
+    """``keys`` of what is wanted and its ``status``: done, partial (fewer than ``enough``) or not done."""
+    found = wanted.join(have.groupBy(*keys).agg(F.count("*").alias("_n")), keys, "left")
+    return found.select(*keys, F.when(F.col("_n").isNull(), "not done").when(F.col("_n") < enough, "partial").otherwise("done").alias("status"))
+
+
+def first_spelling(df: DataFrame, name: str, place: str) -> DataFrame:
+    """``key`` (lower case), its ``first`` spelling by place and the number of spellings' rows."""
+    return df.groupBy(F.lower(name).alias("key")).agg(F.min_by(name, place).alias("first"), F.count("*").alias("n"))

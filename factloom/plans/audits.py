@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audits, graph, routes
+from ..operators import advice, audits, graph, routes
 from ..operators import relational as rel
 from ..sources import tables as t
 from ..streaming import logs
@@ -30,29 +30,32 @@ def host_rules(s, d):
     return routes.mapped_hosts(t.table(s, d, "pages").select(text.host(F.col("url")).alias("host")), r)
 
 
-# Invented queries in the dialect of the application's language, for the advisor's rules.
-_TEXTS = [
-    "ВЫБРАТЬ * ИЗ Справочник.Товары КАК Т",
-    "ВЫБРАТЬ ПЕРВЫЕ 5 * ИЗ Справочник.Товары // ПОЛНОЕ СОЕДИНЕНИЕ",
-    "ВЫБРАТЬ КОЛИЧЕСТВО(*) ИЗ Документ.Заказ КАК З ЛЕВОЕ СОЕДИНЕНИЕ Справочник.Товары КАК Т ПО З.Товар = Т.Ссылка",
-    "ВЫБРАТЬ ЕСТЬNULL(Т.Код, 0) ИЗ Документ.Заказ КАК З ЛЕВОЕ СОЕДИНЕНИЕ Справочник.Товары КАК Т ПО З.Товар = Т.Ссылка",
-    "ВЫБРАТЬ А.Б ИЗ Док.А КАК А ПОЛНОЕ ВНЕШНЕЕ СОЕДИНЕНИЕ (ВЫБРАТЬ В.Г ИЗ Док.В КАК В) КАК В ПО ИСТИНА",
-    "ВЫБРАТЬ СУММА( 1 ) ИЗ РегистрНакопления.Остатки.Остатки КАК О ГДЕ О.Имя ПОДОБНО \"%лок\"",
-    "ВЫБРАТЬ О.Товар ИЗ РегистрНакопления.Запас.Остатки(&Дата, Товар = &Товар) КАК О",
-    "ВЫБРАТЬ Д.Регистратор.Дата ИЗ РегистрНакопления.Запас КАК Д ГДЕ ГОД(Д.Период) = 2024",
-    "ВЫБРАТЬ 1 ОБЪЕДИНИТЬ ВЫБРАТЬ 2",
-    "ВЫБРАТЬ 1 ОБЪЕДИНИТЬ ВСЕ ВЫБРАТЬ \"СУММА(1)\"",
-]
-_CLEAN = r"""regexp_replace(bare, '"[^"]*"', '""', 'g')"""
-_ADVICE = [f"SELECT id, '{name}' AS rule FROM c WHERE regexp_matches(clean, '{p}')" for name, p in audits.RULES.items()]
-_ADVICE += [f"SELECT id, 'OuterJoinWithoutIsNull' FROM c WHERE regexp_matches(clean, '{audits.OUTER_JOIN}') AND NOT regexp_matches(clean, '{audits.IS_NULL}')", f"SELECT id, 'LeadingWildcardLike' FROM c WHERE regexp_matches(bare, '{audits.LEADING_WILDCARD}')"]
-
-
-@query(r"""WITH q(id, text) AS (VALUES """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_TEXTS)) + r"""),
-b AS (SELECT id, upper(regexp_replace(text, '("[^"]*")|//[^\n]*', '\1', 'g')) AS bare FROM q), c AS (SELECT id, bare, """ + _CLEAN + " AS clean FROM b) " + " UNION ALL ".join(_ADVICE))
+# Invented queries in the dialect of the application's language with the rules that each breaks, by kind of part.
+_TEXTS = {
+    "ECONOMY": ("ВЫБРАТЬ РАЗЛИЧНЫЕ ПЕРВЫЕ 5 * ИЗ Справочник.Товары КАК Т ГДЕ Т.Имя = \"ПОЛНОЕ СОЕДИНЕНИЕ (\"", ["SelectStar"]),
+    "MEDIUM": ("ВЫБРАТЬ КОЛИЧЕСТВО(*) ИЗ Документ.Заказ КАК З ЛЕВОЕ СОЕДИНЕНИЕ Справочник.Товары КАК Т ПО З.Товар = Т.Ссылка", ["OuterJoinWithoutIsNull"]),
+    "STANDARD": ("ВЫБРАТЬ А.Б ИЗ Док.А КАК А ПОЛНОЕ ВНЕШНЕЕ СОЕДИНЕНИЕ (ВЫБРАТЬ В.Г ИЗ Док.В КАК В) КАК В ПО ИСТИНА ОБЪЕДИНИТЬ ВЫБРАТЬ ЕСТЬNULL(Т.Код, 0)", ["FullOuterJoin", "JoinWithSubquery", "UnionWithoutAll"]),
+    "LARGE": ("ВЫБРАТЬ СУММА( 1 ) ИЗ РегистрНакопления.Остатки.Остатки КАК О ГДЕ О.Имя ПОДОБНО \"%лок\"", ["SumAsCount", "VirtualTableNoParams", "LeadingWildcardLike"]),
+    "PROMO": ("ВЫБРАТЬ Д.Регистратор.Дата ИЗ РегистрНакопления.Запас.Остатки(&Дата) КАК Д СОЕДИНЕНИЕ Рег.Б.Обороты(&С, &По) КАК Б ПО ИСТИНА ГДЕ ГОД(Д.Период) = 2024", ["CompositeDereference", "VirtualTablesJoined", "FunctionOnFilterField"]),
+    "SMALL": ("SELECT TOP 3 a.x FROM D.A AS a INNER JOIN D.B AS b JOIN D.C AS c ON b.y = c.y ON a.x = b.x WHERE a.x = 1 OR b.y = 2 AUTOORDER", ["NestedJoin", "OrAcrossFields", "TopWithAutoOrder"]),
+}
+
+
+@query("SELECT p_partkey AS id, unnest(CASE p_type " + " ".join(f"WHEN '{k}' THEN {rules!r}" for k, (_, rules) in _TEXTS.items()) + " END) AS rule FROM part")
 def query_advice(s, d):
-    """Rules that query texts break."""
-    return audits.query_advice(s.createDataFrame(list(enumerate(_TEXTS)), "id int, text string"))
+    """Rules that query texts break, one text for each part."""
+    p, kind = t.table(s, d, "part"), F.col("p_type")
+    own = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in _TEXTS.items() for x in (k, q)]), kind)
+    return advice.query_advice(p.select(F.col("p_partkey").alias("id"), F.concat(own, F.lit(" // ПОЛНОЕ СОЕДИНЕНИЕ "), "p_name").alias("text")))
+
+
+@query("SELECT p_partkey AS id, unnest(CASE p_type WHEN 'ECONOMY' THEN ['Т.ИМЯ'] WHEN 'SMALL' THEN ['A.X', 'B.Y'] ELSE [] END) AS field FROM part")
+def unindexed_filters(s, d):
+    """Fields of conditions that no index begins with."""
+    p = t.table(s, d, "part")
+    own = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in _TEXTS.items() for x in (k, q)]), F.col("p_type"))
+    fields = s.createDataFrame([("Т.ИМЯ", False), ("A.X", False), ("B.Y", False), ("О.ИМЯ", True), ("Д.ПЕРИОД", True)], "field string, indexed boolean")
+    return advice.unindexed_filters(p.select(F.col("p_partkey").alias("id"), own.alias("text")), fields)
 
 
 @query(r"""WITH n AS (SELECT DISTINCT p_name AS name, lower(p_name) AS a FROM part), k AS (SELECT *, (SELECT coalesce(max(i), 0) FROM range(1, 9) r(i) WHERE starts_with(a, left('small ri', CAST(i AS INTEGER)))) AS shared FROM n)
@@ -91,7 +94,7 @@ def published_generation(s, d):
     old = docs.select("doc_id", sha, F.lit(1).alias("generation"))
     kept = docs.where("doc_id % 17 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     new = kept.union(docs.where("doc_id % 50 = 1").select(F.col("doc_id") + 1000000, "text"))
-    return audits.republished(old, new.select("doc_id", sha), "doc_id", "digest")
+    return audits.republished(old, new.select("doc_id", sha), "doc_id", "digest", 2)
 
 
 @query("SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS kind, max(1 - l_discount) AS confidence, min(l_linenumber) AS chain, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3".replace("max(1 - l_discount)", "round(max(1 - l_discount), 4)"))

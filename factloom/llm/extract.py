@@ -1,29 +1,36 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read into blocks (runs of text between block-level tags, with the open elements around
-them). A linear classifier over a block's elements, class names, link share and length gives the
-costs of calling it content or boilerplate; these are the capacities to the two terminals.
-Neighbouring blocks, and blocks under the same parent, are joined by smoothness edges. The
-minimum cut, found by augmenting paths, is the labelling of least total cost.
+them). A linear classifier over a block's length, closing punctuation, link share, heading and the
+innermost element that speaks for content or boilerplate gives the costs of calling it either;
+these are the capacities to the two terminals. Smoothness edges join a block to the next one, the
+stronger the more elements the two have in common, and to the next under the same parent. The
+minimum cut is the labelling of least total cost: a caption or a line of one word goes with what
+stands around it. Blocks whose own cost exceeds all their edges are labelled at once, which the
+minimum cut would do too; only what stays undecided needs a flow, found by blocking flows.
 
-Markup that never shows as article text (scripts, styles, forms, ...) makes no blocks.
+Forms and their controls, scripts, styles, templates and embedded frames make no blocks; drawings,
+formulas and hidden elements are text like any other.
 Character references are decoded, white space inside a block becomes one space, blocks are
 trimmed, empty blocks vanish and content blocks are joined by one line break.
 
 Defined cases: null or empty html has empty text; text outside any element is a block like any
 other; unclosed elements end with their parent, but an unclosed script, style, textarea, title or
-xmp takes the rest of the page, as in browsers; a ``<`` that starts no tag is text; repeated rows give the same text; other columns are ignored.
+xmp takes the rest of the page, as in browsers; a ``<`` that starts no tag is text, and a quote or
+tag that is never closed ends at the next ``>``; repeated rows give the same text; other columns
+are ignored. Reading takes time in proportion to the page.
 """
 
 from __future__ import annotations
 
 import html as references
+import math
 import re
-from collections import deque
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +40,10 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp".split())
-#: Inline elements whose content is markup that never shows as article text.
-OPAQUE_TAGS = frozenset("noscript template svg math iframe object audio video canvas noembed noframes select button".split())
-DROPPED_TAGS = frozenset("head form fieldset legend label datalist output dialog menu option optgroup input".split())
-#: Parts of drawings and formulas that may hold blocks.
-HOLDERS = frozenset("foreignobject desc annotation-xml mtext mi mo mn ms".split())
-BOILERPLATE_TAGS = frozenset("nav footer aside header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Forms, controls and what never shows; their text makes no blocks.
+DROPPED_TAGS = frozenset("head form fieldset legend label datalist output option optgroup select button template iframe noembed noframes".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside header dialog menu".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer footers header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations trending pagination pager copyright disclaimer skip toc tags".split()
@@ -46,189 +51,305 @@ BOILERPLATE_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article articlebody content entry post main maincontent story body text prose".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 SPACE = re.compile(r"\s+")
-#: Smoothness between neighbouring blocks and between neighbours under one parent.
-NEXT, SIBLING = 0.6, 0.8
 
+#: The classifier: cost of content for a block, by its features.
+BIAS, LENGTH, CLOSED, HEADING, LINKS = -1.6, 0.75, 0.5, 0.3, -3.5
+#: What the innermost element that leans adds, by side.
+CONTENT, BOILERPLATE = 0.9, -4.5
+#: Smoothness between neighbouring blocks, from none to all elements in common, and between
+#: neighbours under one parent.
+NEXT, SIBLING = (0.05, 0.3), 0.6
+
+
+class State(NamedTuple):
+    """An open element and what holds inside it."""
 
-class Element(NamedTuple):
     tag: str
-    number: int
-    lean: float  # towards content (positive) or boilerplate
     dropped: bool
+    lean: float
+    linked: bool
+    heading: bool
+    content: bool  # inside an article
+    own: int  # number of the innermost block-level element
+    parent: int  # number of the one around it
 
 
 class Block(NamedTuple):
     text: str
-    parent: int  # number of the innermost block-level element
+    parent: int
     lean: float  # of the innermost element that leans
     links: float  # share of the text inside links
     heading: bool
+    shared: float  # share of its elements that are also around the block before
 
 
-def _element(tag: str, attributes: str, number: int) -> Element:
-    lean = 6.0 if tag in CONTENT_TAGS else -6.0 if tag in BOILERPLATE_TAGS else 0.0
-    dropped = tag in DROPPED_TAGS or tag in OPAQUE_TAGS
-    if attributes.strip():
+def _inside(tag: str, attributes: str, outer: State, number: int) -> State:
+    """The state inside a new element."""
+    lean = outer.lean
+    dropped = outer.dropped or tag in DROPPED_TAGS
+    if tag in CONTENT_TAGS:
+        lean = CONTENT
+    elif tag in BOILERPLATE_TAGS and not (tag == "header" and outer.content):  # an article's own header holds its headline
+        lean = BOILERPLATE
+    if "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id", "itemprop"):
                 whole = value.replace("-", "").replace("_", "").lower().split()
                 parts = {x.lower() for x in NAME.findall(value)} | set(whole)
-                if parts & BOILERPLATE_NAMES and tag not in ("body", "html", *CONTENT_TAGS):
-                    lean = -6.0
-                elif parts & CONTENT_NAMES and not lean:
-                    lean = 3.0
+                if parts & BOILERPLATE_NAMES and tag not in ("body", "html", *CONTENT_TAGS) and not (outer.content and parts & BOILERPLATE_NAMES == {"header"}):
+                    lean = BOILERPLATE
+                elif parts & CONTENT_NAMES and lean >= 0:
+                    lean = CONTENT
             elif name == "role":
-                lean = -6.0 if value.lower() in BOILERPLATE_ROLES else 6.0 if value.lower() in ("main", "article") else lean
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-                dropped = True
-    return Element(tag, number, lean, dropped)
+                lean = BOILERPLATE if value.lower() in BOILERPLATE_ROLES else CONTENT if value.lower() in ("main", "article") else lean
+    block = tag in BLOCK_TAGS
+    return State(tag, dropped, lean, outer.linked or tag == "a", outer.heading or tag in HEADINGS, outer.content or tag in CONTENT_TAGS, number if block else outer.own, outer.own if block else outer.parent)
+
+
+class Reader:
+    """Reads the tags of a page one after another; open elements are a stack of states."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.stack = [State("", False, 0.0, False, False, False, 0, 0)]
+        self.open: dict[str, list[int]] = defaultdict(list)  # places of each open tag in the stack
+        self.out: list[Block] = []
+        self.text: list[str] = []
+        self.linked = self.number = self.low = 0
+
+    def _cut(self, k: int) -> None:
+        """Close the elements from place ``k`` on."""
+        while len(self.stack) > k:
+            self.open[self.stack.pop().tag].pop()
+        self.low = min(self.low, k)
+
+    def _close(self) -> None:
+        """End the block."""
+        own = SPACE.sub(" ", references.unescape("".join(self.text))).strip() if self.text else ""
+        if own:
+            top = self.stack[-1]
+            self.out.append(Block(own, top.parent, top.lean, min(1.0, self.linked / len(own)), top.heading, self.low / len(self.stack)))
+            self.low = len(self.stack)
+        self.text.clear()
+        self.linked = 0
+
+    def _say(self, piece: str) -> None:
+        if piece and not self.stack[-1].dropped:
+            self.text.append(piece)
+            self.linked += len(piece) if self.stack[-1].linked else 0
+
+    def _tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, past quoted values; there is one."""
+        first = self.page.find(">", at)
+        while True:
+            m = STOP.search(self.page, at)
+            if not m:
+                return first
+            if m[0] == ">":
+                return m.start()
+            at = m.end()
+            if at <= self.last[m[0]]:  # a quote that is never closed is a sign like any other
+                at = self.page.find(m[0], at) + 1
+
+    def blocks(self) -> list[Block]:
+        page, at = self.page, 0
+        while True:
+            begin = page.find("<", at)
+            if begin < 0 or begin >= self.last[">"]:
+                self._say(page[at:])
+                break
+            if page.startswith("<!--", begin):
+                self._say(page[at:begin])
+                end = page.find("-->", begin + 4)
+                if end < 0:
+                    break
+                at = end + 3
+                continue
+            if page[begin + 1] in "!?":
+                self._say(page[at:begin])
+                at = page.find(">", begin) + 1
+                continue
+            m = TAG.match(page, begin)
+            if not m:
+                self._say(page[at : begin + 1])
+                at = begin + 1
+                continue
+            self._say(page[at:begin])
+            end = self._tag_end(m.end())
+            tag, attributes, at = m[1].lower(), page[m.end() : end], end + 1
+            if page[begin + 1] == "/":
+                self._end(tag)
+            elif tag in RAW_TAGS:
+                if not attributes.rstrip().endswith("/"):
+                    close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                    if not close:
+                        break
+                    at = page.find(">", close.end()) + 1
+                    if not at:
+                        break
+            else:
+                self._start(tag, attributes)
+        self._close()
+        return self.out
+
+    def _end(self, tag: str) -> None:
+        """An end tag closes its element and those left open inside."""
+        k = self.open[tag][-1] if self.open.get(tag) else 0
+        if not k:
+            if tag in BLOCK_TAGS and not self.stack[-1].dropped:
+                self._close()
+            return
+        if self.stack[-1].own != self.stack[k - 1].own and not self.stack[k - 1].dropped:
+            self._close()
+        self._cut(k)
+
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self._say(" ")
+            return
+        if tag in BLOCK_TAGS and not self.stack[-1].dropped:
+            self._close()
+            # a new paragraph ends the one before it, a new item the one before it in its list
+            ends = self.open["p"][-1] if self.open["p"] else 0
+            if ends and all(x.tag not in BLOCK_TAGS for x in self.stack[ends + 1 :]):
+                self._cut(ends)
+            if tag == "li" and self.open["li"] and self.open["li"][-1] > max((self.open[x][-1] for x in ("ul", "ol", "menu", "dir") if self.open[x]), default=0):
+                self._cut(self.open["li"][-1])
+        if tag not in VOID_TAGS and not attributes.rstrip().endswith("/"):
+            self.number += 1
+            self.open[tag].append(len(self.stack))
+            self.stack.append(_inside(tag, attributes, self.stack[-1], self.number))
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in order; text of dropped elements makes none."""
-    stack: list[Element] = [Element("", 0, 0.0, False)]
-    out: list[Block] = []
-    text: list[str] = []
-    linked = number = 0
-    at, length = 0, len(page)
-
-    def close() -> None:
-        nonlocal linked
-        if text:
-            own = SPACE.sub(" ", references.unescape("".join(text))).strip()
-            if own:
-                lean = next((e.lean for e in reversed(stack) if e.lean), 0.0)
-                parent = next((e.number for e in reversed(stack) if e.tag in BLOCK_TAGS), 0)
-                out.append(Block(own, parent, lean, min(1.0, linked / max(1, len(own))), any(e.tag in ("h1", "h2", "h3", "h4", "h5", "h6") for e in stack)))
-            text.clear()
-        linked = 0
-
-    def say(piece: str) -> None:
-        nonlocal linked
-        if piece and not any(e.dropped for e in stack):
-            text.append(piece)
-            if any(e.tag == "a" for e in stack):
-                linked += len(piece)
-
-    while at < length:
-        m = TOKEN.search(page, at)
-        if not m:
-            say(page[at:])
-            break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        # inside an opaque element nothing breaks the text around it
-        opaque = next((k for k, e in enumerate(stack) if e.tag in OPAQUE_TAGS), len(stack))
-        if m[1] or m[4]:  # an end tag closes its element and those left open inside
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if any(e.tag in BLOCK_TAGS for e in stack[k:opaque]) if k else tag in BLOCK_TAGS and opaque == len(stack):
-                close()
-            if k:
-                del stack[k:]
-            continue
-        closed = (m[3] or m[6] or "").rstrip().endswith("/")
-        if tag in RAW_TAGS:
-            if not closed:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else length
-            continue
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in BLOCK_TAGS and opaque < len(stack) and stack[opaque].tag in ("svg", "math") and not any(e.tag in HOLDERS for e in stack[opaque + 1 :]):
-            del stack[opaque:]  # a block ends a drawing or formula left open, as in browsers
-        if tag in BLOCK_TAGS and opaque == len(stack):
-            close()
-            # a new paragraph or item ends the one before it
-            ends = ("p",) if tag != "li" else ("li", "p")
-            while len(stack) > 1 and any(e.tag in ends for e in stack[1:]):
-                inner = max(k for k, e in enumerate(stack) if e.tag in ends)
-                if any(e.tag in BLOCK_TAGS and e.tag not in ends for e in stack[inner + 1 :]):
-                    break
-                del stack[inner:]
-        if tag not in VOID_TAGS and not closed:
-            number += 1
-            stack.append(_element(tag, m[3] or m[6] or "", number))
-    close()
-    return out
+    return Reader(page).blocks()
 
 
 def costs(b: Block) -> float:
     """How strongly the classifier takes a block for content; negative for boilerplate."""
     words = b.text.count(" ") + 1
-    plain = -1.5 + 0.12 * min(words, 30) + (0.5 if b.text[-1:] in ".!?…。！？" else 0.0) + (0.6 if b.heading else 0.0)
-    return plain - 4.0 * b.links + b.lean
+    return BIAS + LENGTH * math.log1p(words) + (CLOSED if b.text[-1:] in ".!?…。！？" else 0.0) + (HEADING if b.heading else 0.0) + LINKS * b.links + b.lean
+
+
+def edges(found: list[Block]) -> list[tuple[int, int, float]]:
+    """Smoothness edges: each block with the next, and with the next under the same parent."""
+    out = [(i, i + 1, NEXT[0] + (NEXT[1] - NEXT[0]) * found[i + 1].shared) for i in range(len(found) - 1)]
+    last: dict[int, int] = {}
+    for i, b in enumerate(found):
+        if b.parent in last:
+            out.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
+    return out
 
 
 def minimum_cut(lean: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: a node on the wrong side pays ``abs(lean)``, a parted edge its weight.
 
-    Augmenting paths along shortest routes from the content terminal; blocks that the terminal
-    still reaches are content.
+    A node whose own cost exceeds its edges to undecided nodes has its label in every minimum
+    cut; its edges then become costs of its neighbours. The others are labelled by a flow.
     """
+    near: list[dict[int, float]] = [{} for _ in lean]
+    for i, j, w in edges:
+        near[i][j] = near[i].get(j, 0.0) + w
+        near[j][i] = near[j].get(i, 0.0) + w
+    cost, free = list(lean), [sum(x.values()) for x in near]
+    label: list[bool | None] = [None] * len(lean)
+    ready = list(range(len(lean)))
+    while ready:
+        i = ready.pop()
+        if label[i] is None and abs(cost[i]) >= free[i] - 1e-12:
+            label[i] = cost[i] > 0
+            for j, w in near[i].items():
+                if label[j] is None:
+                    cost[j] += w if label[i] else -w
+                    free[j] -= w
+                    ready.append(j)
+    left = [i for i, x in enumerate(label) if x is None]
+    if left:
+        place = {i: k for k, i in enumerate(left)}
+        inner = [(place[i], place[j], w) for i in left for j, w in near[i].items() if i < j and j in place]
+        for i, side in zip(left, _flow([cost[i] for i in left], inner)):
+            label[i] = side
+    return [bool(x) for x in label]
+
+
+def _flow(lean: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """Whether the content terminal still reaches each node after a maximum flow (blocking flows)."""
     n = len(lean)
-    graph: list[dict[int, float]] = [{} for _ in range(n + 2)]
     source, sink = n, n + 1
+    to: list[int] = []
+    room: list[float] = []
+    arcs: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(u: int, v: int, there: float, back: float) -> None:
+        arcs[u].append(len(to))
+        arcs[v].append(len(to) + 1)
+        to.extend((v, u))
+        room.extend((there, back))
+
     for i, x in enumerate(lean):
         if x > 0:
-            graph[source][i], graph[i][source] = x, 0.0
+            join(source, i, x, 0.0)
         elif x < 0:
-            graph[i][sink], graph[sink][i] = -x, 0.0
+            join(i, sink, -x, 0.0)
     for i, j, w in edges:
-        graph[i][j] = graph[i].get(j, 0.0) + w
-        graph[j][i] = graph[j].get(i, 0.0) + w
+        join(i, j, w, w)
     while True:
-        before = {source: source}
-        queue = deque([source])
-        while queue and sink not in before:
-            u = queue.popleft()
-            for v, c in graph[u].items():
-                if c > 1e-9 and v not in before:
-                    before[v] = u
-                    queue.append(v)
-        if sink not in before:
-            return [i in before for i in range(n)]
-        path, v = [], sink
-        while v != source:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(graph[u][v] for u, v in path)
-        for u, v in path:
-            graph[u][v] -= flow
-            graph[v][u] += flow
+        level = [-1] * (n + 2)
+        level[source] = 0
+        queue = [source]
+        for u in queue:
+            for e in arcs[u]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        turn, path, u = [0] * (n + 2), [], source
+        while True:
+            if u == sink:
+                much = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= much
+                    room[e ^ 1] += much
+                k = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                u = to[path[k] ^ 1]
+                del path[k:]
+                continue
+            while turn[u] < len(arcs[u]) and not (room[arcs[u][turn[u]]] > 1e-9 and level[to[arcs[u][turn[u]]]] == level[u] + 1):
+                turn[u] += 1
+            if turn[u] < len(arcs[u]):
+                path.append(arcs[u][turn[u]])
+                u = to[path[-1]]
+            elif path:
+                level[u] = -1
+                u = to[path.pop() ^ 1]
+            else:
+                break
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line."""
     found = blocks(page or "")
-    lean = [costs(b) for b in found]
-    edges = [(i, i + 1, NEXT + (SIBLING if found[i].parent == found[i + 1].parent else 0.0)) for i in range(len(found) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):  # DOM proximity beyond the next block
-        if b.parent in last and last[b.parent] < i - 1:
-            edges.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
-    # only runs where the classifier and a neighbour disagree need a cut: elsewhere all agree
-    labels = [x > 0 for x in lean]
-    if any(labels[i] != labels[j] for i, j, _ in edges):
-        labels = minimum_cut(lean, edges)
+    labels = minimum_cut([costs(b) for b in found], edges(found))
     return "\n".join(b.text for b, keep in zip(found, labels) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": [main_text(x) for x in pdf["html"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = pa.array([main_text(x) for x in batch["html"].to_pylist()], pa.string())
+            yield pa.record_batch([batch["page_id"], batch["url"], text], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

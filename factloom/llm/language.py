@@ -6,17 +6,20 @@ candidates to the languages that were taught in that script; then Viterbi over t
 scores, with a penalty for every switch, labels spans. A document's language is the one that
 labels most letters, and its score that share.
 
-Counts for teaching are made in Spark tasks over every usable row (or, with ``sample``, a
-documented share of rows) and have a fixed size per language.
+Counts for teaching are made in Spark tasks over at most about ``SAMPLE`` usable rows of each
+language and have a fixed size per language.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without taught rows
 every text is ``und``; rows with a null language don't teach; letters of a script that no
 language was taught in leave all candidates; equal languages in a tie go by code point order;
-repeated rows are labelled alike; other columns are ignored.
+repeated rows are labelled alike; a text of more than ``PIECE`` characters is labelled in pieces cut
+at spaces, whose letters and spans add up; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +27,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, mix
+from .words import chunks, mix, pieces
 
 BITS = 15
-SAMPLE = 20_000
+#: Rows of each language that teach.
+SAMPLE = 5_000
 SWITCH = 12.0
 #: No word counts for more than this many nats between languages.
 CLIP = 8.0
-# First and last code points of scripts; letters elsewhere count as Latin.
-SCRIPTS = (
-    ("Greek", 0x370, 0x3FF), ("Cyrillic", 0x400, 0x52F), ("Armenian", 0x530, 0x58F), ("Hebrew", 0x590, 0x5FF), ("Arabic", 0x600, 0x77F),
-    ("Devanagari", 0x900, 0x97F), ("Bengali", 0x980, 0x9FF), ("Tamil", 0xB80, 0xBFF), ("Thai", 0xE00, 0xE7F), ("Georgian", 0x10A0, 0x10FF),
-    ("Kana", 0x3040, 0x30FF), ("Han", 0x3400, 0x9FFF), ("Hangul", 0xAC00, 0xD7AF),
-)
-_SCRIPT = np.zeros(0x10000, np.int8)
-for _k, (_, _a, _b) in enumerate(SCRIPTS):
-    _SCRIPT[_a : _b + 1] = _k + 1
-_ALPHA = np.array([chr(c).isalpha() for c in range(0x10000)])
-_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x10000)], np.uint32)
+#: Characters of a text that are labelled at once; a longer text goes on in the next piece.
+PIECE = 1 << 18
+
+
+def _alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every code point: its script (0 for no letter), its lower case and whether it is a letter.
+
+    A script is what letters' names begin with, so every script of every plane is its own class.
+    """
+    script, lower = np.zeros(sys.maxunicode + 1, np.int16), np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    number: dict[str, int] = {}
+    for c in filter(str.isalpha, map(chr, range(sys.maxunicode + 1))):
+        word = unicodedata.name(c, "OTHER").split(" ", 1)[0].split("-", 1)[0]
+        script[ord(c)] = number.setdefault(word, len(number) + 1)
+        if len(c.lower()) == 1:
+            lower[ord(c)] = ord(c.lower())
+    return script, lower, script > 0
+
+
+_SCRIPT, _LOWER, _ALPHA = _alphabet()
+N_SCRIPTS = int(_SCRIPT.max()) + 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -50,7 +64,7 @@ class Grams:
 
     def __init__(self, texts: list[str]) -> None:
         cps = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-        alpha = _ALPHA[np.minimum(cps, 0xFFFF)] & (cps <= 0xFFFF) | (cps >= 0x20000) & (cps < 0x32000)
+        alpha = _ALPHA[cps]
         edge = np.flatnonzero(np.diff(alpha, prepend=False))
         self.start, end = edge[::2], edge[1::2]
         self.end = end
@@ -59,14 +73,13 @@ class Grams:
         self.doc = np.searchsorted(self.offset, self.start, side="right") - 1
         at = np.flatnonzero(alpha)
         self.first = np.concatenate(([0], np.cumsum(self.length)[:-1])) if len(self.length) else self.length
-        low = np.where(cps > 0xFFFF, cps, _LOWER[np.minimum(cps, 0xFFFF)]).astype(np.uint64)
-        low = np.where(alpha, low, np.uint64(1))  # a boundary looks the same whatever it is
+        low = np.where(alpha, _LOWER[cps], 1).astype(np.uint64)  # a boundary looks the same whatever it is
         pad = np.concatenate((np.array([1], np.uint64), low, np.array([1], np.uint64)))
         a, b, c = pad[at], pad[at + 1], pad[at + 2]
         self.grams = np.stack([(mix(h) >> np.uint64(64 - BITS)).astype(np.int32) for h in (b * _A + _C, a * _A + b * _B, a * _A + b * _B + c * _C)], 1)
         last = low[np.maximum(self.end - 1, 0)] * _A + _B  # the ending closes the last pair
         self.ending = (mix(last) >> np.uint64(64 - BITS)).astype(np.int32)
-        self.script = _SCRIPT[np.minimum(cps[self.start], 0xFFFF)] if len(self.start) else np.zeros(0, np.int8)
+        self.script = _SCRIPT[cps[self.start]]
 
 
 class Model:
@@ -141,23 +154,25 @@ def viterbi(scores: list[np.ndarray], switch: float) -> list[np.ndarray]:
 def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> Model:
     """Counts of character runs and scripts by language over taught rows.
 
-    ``sample`` bounds the rows that teach (chosen by a hash of the id); only fixed-size counts of
-    each language come to the driver.
+    About ``sample`` rows of each language teach, chosen by a hash of the id and the text, so that
+    rare languages are learned at every size; only fixed-size counts of each language come to the
+    driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.where(usable) if usable is not None else rows
-    rate = min(1.0, sample / max(1, rows.count()))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    share = {r["lang"]: min(1.0, sample / r["count"]) for r in rows.groupBy("lang").count().collect()}  # one row a language
+    rate = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang")) if share else F.lit(0.0)
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit("teach")), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[str, list[np.ndarray]] = {}
         for pdf in batches:
             for lang, part in pdf.groupby("lang"):
-                c = found.setdefault(lang, [np.zeros(1 << BITS), np.zeros(len(SCRIPTS) + 1)])
+                c = found.setdefault(lang, [np.zeros(1 << BITS), np.zeros(N_SCRIPTS)])
                 for _, blobs in chunks([t.encode("utf-8", "surrogatepass") for t in part["text"]]):
                     g = Grams([b.decode("utf-8", "surrogatepass") for b in blobs])
                     c[0] += np.bincount(g.grams.ravel(), minlength=1 << BITS) + np.bincount(g.ending, minlength=1 << BITS)
-                    c[1] += np.bincount(g.script, minlength=len(SCRIPTS) + 1)
+                    c[1] += np.bincount(g.script, minlength=N_SCRIPTS)
         for lang, (c, s) in found.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"lang": lang, "k": at, "n": c[at]})
@@ -165,7 +180,7 @@ def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -
 
     counted = rows.where(u < rate).select("lang", "text").mapInPandas(run, "lang string, k int, n double").groupBy("lang", "k").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
-    counts, scripts = np.zeros((1 << BITS, len(langs))), np.zeros((len(langs), len(SCRIPTS) + 1))
+    counts, scripts = np.zeros((1 << BITS, len(langs))), np.zeros((len(langs), N_SCRIPTS))
     for j, lang in enumerate(langs):
         part = counted[counted["lang"] == lang]
         grams, marks = part[part["k"] >= 0], part[part["k"] < 0]
@@ -176,26 +191,37 @@ def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -
 
 def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, share of letters and spans (begin, end, language; code points) of each text."""
-    blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for _, part in chunks(blobs):
+    own: list[tuple[int, int]] = []  # text and offset of each piece
+    blobs: list[bytes] = []
+    for i, t in enumerate(texts):
+        for at, x in pieces(t or "", PIECE):
+            own.append((i, at))
+            blobs.append(x.encode("utf-8", "surrogatepass"))
+    letters = np.zeros((len(texts), max(1, len(model.langs))))
+    spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for begin, part in chunks(blobs) if model.langs else ():
         g = Grams([b.decode("utf-8", "surrogatepass") for b in part])
-        if not len(g.start) or not model.langs:
-            yield from (("und", 0.0, []) for _ in part)
+        if not len(g.start):
             continue
         s = model.words(g)
         bounds = np.searchsorted(g.doc, np.arange(len(part) + 1))
         labels = viterbi([s[a:b] for a, b in zip(bounds[:-1], bounds[1:])], switch)
         for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
             if a == b:
-                yield "und", 0.0, []
                 continue
-            own = labels[d]
-            letters = np.bincount(own, g.length[a:b], len(model.langs))
-            top = int(letters.argmax())
-            turn = np.flatnonzero(np.diff(own, prepend=-1))
+            i, at = own[begin + d]
+            letters[i] += np.bincount(labels[d], g.length[a:b], len(model.langs))
+            turn = np.flatnonzero(np.diff(labels[d], prepend=-1))
             close = np.append(turn[1:], b - a) - 1
-            spans = [(int(g.start[a + i] - g.offset[d]), int(g.end[a + j] - g.offset[d]), model.langs[own[i]]) for i, j in zip(turn, close)]
-            yield model.langs[top], float(letters[top] / letters.sum()), spans
+            for x, y in zip(turn, close):
+                lang, end = model.langs[labels[d][x]], int(g.end[a + y] - g.offset[d]) + at
+                if spans[i] and spans[i][-1][2] == lang:  # a span goes on from the piece before
+                    spans[i][-1] = (spans[i][-1][0], end, lang)
+                else:
+                    spans[i].append((int(g.start[a + x] - g.offset[d]) + at, end, lang))
+    for n, found in zip(letters, spans):
+        top = int(n.argmax())
+        yield (model.langs[top], float(n[top] / n.sum()), found) if found else ("und", 0.0, [])
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:

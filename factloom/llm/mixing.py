@@ -5,8 +5,9 @@ Every source has a weight schedule over training time t in [0, 1], linear from `
 stream after the tokens before it, so the time at which the demand reaches that share is the
 inverse of the integral, in closed form for a linear schedule. Documents are range-sorted by
 that time. How much of a source is taken follows from the cumulative target in the same stream:
-each document takes the difference of the rounded cumulative target after and before it, so a
-source's words sum to its target to within one word.
+each document takes the difference of the cumulative target after and before it, rounded down in
+whole-number arithmetic, so a source's words sum to its target to within one word and a document
+never gives more than ``repeats`` times its size.
 
 Everything is DataFrame functions. A source's running total is made in two steps: sums per
 (source, slice) give each slice's offset, and only rows of one slice are summed in order, so a
@@ -14,7 +15,7 @@ source with a third of all rows is spread over 4096 windows.
 
 Defined cases: a null text has size 0 and takes nothing; a null source is a source of its own,
 last in order; repeated rows each have a place in the stream; an empty table gives an empty
-result; a null doc_id sorts first in its slice.
+result; a null doc_id is placed by its text.
 """
 
 from __future__ import annotations
@@ -32,9 +33,14 @@ DIGITS = 3
 REPEATS = 3
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``source`` and ``size``, the number of words, of every document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, *more: str) -> DataFrame:
+    """``doc_id``, ``source``, ``more``, ``size`` (the number of words) and ``place`` of every document.
+
+    The place is a hash of the id and the text, so rows that share an id, or have none, still
+    spread over all slices.
+    """
+    place = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int = REPEATS) -> DataFrame:
@@ -79,13 +85,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), repeats: int =
     """
     sized = saved(sizes(docs))
     plan = saved(targets(sized, weights, repeats).withColumnRenamed("source", "s"))
-    place = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("0" * DIGITS))
-    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("place", place).withColumn("slice", F.substring("place", 1, DIGITS))
+    placed = sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", F.substring("place", 1, DIGITS))
     sums = placed.groupBy("ordinal", "slice").agg(F.sum("size").alias("words"))
     offset = sums.select("ordinal", "slice", (F.sum("words").over(W.partitionBy("ordinal").orderBy("slice")) - F.col("words")).alias("offset"))
     stream = W.partitionBy("ordinal", "slice").orderBy("place", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     rows = placed.withColumn("run", F.sum("size").over(stream)).join(offset, ["ordinal", "slice"]).withColumn("after", F.col("offset") + F.col("run"))
-    rows = rows.withColumn("taken", F.expr("CASE WHEN source_size > 0 THEN CAST(floor(after * target / source_size) - floor((after - size) * target / source_size) AS BIGINT) ELSE 0L END"))
+    share = "CAST({} AS DECIMAL(19, 0)) * CAST(floor(target) AS DECIMAL(19, 0)) div source_size"  # whole numbers: no rounding at any size
+    rows = rows.withColumn("taken", F.expr(f"CASE WHEN source_size > 0 THEN {share.format('after')} - {share.format('(after - size)')} ELSE 0L END"))
     rows = rows.withColumn("position", F.expr(f"CASE WHEN source_size = 0 THEN 0.0D ELSE {time_of('((after - size / 2) / source_size)')} END"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position")).orderBy("position", "doc_id")
 
@@ -101,8 +107,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), rep
     id are broken by the text, then by the row.
     """
     rows = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
-    place = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.xxhash64(F.coalesce("text", F.lit("")))))
-    sized = rows.select("_row", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
+    sized = sizes(rows, "_row").drop("doc_id")
     sized = saved(sized.withColumn("slice", F.substring("place", 1, DIGITS)))
     plan = targets(sized, weights, repeats)
     plan = saved(plan.select(F.col("source").alias("s"), "ordinal", F.expr("CASE WHEN source_size > 0 THEN target / source_size ELSE 1.0D END").alias("share"), "weight"))

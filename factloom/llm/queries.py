@@ -25,7 +25,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = toxicity.fold(3) == 1
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = toxicity.score(docs.select("doc_id", "text"), weights)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted, "offending")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +86,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 OP8_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(concat_ws(' ', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place FROM documents),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS ordinal FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST((ordinal - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM total),
 levels AS (
@@ -94,13 +96,13 @@ levels AS (
 free AS (SELECT rest / remaining AS level FROM levels WHERE rest * weight < cap * remaining ORDER BY cap / weight, source IS NULL, source LIMIT 1),
 plan AS (SELECT source, ordinal, source_size, weight, coalesce(least(cap, (SELECT level FROM free) * weight), cap) AS target FROM levels),
 placed AS (
-  SELECT s.doc_id, s.size, p.*, coalesce(md5(CAST(s.doc_id AS VARCHAR)), '000') AS place FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+  SELECT s.doc_id, s.size, s.place, p.* FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
 run AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY ordinal ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS after FROM placed),
 shares AS (SELECT *, (after - size / 2::DOUBLE) / source_size AS share, greatest(1.0::DOUBLE, least(3.0::DOUBLE, weight)) AS w FROM run),
 curve AS (SELECT *, 1.5::DOUBLE - 0.25::DOUBLE * w AS a, 0.5::DOUBLE * w - 1.0::DOUBLE AS b FROM shares)
 SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size > 0 THEN CAST(floor(after * target / source_size) - floor((after - size) * target / source_size) AS BIGINT) ELSE 0 END AS taken,
+  CASE WHEN source_size > 0 THEN CAST(CAST(after AS HUGEINT) * CAST(floor(target) AS HUGEINT) // source_size - CAST(after - size AS HUGEINT) * CAST(floor(target) AS HUGEINT) // source_size AS BIGINT) ELSE 0 END AS taken,
   round(CASE WHEN source_size = 0 THEN 0.0 WHEN abs(b) < 1e-9 THEN share / a ELSE (sqrt(a * a + 2 * b * share) - a) / b END, 9) AS position
 FROM curve
 """

@@ -6,12 +6,13 @@ sentences, and only document labels are known: the model is fitted by gradient d
 documents' likelihood. The sentences that carry a document's score are its offending ones.
 
 The classifier is fitted in one task on a bounded sample of labelled rows (``SAMPLE`` rows of
-either label, texts of up to ``TRAIN_CHARS`` characters); scoring covers every whole text and
-needs only the weights, whose size is fixed.
+either label, with their whole texts); scoring covers every whole text and needs only the
+weights, whose size is fixed.
 
 Defined cases: a null or empty text, or one without words, has no sentences and scores 0;
 without labels of both kinds the model is empty and everything scores 0; a document with several
-labels counts once for each; repeated rows score alike; other columns are ignored.
+labels counts once for each; repeated rows score alike; a sentence of more than ``PIECE``
+characters is cut at a space; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, mix
+from .words import chunks, mix, pieces
 
 BITS = 18
 #: Bytes of texts, and words of the sample, that are worked on at once.
 PART, STEP = 1 << 18, 1 << 17
+#: Characters of a text that are read at once; a longer one goes on after a sentence's end.
+PIECE = 1 << 17
+STOPS = ".!?\n…。！？"
 SAMPLE = 3_000
-TRAIN_CHARS = 20_000
+#: Least probability of an offending sentence.
+OFFENDING = 0.5
 STEPS, RATE, DECAY = 120, 0.2, 1e-4
 #: Features of fewer distinct taught documents than this have no weight.
 LEAST_DOCS = 5
@@ -41,7 +46,7 @@ for _i in range(1, 64):
 _LETTER = np.array([chr(c).isalnum() for c in range(0x10000)])
 _LETTER[ord("'")] = False
 _STOP = np.zeros(0x10000, bool)
-_STOP[[ord(c) for c in ".!?\n…。！？"]] = True
+_STOP[[ord(c) for c in STOPS]] = True
 
 
 class Sentences:
@@ -83,6 +88,14 @@ class Sentences:
         self.first = np.searchsorted(sentence[kept], self.ids)
 
 
+def _read(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, Sentences]]:
+    """Sentences of all texts, some at a time, with the text and the offset of each of their pieces."""
+    own = [(i, at, x.encode("utf-8", "surrogatepass")) for i, t in enumerate(texts) for at, x in pieces(t or "", PIECE, STOPS)]
+    for begin, part in chunks([x for _, _, x in own], PART):
+        index, offset, _ = zip(*own[begin : begin + len(part)])
+        yield np.array(index), np.array(offset), Sentences([b.decode("utf-8", "surrogatepass") for b in part])
+
+
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
@@ -91,12 +104,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def scores(weights: np.ndarray, s: Sentences, docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of every document and logit of every sentence."""
-    if not len(s.ids):
-        return np.zeros(docs), np.zeros(0)
-    z = np.add.reduceat(weights[s.features].sum(1), s.first) + weights[-1]
-    return 1 - np.exp(-np.bincount(s.doc, _softplus(z), docs)), z
+def scores(weights: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Probability of every text, and its offending sentences as (begin, end, probability).
+
+    A text's pieces add up: the chance of no toxic sentence is the product over all sentences.
+    """
+    keep, found = np.zeros(len(texts)), [[] for _ in texts]
+    for own, offset, s in _read(texts):
+        if not len(s.ids):
+            continue
+        z = np.add.reduceat(weights[s.features].sum(1), s.first) + weights[-1]
+        keep += np.bincount(own[s.doc], _softplus(z), len(texts))
+        p = _sigmoid(z)
+        for k in np.flatnonzero(p >= OFFENDING).tolist():
+            at = int(offset[s.doc[k]])
+            found[own[s.doc[k]]].append((at + int(s.begin[k]), at + int(s.end[k]), float(p[k])))
+    return -np.expm1(-keep), found
 
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, least: int = LEAST_DOCS) -> np.ndarray:
@@ -107,16 +130,18 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
     """
     feats, firsts, docs = [], [], []
     words, taught_by = 0, np.zeros(1 << BITS, np.int64)
-    for begin, blobs in chunks([t.encode("utf-8", "surrogatepass") for t in texts], PART):
-        s = Sentences([b.decode("utf-8", "surrogatepass") for b in blobs])
+    last = np.full(1 << BITS, -1)  # the last text that held a feature
+    for own, _, s in _read(texts):
         feats.append(s.features)
         firsts.append(s.first + words)
-        docs.append(s.doc + begin)
+        docs.append(own[s.doc])
         words += len(s.features)
-        # a text is in one chunk, so its distinct features are counted there
-        owner = np.repeat(s.doc, np.diff(np.append(s.first, len(s.features))))
+        owner = np.repeat(own[s.doc], np.diff(np.append(s.first, len(s.features))))
         pairs = np.unique((np.repeat(owner, 1 + len(CUTS)) << BITS) | s.features.ravel())
-        taught_by += np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
+        text, feature = pairs >> BITS, pairs & ((1 << BITS) - 1)
+        fresh = text != last[feature]  # a text goes on from the chunk before
+        taught_by += np.bincount(feature[fresh], minlength=1 << BITS)
+        last[feature] = text  # pairs are sorted by text, so the last one stays
     first, d = np.concatenate(firsts), np.concatenate(docs)
     used = np.flatnonzero(taught_by >= least)
     place = np.full(1 << BITS, len(used), np.int32)  # the features left out share a weight that stays 0
@@ -152,7 +177,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, steps: int = ST
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -> np.ndarray:
-    """Weights fitted on labelled ``docs``; ``usable`` says which rows may teach.
+    """Weights fitted on labelled ``docs``; ``usable``, of the ``doc_id``, says which rows may teach.
 
     The sample has about ``sample`` ids of either label, chosen by a hash of the id, so its ids are
     broadcast and texts stay where they are. Should rows repeat their ids, the sample ends at
@@ -160,8 +185,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     to the driver.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").distinct()
-    rows = docs.where(usable) if usable is not None else docs
-    rows = rows.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).where("text <> ''")
+    known = known.where(usable) if usable is not None else known  # a label that may not teach counts for nothing
+    rows = docs.select("doc_id", "text").where("text <> ''")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     rate = {k: min(1.0, sample / max(1, counts.get(k, 0))) for k in (0, 1)}
     u = F.pmod(F.xxhash64("doc_id", F.lit("teach")), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -182,39 +207,31 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, samp
     return np.frombuffer(found[0]["w"], np.float32) if found else np.append(np.zeros(1 << BITS, np.float32), np.float32(-np.inf))
 
 
-def _scored(texts: pd.Series, weights: np.ndarray) -> Iterator[tuple[int, int, Sentences, np.ndarray, np.ndarray]]:
-    blobs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    for begin, part in chunks(blobs, PART):
-        s = Sentences([b.decode("utf-8", "surrogatepass") for b in part])
-        p, z = scores(weights, s, len(part))
-        yield begin, len(part), s, p, z
-
-
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with the ``score`` of every whole text."""
+    """``docs`` with the ``score`` of every whole text and its ``offending`` sentences.
+
+    These are structs of begin, end (code points) and probability, of ``OFFENDING`` or more.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # fixed size: 2**BITS + 1 numbers
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([p for _, _, _, p, _ in _scored(texts, shared.value)]) if len(texts) else [], dtype=float)
+    @F.pandas_udf("score double, offending array<struct<begin:long,end:long,probability:double>>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        p, found = scores(shared.value, texts.tolist())
+        return pd.DataFrame({"score": p, "offending": [[{"begin": a, "end": b, "probability": x} for a, b, x in spans] for spans in found]})
 
-    return docs.withColumn("score", run("text"))
+    kept = [c for c in docs.columns if c not in ("score", "offending")]
+    return docs.withColumn("_toxicity", run("text")).select(*kept, "_toxicity.*")
 
 
-def offending(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
-    """Sentences of probability ``least`` or more: doc_id, begin, end (code points), probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def reject(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, in all their columns."""
+    scored = score(docs.select(F.struct(*docs.columns).alias("_doc"), "text"), weights)
+    return scored.where(F.col("score") < threshold).select("_doc.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids = pdf["doc_id"].to_numpy(object)
-            for begin, _, s, _, z in _scored(pdf["text"], shared.value):
-                p = _sigmoid(z)
-                hit = np.flatnonzero(p >= least)
-                yield pd.DataFrame({"doc_id": ids[begin + s.doc[hit]], "begin": s.begin[hit], "end": s.end[hit], "probability": p[hit]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, begin long, end long, probability double")
+
+def offending(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """One row per offending sentence: doc_id, begin, end (code points), probability."""
+    return score(docs.select("doc_id", "text"), weights).select("doc_id", F.inline("offending"))
 
 
 def fold(modulus: int) -> Column:

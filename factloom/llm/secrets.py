@@ -45,19 +45,23 @@ def _spans(text: Column, kind: int, pattern: str, group: int | None = None, leas
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    start = lambda s, x: s["at"] + F.length(x["gap"])
-    run = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda s, x: F.struct(
-            (start(s, x) + F.length(x["hit"])).alias("at"),
-            F.when(
-                F.length(x["value"]) >= least,
-                F.concat(s["out"], F.array(F.struct(start(s, x).alias("start"), F.lit(kind).alias("kind"), (start(s, x) + F.length(x["hit"])).alias("end"), x["hit"].alias("piece")))),
-            ).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
+    # running offsets in two steps, of blocks of about the root of their number and within each: a
+    # fold copies what it has gathered at every step, so it stays short
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(found)))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / width).cast("int") - 1), lambda i: F.slice(both, i * width + 1, width))
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+    begins = F.aggregate(lengths, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def within(block: Column, at: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            begin = s["at"] + F.length(x["gap"])
+            end = begin + F.length(x["hit"])
+            own = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["hit"].alias("piece"))
+            return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(s["out"], F.array(own))).otherwise(s["out"]).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda s: s["out"])
+
+    run = F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), within))
     return F.when(F.regexp_like(text, F.lit(pattern)), run).otherwise(F.array().cast(SPAN))
 
 

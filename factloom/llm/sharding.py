@@ -41,10 +41,13 @@ def keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
 
 
-def _sample(rows: DataFrame, size: int, rows_n: int, wanted: int) -> pd.DataFrame:
-    """About ``wanted`` keys, drawn by size and row, with the weight that each stands for."""
+def _sample(rows: DataFrame, size: int, rows_n: int, wanted: int, draw: int = 0) -> pd.DataFrame:
+    """About ``wanted`` keys, drawn by size and row, with the weight that each stands for.
+
+    Every ``draw`` is a fresh one.
+    """
     share = F.col("size") * (0.5 / max(size, 1)) + 0.5 / max(rows_n, 1)
-    u = F.pmod(F.xxhash64("hash", "doc_id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64("hash", "doc_id", F.lit(f"sample {draw}")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.withColumn("p", share * wanted).where(u < F.col("p"))
     return drawn.select("hash", F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), F.greatest(F.lit(1.0), "p").alias("weight")).toPandas()
 
@@ -83,12 +86,13 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
 def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[tuple[int, int]], pd.DataFrame]:
     """Splitters, and for every range its shard and the rows before it in the shard."""
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    cuts = _splitters(_sample(rows, total, count, sample), ranges)
+    cuts, draw = _splitters(_sample(rows, total, count, sample), ranges), 0
     while True:  # every round adds splitters, so that ``sums`` are those of the final ranges
         placed = saved(_ranged(rows, cuts))
         sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).toPandas().sort_values("range")
         over = sums[(sums["bytes"] > 4 * total / ranges) & (sums["bytes"] > total * WHOLE / shards) & (sums["rows"] > 1)]
-        more = _splitters_within(placed.where(F.col("range").isin(over["range"].tolist())), over, total, ranges, sample) - set(cuts) if len(over) else set()
+        draw += 1
+        more = _splitters_within(placed.where(F.col("range").isin(over["range"].tolist())), over, total, ranges, sample, draw) - set(cuts) if len(over) else set()
         if not more:
             break
         cuts = sorted(set(cuts) | more)
@@ -126,10 +130,10 @@ def _placed(records: DataFrame, rows: DataFrame, shards: int, sample: int, range
     return numbered.withColumn("slot", F.col("before") + F.col("within")).drop("hash", "range", "before", "within")
 
 
-def _splitters_within(inner: DataFrame, over: pd.DataFrame, total: int, ranges: int, wanted: int) -> set[tuple[int, int]]:
+def _splitters_within(inner: DataFrame, over: pd.DataFrame, total: int, ranges: int, wanted: int, draw: int) -> set[tuple[int, int]]:
     """More splitters for overfull ranges, from a sample of their records alone."""
     size, count = int(over["bytes"].sum()), int(over["rows"].sum())
-    sample = _sample(inner, size, count, wanted)
+    sample = _sample(inner, size, count, wanted, draw)
     return set(_splitters(sample, 2 * max(2, int(ranges * size / max(total, 1)))))
 
 

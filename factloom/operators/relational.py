@@ -80,3 +80,11 @@ def checklist(wanted: DataFrame, have: DataFrame, keys: list[str], enough: int)
 def first_spelling(df: DataFrame, name: str, place: str) -> DataFrame:
     """``key`` (lower case), its ``first`` spelling by place and the number of spellings' rows."""
     return df.groupBy(F.lower(name).alias("key")).agg(F.min_by(name, place).alias("first"), F.count("*").alias("n"))
+
+
+def movements(declared: DataFrame, used: DataFrame) -> DataFrame:
+    """``object, register, state, fields``: declared, used (with the ``field``s set) or both."""
+    d = declared.select("object", "register").distinct().withColumn("_d", F.lit(1))
+    u = used.groupBy("object", "register").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
+    state = F.when(F.col("fields").isNull(), "declared").when(F.col("_d").isNull(), "used").otherwise("both")
+    return d.join(u, ["object", "register"], "full").select("object", "register", state.alias("state"), F.coalesce("fields", F.lit("")).alias("fields"))

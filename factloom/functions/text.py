@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,18 @@ def folded(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words of a name or text, also cut at changes of case and between letters and digits."""
-    cut = F.regexp_replace(c, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    cut = F.regexp_replace(cut, r"(\p{L})(\p{N})", "$1 $2")
-    return F.filter(F.split(F.regexp_replace(folded(cut), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
+    """Words of a name or text in lower case, also cut at changes of case and between letters and digits.
+
+    A run of capitals is one word until the capital that begins the next one.
+    """
+    bounds = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
+    cut = folded(F.regexp_replace(c, bounds, " "))
+    return F.filter(F.split(cut, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def lookup(c: Column, values: dict) -> Column:
+    """The value of a key in a small fixed table, null for others."""
+    return reduce(lambda out, pair: out.when(c == pair[0], F.lit(pair[1])), values.items(), F.when(F.lit(False), F.lit(None)))
 
 
 def masked(c: Column, length: int = 200) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries: ``QUERIES`` and, where SQL has the same, ``SQL``."""
 
-from . import audits, findings, lookups, search, walks  # noqa: F401
+from . import audits, findings, lists, lookups, search, walks  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -51,31 +53,35 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a join may broadcast (about 16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest vertex reachable from each vertex of ``edges`` (columns ``a`` and ``b``).
 
     Each round takes the smallest label among a vertex and its neighbours and then the label
     of that label (pointer jumping), so the rounds grow with the logarithm of the longest
     chain. Labels stay distributed; only a count of changes reaches the driver.
+    Up to ``BROADCAST_IDS / 4`` labels, which are counted first, are broadcast, so that no shuffle
+    gathers the edges of a vertex; beyond that joins shuffle and split skewed vertices at run time.
     Returns ``id`` and ``component``; isolated vertices do not appear. Loops and null ends
     are ignored, repeated edges count once.
     """
     real = edges.where("a <> b").select("a", "b")
     both = saved(real.union(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    few = labels.count() <= BROADCAST_IDS // 4
+    side = lambda df: F.broadcast(df) if few else df
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = saved(labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
+        near = both.join(side(labels.select(F.col("id").alias("b"), "component")), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = saved(labels.join(side(near), "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
         up = step.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        labels = saved(step.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("changed")))
+        labels = saved(step.join(side(up), "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("old")).alias("changed")))
         if labels.where("changed").isEmpty():
             return labels.select("id", "component")
 
 
-#: Ids that a join may broadcast (about 16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
-
-
 def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     """``df`` joined (left_semi, left_anti) with a one-column table of distinct ids.
 

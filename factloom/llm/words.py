@@ -1,8 +1,9 @@
 """Words of many texts at once: one pass of numpy over their bytes instead of a loop per word.
 
 Runs inside Spark tasks on one Arrow batch at a time; texts are cut into chunks of about
-``CHUNK`` bytes, so the arrays stay small whatever the batch holds. A single longer text
-makes a chunk of its own.
+``CHUNK`` bytes, and a longer text makes a chunk of its own, whose bytes are hashed ``WINDOW`` at
+a time. So the arrays per byte stay small whatever the batch holds, and what grows with a long
+text is a few numbers a word.
 """
 
 from __future__ import annotations
@@ -13,12 +14,19 @@ from typing import NamedTuple
 import numpy as np
 
 CHUNK = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes that are hashed at once; their sums stay in a core's cache.
+WINDOW = 1 << 16
 _BASE = 0x9E3779B97F4A7C15
-_POW = np.ones(4096, np.uint64)
-for _i in range(1, 4096):
-    _POW[_i] = (int(_POW[_i - 1]) * _BASE) & 0xFFFFFFFFFFFFFFFF
+
+
+def _powers(base: int) -> np.ndarray:
+    """The powers of an odd number modulo 2**64, up to those of a window and its end."""
+    out = np.full(WINDOW + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POW, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,30 +49,39 @@ class Words(NamedTuple):
     first_line: np.ndarray  # of each text; one more at the end
 
 
+def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each run of bytes; equal runs have equal hashes wherever they stand.
+
+    The difference of two prefix sums is a run's polynomial times the power of its place, which
+    an inverse power takes away; a run that goes on in the next window adds up.
+    """
+    out = np.zeros(len(start), np.uint64)
+    for a in range(0, len(buf), WINDOW):
+        b = min(a + WINDOW, len(buf))
+        i, j = np.searchsorted(end, a, "right"), np.searchsorted(start, b, "left")
+        if i == j:
+            continue
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(np.multiply(buf[a:b], _POW[: b - a], dtype=np.uint64), out=sums[1:])
+        s, e = np.maximum(start[i:j] - a, 0), np.minimum(end[i:j], b) - a
+        part = (sums[e] - sums[s]) * _INVERSE[s]
+        if start[i] < a:
+            part[:1] *= np.uint64(pow(_BASE, a - int(start[i]), 1 << 64))
+        out[i:j] += part
+    return out
+
+
 def split_words(blobs: list[bytes]) -> Words:
     """Words are runs of bytes other than white space; equal words have equal hashes."""
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
     buf = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
     offset = np.concatenate(([0], np.cumsum(sizes + 1)))
-    word = ~_SPACE[buf]
-    edge = np.flatnonzero(np.diff(word, prepend=False))
+    edge = np.flatnonzero(np.diff((buf != 32) & (buf - 9 > 4), prepend=False))  # 9 to 13 and 32 are white space
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        none = np.zeros(0, np.int64)
-        newline = np.flatnonzero(buf == 10)
-        return Words(none.astype(np.uint64), none, none, none, none, np.searchsorted(newline, offset))
-    at = np.flatnonzero(word)
-    length = end - start
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    within = np.arange(len(at)) - np.repeat(first, length)
-    value = (buf[at].astype(np.uint64) + np.uint64(1)) * _POW[within & 4095]
-    if len(within) and within.max() > 4095:
-        value = value * (np.uint64(2) * (within >> 12).astype(np.uint64) + np.uint64(1))
-    h = mix(np.add.reduceat(value, first))
     newline = np.flatnonzero(buf == 10)
-    line = np.searchsorted(newline, start)
-    doc = np.searchsorted(offset, start, side="right") - 1
-    return Words(h, doc, line, start, end, np.searchsorted(newline, offset))
+    own = lambda bounds: np.repeat(np.arange(len(bounds)), np.diff(np.searchsorted(start, bounds), prepend=0))
+    value = hashes(buf, start, end) + (end - start).astype(np.uint64)  # zero bytes count by the length
+    return Words(mix(value), own(offset[1:]), own(newline), start, end, np.searchsorted(newline, offset))
 
 
 def chunks(blobs: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
@@ -77,3 +94,20 @@ def chunks(blobs: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
         total += len(blob) + 1
     if begin < len(blobs):
         yield begin, blobs[begin:]
+
+
+def pieces(text: str, size: int, ends: str = "") -> Iterator[tuple[int, str]]:
+    """A text in pieces of up to ``size`` characters, each with its offset.
+
+    A piece ends after the last character of ``ends`` in it, else after its last space, and is
+    cut at ``size`` only where it holds neither.
+    """
+    at = 0
+    while len(text) - at > size:
+        last = max((text.rfind(c, at, at + size) for c in ends), default=-1)
+        if last < 0:
+            last = max(text.rfind(c, at, at + size) for c in " \n\t")
+        end = last + 1 if last >= 0 else at + size
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:]

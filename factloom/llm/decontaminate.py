@@ -1,43 +1,66 @@
 """Benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a run of ``SEED`` words meet: the item's runs are
-hashed (Karp-Rabin over word hashes), and a document's own rolling hashes are looked up among
-them. For every pair that meets, the longest matches that don't overlap earlier tiles are marked
-again and again, longest first, until none of ``SEED`` words is left. The tiles' share of the
-item's words is its coverage, so a passage whose sentences were put in another order still counts.
-
-The benchmark is worked through in blocks of at most ``BLOCK`` items of bounded length, each
-passed to the tasks with the scan, so it may be of any size; documents never move.
+A document and a benchmark item that share a run of ``SEED`` words meet: runs are hashed
+(Karp-Rabin over word hashes) on both sides and joined. A map of ``2**FILTER_BITS`` bits, set for
+the hashes of the benchmark's runs, goes to the tasks that read documents, so that only runs that
+can join leave them; its size is fixed, and a fuller map only lets more through. For every pair
+that has enough runs in common to reach the coverage, the longest matches that don't overlap
+earlier tiles are marked again and again, longest first, until none of ``SEED`` words is left. The
+tiles' share of the item's words is its coverage, so a passage whose sentences were put in another
+order still counts.
+
+Neither table passes through the driver or one task: the map is merged in Spark and is all that
+reaches the driver, runs and pairs are joined by Spark, and every pair is tiled by itself.
 
 Words are lower-cased runs of letters, digits and underscores. Defined cases: null or empty
 texts have no words and match nothing; an item of fewer than ``SEED`` words must occur as a
-whole; an item that occurs twice in the benchmark is two items; a null doc_id is kept as it is;
-repeated rows are scanned alike; other columns are ignored.
+whole; an item that occurs twice in the benchmark is two items; a null doc_id or item_id is kept
+as it is; repeated rows are scanned alike; an empty table on either side gives no overlaps; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
+import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_IDS, saved
+from .words import hashes, mix
+
 SEED = 5
 COVERAGE = 0.5
-#: Items per pass, and the total characters that one pass hands to a task.
-BLOCK, BLOCK_CHARS = 20_000, 16_000_000
+#: The map of seed hashes has this many bits as a power of two: 2 MB.
+FILTER_BITS = 24
+#: Characters of texts whose words are hashed at once.
+PART = 1 << 18
 WORDS = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-
-
-def words(text: str | None) -> list[str]:
-    return WORDS.findall((text or "").lower())
+_WORD = np.zeros(sys.maxunicode + 1, bool)
+_WORD[[ord(c) for c in WORDS.findall(" ".join(chr(c) for c in range(sys.maxunicode + 1)))]] = True
+
+
+def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, in order."""
+    group: list[str] = []
+    size = 0
+    for i, t in enumerate(texts):
+        group.append((t or "").lower())
+        size += len(group[-1])
+        if size >= PART or i == len(texts) - 1:
+            cps = np.frombuffer(("\n".join(group) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+            edge = np.flatnonzero(np.diff(_WORD[cps], prepend=False))
+            start, end = edge[::2], edge[1::2]
+            h = mix(hashes(cps, start, end) + (end - start).astype(np.uint64))
+            bounds = np.searchsorted(start, np.cumsum([len(g) + 1 for g in group]))
+            yield from np.split(h, bounds[:-1])
+            group, size = [], 0
 
 
 def rolling(ids: np.ndarray, n: int) -> np.ndarray:
@@ -50,137 +73,145 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _seeds(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of ``n`` words, which differ for other ``n``."""
+    return mix(rolling(ids, n) + np.uint64(n))
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (position in doc, position in item, length), longest matches first.
 
     Matches that start in the same run are extended together; a tile's words are not used again
     on either side. Among equal lengths the earlier in the item, then in the document, wins.
     """
-    at: dict[int, list[int]] = defaultdict(list)
-    for p, h in enumerate(rolling(doc, least).tolist()):
-        at[h].append(p)
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    out: list[tuple[int, int, int]] = []
+    ours, theirs = rolling(doc, least), rolling(item, least)
+    order = np.argsort(ours, kind="stable")
+    low, high = (np.searchsorted(ours[order], theirs, side) for side in ("left", "right"))
+    count = high - low
+    j = np.repeat(np.arange(len(theirs)), count)
+    p = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(j))]
     # a match runs along a diagonal: find the maximal runs once, then cut them as tiles are marked
-    seeds: dict[int, list[int]] = defaultdict(list)
-    for j, h in enumerate(rolling(item, least).tolist()):
-        for p in at.get(h, ()):
-            seeds[p - j].append(j)
-    heap: list[tuple[int, int, int]] = []
-    for shift, js in seeds.items():
-        js.sort()
-        begin = last = js[0]
-        for j in [*js[1:], len(item) + least + 2]:
-            if j > last + 1:
-                heap.append((-(last - begin + least), begin, begin + shift))
-                begin = j
-            last = j
+    along = np.lexsort((j, p - j))
+    j, p = j[along], p[along]
+    first = np.flatnonzero(np.append(True, (np.diff(p - j) != 0) | (np.diff(j) != 1))[: len(j)])
+    length = np.diff(np.append(first, len(j))) + least - 1
+    heap = list(zip((-length).tolist(), j[first].tolist(), p[first].tolist()))
     heapq.heapify(heap)
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    out: list[tuple[int, int, int]] = []
     while heap:
-        n, j, p = heapq.heappop(heap)
+        n, j0, p0 = heapq.heappop(heap)
         n = -n
-        ok = free_doc[p : p + n] & free_item[j : j + n]
+        ok = free_doc[p0 : p0 + n] & free_item[j0 : j0 + n]
         if ok.all():
-            if (doc[p : p + n] == item[j : j + n]).all():
-                free_doc[p : p + n] = False
-                free_item[j : j + n] = False
-                out.append((p, j, n))
+            if (doc[p0 : p0 + n] == item[j0 : j0 + n]).all():
+                free_doc[p0 : p0 + n] = False
+                free_item[j0 : j0 + n] = False
+                out.append((p0, j0, n))
             continue
         edge = np.flatnonzero(np.diff(ok, prepend=False, append=False))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a >= least:
-                heapq.heappush(heap, (-(b - a), j + a, p + a))
+                heapq.heappush(heap, (-(b - a), j0 + a, p0 + a))
     return out
 
 
-class Block:
-    """Items of a pass: their words numbered, and the items of each hashed run."""
-
-    def __init__(self, items: list[tuple[int, str | None]], seed: int) -> None:
-        self.items = {n: (i, words(t)) for n, (i, t) in enumerate(items)}
-        self.number: dict[str, int] = {}
-        self.ids, self.least = {}, {}
-        runs: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for n, (_, ws) in self.items.items():
-            if ws:
-                for w in ws:
-                    self.number.setdefault(w, xxhash.xxh64_intdigest(w) | 1)
-                self.ids[n] = np.array([self.number[w] for w in ws], np.uint64)
-                self.least[n] = min(seed, len(ws))
-                for h in dict.fromkeys(rolling(self.ids[n], self.least[n]).tolist()):
-                    runs[self.least[n]][h].append(n)
-        self.runs = {n: (np.array(sorted(r), np.uint64), r) for n, r in runs.items()}
-
-    def match(self, text: str | None) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
-        """(item, coverage, tiles) of every item that shares a seed with the text."""
-        get = self.number.get
-        doc = np.fromiter((get(w, 0) for w in WORDS.findall((text or "").lower())), np.uint64)
-        met: set[int] = set()
-        for n, (known, items) in self.runs.items():
-            h = rolling(doc, n)
-            if len(h):
-                if n > 1:  # only runs of known words can match
-                    unknown = np.concatenate(([0], np.cumsum(doc == 0)))
-                    h = h[unknown[n:] == unknown[:-n]]
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for x in np.unique(h[known[at] == h]).tolist():
-                    met.update(items[x])
-        for n in sorted(met):
-            marked = tiles(doc, self.ids[n], self.least[n])
-            yield self.items[n][0], sum(t[2] for t in marked) / len(self.ids[n]), marked
+def benchmark_seeds(items: DataFrame, seed: int) -> DataFrame:
+    """``item`` (a number), ``words``, ``least`` and the ``hash`` of each run of ``least`` words, as often as it occurs."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, ids in zip(batch["item"].to_pylist(), word_hashes(batch["text"].to_pylist())):
+                least = min(seed, len(ids))
+                h = _seeds(ids, least).view(np.int64) if least else np.zeros(0, np.int64)
+                same = np.ones(len(h), np.int64)
+                yield pa.record_batch({"item": item * same, "words": len(ids) * same, "least": least * same, "hash": h})
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """One row per contaminated document and item: doc_id, item_id, coverage, tiles, longest."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = None
-    for items in _blocks(benchmark):
-
-        def scan(batches: Iterator[pd.DataFrame], items: list = items) -> Iterator[pd.DataFrame]:
-            block = Block(items, seed)
-            for pdf in batches:
-                rows = [(d, i, c, len(t), max((x[2] for x in t), default=0)) for d, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()) for i, c, t in block.match(text) if c >= coverage]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "tiles", "longest"])
-
-        part = docs.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, item_id long, coverage double, tiles int, longest int")
-        out = part if out is None else out.unionAll(part)
-    return out
+    return items.select("item", "text").mapInArrow(run, "item long, words long, least long, hash long")
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Blocks of items, read one partition at a time; each has a bounded number of characters."""
-    block, chars = [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], row["text"]))
-        chars += len(row["text"] or "")
-        if len(block) >= BLOCK or chars >= BLOCK_CHARS:
-            yield block
-            block, chars = [], 0
-    if block or chars == 0:
-        yield block
+def _map(seeds: DataFrame) -> np.ndarray:
+    """Bits of the hashes of all seeds; merged in Spark, so the driver gets it once, whatever the input."""
+    at = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bits = seeds.select(F.shiftright(at, 6).alias("k"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 AS INT))").alias("b"))
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for x in bits.groupBy("k").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[x["k"]] = x["b"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The documents that no item covers up to ``coverage``, in all their columns.
+def pairs(rows: DataFrame, seeds: DataFrame, coverage: float) -> DataFrame:
+    """``doc_id``, ``h`` and ``item`` of the pairs that can reach the coverage.
 
-    The scan decides row by row, so no join is needed: a flag goes with each document.
+    Tiles have ``least`` words or more, so an item of n words that is covered to n * coverage words
+    has that many / ``least`` different runs or more in the document.
     """
-    flagged, names = docs, []
-    for k, items in enumerate(_blocks(benchmark)):
-        names.append(f"_hit{k}")
-        flagged = flagged.withColumn(names[-1], _covered(items, seed, coverage)("text"))
-    for name in names:
-        flagged = flagged.where(~F.col(name))
-    return flagged.select(docs.columns)
+    lengths = [r["least"] for r in seeds.select("least").distinct().collect()]  # at most ``SEED`` numbers
+    shared = rows.sparkSession.sparkContext.broadcast(_map(seeds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - FILTER_BITS)
+        for batch in batches:
+            at, found = [], []
+            for i, ids in enumerate(word_hashes(batch["text"].to_pylist())):
+                for n in lengths:
+                    h = _seeds(ids, n)
+                    hit = np.unique(h[shared.value[h >> shift]]).view(np.int64)
+                    if len(hit):
+                        at.append(np.full(len(hit), i))
+                        found.append(hit)
+            if at:
+                own = pa.array(np.concatenate(at))
+                yield pa.record_batch([batch["doc_id"].take(own), batch["h"].take(own), pa.array(np.concatenate(found))], names=["doc_id", "h", "hash"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    hits = rows.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, hash long")
+    grouped = saved(seeds.groupBy("hash", "item").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first("least").alias("least")))
+    few = grouped.count() <= BROADCAST_IDS // 2
+    met = hits.join(F.broadcast(grouped) if few else grouped, "hash").groupBy("doc_id", "h", "item").agg(F.sum("n").alias("n"), F.first("words").alias("words"), F.first("least").alias("least"))
+    return met.where(F.col("n") * F.col("least") >= F.col("words") * coverage - 1e-9).select("doc_id", "h", "item")
+
+
+def _numbered(benchmark: DataFrame) -> DataFrame:
+    return saved(benchmark.select("item_id", "text", F.monotonically_increasing_id().alias("item")))
+
+
+def _tiled(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
+    """``doc_id, h, item_id, coverage, tiles, longest`` of the covered pairs, one row for equal documents."""
+    items = _numbered(benchmark)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    met = saved(pairs(rows, saved(benchmark_seeds(items, seed)), coverage))
+    ids = met.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    few = met.count() <= BROADCAST_IDS // 2
+    texts = rows.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h")), "left_semi")
+    texts = saved(texts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("text").alias("_text")).dropDuplicates(["_id", "_h"]))
+    both = met.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))).join(items, "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, item in zip(word_hashes(batch["_text"].to_pylist()), word_hashes(batch["text"].to_pylist())):
+                marked = tiles(doc, item, min(seed, len(item)))
+                out.append((sum(t[2] for t in marked) / len(item), len(marked), max((t[2] for t in marked), default=0)))
+            kept = [batch[c] for c in ("doc_id", "h", "item_id")]
+            yield pa.record_batch([*kept, *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "h", "item_id", "coverage", "tiles", "longest"])
+
+    kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
+    found = both.select("doc_id", "h", "item_id", "_text", "text").mapInArrow(run, f"doc_id {kinds[0]}, h long, item_id {kinds[1]}, coverage double, tiles int, longest int")
+    return saved(found.where(F.col("coverage") >= coverage))
 
 
-def _covered(items: list[tuple[int, str | None]], seed: int, coverage: float):
-    """A function of a text: whether one of the items is covered."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """One row per contaminated document and item: doc_id, item_id, coverage, tiles, longest."""
+    found = _tiled(docs, benchmark, seed, coverage)
+    few = found.count() <= BROADCAST_IDS // 2
+    hit = found.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "item_id", "coverage", "tiles", "longest")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    return rows.join(F.broadcast(hit) if few else hit, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("h").eqNullSafe(F.col("_h"))).select("doc_id", "item_id", "coverage", "tiles", "longest")
 
-    @F.pandas_udf("boolean")
-    def hit(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        block = Block(items, seed)
-        for s in texts:
-            yield pd.Series([any(c >= coverage for _, c, _ in block.match(t)) for t in s], dtype=bool)
 
-    return hit
+def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """The documents that no item covers up to ``coverage``, in all their columns."""
+    found = _tiled(docs, benchmark, seed, coverage).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    few = found.count() <= BROADCAST_IDS // 2
+    return docs.join(F.broadcast(found) if few else found, docs["doc_id"].eqNullSafe(F.col("_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_h")), "left_anti")

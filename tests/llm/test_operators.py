@@ -454,8 +454,7 @@ def test_mixed_documents_meet_their_targets_to_half_a_document(spark):
 # --- 9 decontamination --------------------------------------------------------------------
 
 
-def test_tiling_finds_reordered_passages(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+def test_tiling_finds_reordered_passages(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
     w = item.split()
     bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (None, "some other passage with several words in it")], "item_id long, text string")

@@ -21,8 +21,7 @@ SHARDS = 16
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
     weights = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, weights)
-    return scored.where(scored["score"] < toxicity.THRESHOLD).select(docs.columns)
+    return toxicity.reject(docs, weights)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ def tokens(c: Column) -> Column:
 
 def lookup(c: Column, values: dict) -> Column:
     """The value of a key in a small fixed table, null for others."""
-    return reduce(lambda out, pair: out.when(c == pair[0], F.lit(pair[1])), values.items(), F.when(F.lit(False), F.lit(None)))
+    return reduce(lambda out, pair: out.when(c == pair[0], pair[1]), values.items(), F.when(F.lit(False), F.lit(None)))
 
 
 def masked(c: Column, length: int = 200) -> Column:

@@ -37,9 +37,10 @@ def difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def slice_last(df: DataFrame, dims: list[str], period: str, until: Column, tie: str) -> DataFrame:
-    """Last row of every combination of dimensions up to and with ``until``."""
-    w = W.partitionBy(*dims).orderBy(F.desc(period), F.desc(tie))
-    return df.where(F.col(period) <= until).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Last row of every combination of dimensions up to and with ``until``; each task keeps only its own last rows."""
+    rest = [c for c in df.columns if c not in dims]
+    last = df.where(F.col(period) <= until).groupBy(*dims).agg(F.max_by(F.struct(*rest), F.struct(period, tie)).alias("_last"))
+    return last.select(*dims, "_last.*").select(df.columns)
 
 
 def top_by(df: DataFrame, section: list[str], n: int, *order: Column) -> DataFrame:

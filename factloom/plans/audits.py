@@ -158,13 +158,14 @@ def exchange_audit(s, d):
     return plan.union(o.join(t.table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.lit("NoRegistration"), "o_orderkey"))
 
 
-@query("""WITH o AS (SELECT DISTINCT o_orderkey % 200 AS command, c_mktsegment AS role, c_acctbal < 0 AS hidden FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'), r AS (SELECT command, role, NOT bool_or(hidden) AS override FROM o GROUP BY 1, 2), c AS (SELECT p_partkey AS command, CASE WHEN p_size < 10 THEN false WHEN p_size < 20 THEN true END AS common FROM part WHERE p_partkey <= 200)
-SELECT c.command, role, coalesce(override, common, true) AS visible, CASE WHEN override IS NOT NULL THEN 'role' WHEN common IS NOT NULL THEN 'common' ELSE 'default' END AS by FROM c LEFT JOIN r ON c.command = r.command""".replace("AS by", 'AS "by"'))
+@query("""WITH r AS (SELECT l_partkey AS command, c_mktsegment AS role, NOT bool_or(c_acctbal < 0) AS override FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+c AS (SELECT p_partkey AS command, CASE WHEN p_size < 10 THEN false WHEN p_size < 20 THEN true END AS common FROM part)
+SELECT c.command, role, coalesce(override, common, true) AS visible, CASE WHEN override IS NOT NULL THEN 'role' WHEN common IS NOT NULL THEN 'common' ELSE 'default' END AS "by" FROM c LEFT JOIN r ON c.command = r.command""")
 def command_visibility(s, d):
     """Whether commands are shown: a role's setting, else the common one, else yes."""
-    o = t.table(s, d, "orders").where("o_orderstatus = 'P'").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    r = o.groupBy((F.col("o_orderkey") % 200).alias("command"), F.col("c_mktsegment").alias("role")).agg((~F.bool_or(F.col("c_acctbal") < 0)).alias("override"))
-    c = t.table(s, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("command"), F.when(F.col("p_size") < 10, False).when(F.col("p_size") < 20, True).alias("common"))
+    o = t.table(s, d, "orders").where("o_orderstatus = 'P'").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_mktsegment").alias("role"), (F.col("c_acctbal") < 0).alias("hidden"))
+    r = t.table(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("command")).join(o, "l_orderkey").groupBy("command", "role").agg((~F.bool_or("hidden")).alias("override"))
+    c = t.table(s, d, "part").select(F.col("p_partkey").alias("command"), F.when(F.col("p_size") < 10, False).when(F.col("p_size") < 20, True).alias("common"))
     by = F.when(F.col("override").isNotNull(), "role").when(F.col("common").isNotNull(), "common").otherwise("default")
     return c.join(r, "command", "left").select("command", "role", F.coalesce("override", "common", F.lit(True)).alias("visible"), by.alias("by"))
 

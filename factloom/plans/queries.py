@@ -94,7 +94,7 @@ def first_call_sites(s, d):
     return t.references(s, d).groupBy("dst").agg(F.min(F.struct("src", "line")).alias("m")).select("dst", F.col("m.src").alias("first_src"), F.col("m.line").alias("line"))
 
 
-@query("""WITH names AS (SELECT DISTINCT p_type AS scope, p_name AS name FROM part), calls AS (SELECT DISTINCT l_orderkey AS src, p_type AS scope, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1),
+@query("""WITH names AS (SELECT DISTINCT p_type AS scope, p_name AS name FROM part), calls AS (SELECT DISTINCT l_orderkey AS src, p_type AS scope, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
 local AS (SELECT p_type AS scope, p_name AS name, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1, 2), anywhere AS (SELECT p_name AS name, count(*) AS n FROM part WHERE p_size > 40 GROUP BY 1)
 SELECT c.src, c.scope, c.name, CASE WHEN l.n IS NOT NULL THEN 'local' WHEN g.n IS NOT NULL THEN 'global' ELSE 'none' END AS via,
 CASE WHEN coalesce(l.n, g.n) IS NULL THEN 'unresolved' WHEN coalesce(l.n, g.n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS state
@@ -102,7 +102,7 @@ FROM calls c LEFT JOIN local l ON c.scope = l.scope AND c.name = l.name LEFT JOI
 def resolution_cascade(s, d):
     """Names resolved in their own scope, else anywhere: one is resolved, more are ambiguous."""
     part = t.table(s, d, "part")
-    calls = t.table(s, d, "lineitem").where("l_linenumber = 1").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), F.col("p_type").alias("scope"), F.col("p_name").alias("name")).distinct()
+    calls = t.table(s, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), F.col("p_type").alias("scope"), F.col("p_name").alias("name")).distinct()
     local = part.where("p_size <= 10").groupBy(F.col("p_type").alias("scope"), F.col("p_name").alias("name")).agg(F.count("*").alias("here"))
     anywhere = part.where("p_size > 40").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("there"))
     n = F.coalesce("here", "there")
@@ -130,7 +130,7 @@ def data_health(s, d):
 def log_summary(s, d):
     """Log entries grouped by event, user and masked comment."""
     e = t.table(s, d, "events").withColumn("comment", text.masked(F.col("props")))
-    return e.groupBy("event_type", "user_id", "comment").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("props", "ts").alias("latest"))
+    return e.groupBy("event_type", "user_id", "comment").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("props", F.struct("ts", "event_id")).alias("latest"))
 
 
 @query("SELECT event_id, ts, event_type, substr(props, 1, 5) AS comment FROM events WHERE event_type <> 'view' ORDER BY ts DESC, event_id LIMIT 100 OFFSET 50")
@@ -214,9 +214,12 @@ def attribution(s, d):
 _TOKENS = "tokens AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zäöüßéèêçñóí0-9]+')) AS word FROM documents) WHERE word <> '')"
 
 
-def _tokens(s, d):
-    words = F.split(F.lower("text"), "[^a-zäöüßéèêçñóí0-9]+")
-    return t.table(s, d, "documents").select("doc_id", F.explode(words).alias("word")).where("word <> ''")
+_LETTER = "[a-zäöüßéèêçñóí0-9]"
+
+
+def _word(x: str) -> str:
+    """A pattern of a whole word."""
+    return f"(?<!{_LETTER}){x}(?!{_LETTER})"
 
 
 @query(f"""WITH {_TOKENS}, n AS (SELECT count(*) AS docs FROM documents), idf AS (SELECT word, ln(1 + (SELECT docs FROM n) / count(*)) AS idf FROM tokens WHERE word IN ('the', 'trash', 'lager', 'thing', 'rend', 'und') GROUP BY word)
@@ -224,10 +227,14 @@ SELECT doc_id, round(sum(idf), 6) AS score, CAST(count(*) AS BIGINT) AS terms FR
 def idf_search(s, d):
     """Documents by the weight of the terms that they hold."""
     terms = ["the", "trash", "lager", "thing", "rend", "und"]
-    hits = _tokens(s, d).where(F.col("word").isin(terms)).distinct()
-    docs = t.table(s, d, "documents").agg(F.count("*").alias("docs"))
-    idf = hits.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(docs)).select("word", F.log(1 + F.col("docs") / F.col("df")).alias("idf"))
-    return hits.join(F.broadcast(idf), "word").groupBy("doc_id").agg(F.round(F.sum("idf"), 6).alias("score"), F.count("*").alias("terms")).orderBy(F.desc("score"), "doc_id").limit(50)
+    low = F.lower("text")
+    held = F.array_compact(F.array(*[F.when(low.rlike(_word(x)), x) for x in terms]))
+    docs = t.table(s, d, "documents").select("doc_id", held.alias("held"))
+    # one pass counts the documents that hold each term; no word leaves its row
+    n = docs.agg(F.count("*").alias("docs"), *[F.count_if(F.array_contains("held", x)).alias(x) for x in terms])
+    weight = F.aggregate("held", F.lit(0.0), lambda a, w: a + text.lookup(w, {x: F.log(1 + F.col("docs") / F.col(x)) for x in terms}))
+    found = docs.where(F.size("held") > 0).join(F.broadcast(n))  # one row
+    return found.select("doc_id", F.round(weight, 6).alias("score"), F.size("held").cast("long").alias("terms")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zäöüßéèêçñóí0-9]+')) AS word FROM documents), len AS (SELECT doc_id, count(*) AS n FROM w WHERE word <> '' GROUP BY 1), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
@@ -235,9 +242,10 @@ tf AS (SELECT doc_id, word, count(*) AS f FROM w WHERE word IN ('trash', 'idiot'
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM tf JOIN df USING (word) JOIN len USING (doc_id) CROSS JOIN stat GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
 def bm25_search(s, d):
     """Documents by BM25 (k1 1.2, b 0.75)."""
-    w = _tokens(s, d)
-    # lengths and term counts in one aggregation, so words are shuffled once
-    per = w.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum((F.col("word") == x).cast("int")).alias(x) for x in ("trash", "idiot", "thing")])
+    # lengths and term counts are counted within each row
+    low, counted = F.lower("text"), ("trash", "idiot", "thing")
+    n = F.regexp_count(low, F.lit(f"{_LETTER}+"))
+    per = t.table(s, d, "documents").select("doc_id", n.alias("n"), *[F.regexp_count(low, F.lit(_word(x))).alias(x) for x in counted]).where("n > 0")
     stat = per.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(x) > 0).cast("int")).alias("df_" + x) for x in ("trash", "idiot", "thing")])
     score = sum(F.when(F.col(x) > 0, F.log(1 + (F.col("docs") - F.col("df_" + x) + 0.5) / (F.col("df_" + x) + 0.5)) * F.col(x) * 2.2 / (F.col(x) + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))).otherwise(0.0) for x in ("trash", "idiot", "thing"))
     return per.join(F.broadcast(stat)).where("trash + idiot + thing > 0").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)

@@ -45,5 +45,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     for name, key, to, by in fk:
         one = table(spark, d, name).select(_node(name, key).alias("src"), _node(to, by).alias("dst"), F.lit(f"{name}-{to}").alias("kind"), F.lit("base").alias("layer"))
         out = one if out is None else out.unionByName(one)
-    pairs = table(spark, d, "lineitem").select(_node("part", "l_partkey").alias("src"), _node("supplier", "l_suppkey").alias("dst"), F.lit("part-supplier").alias("kind"), F.when(F.col("l_returnflag") == "R", "ext-a").otherwise("base").alias("layer")).distinct()
+    # distinct numbers first, texts after
+    own = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", (F.col("l_returnflag") == "R").alias("ext")).distinct()
+    pairs = own.select(_node("part", "l_partkey").alias("src"), _node("supplier", "l_suppkey").alias("dst"), F.lit("part-supplier").alias("kind"), F.when(F.col("ext"), "ext-a").otherwise("base").alias("layer"))
     return out.unionByName(pairs)

@@ -1,11 +1,16 @@
 """Readers of an application export: XML files below a folder, read by Spark's own XML source.
 
 Every reader takes the export's root and lists it recursively; namespaces are ignored and files
-that don't parse give no rows. Nested lists are exploded, so results are flat fact tables.
+that don't parse give no rows. Nested lists are exploded, so results are flat fact tables. Forms
+and predefined items nest to any depth; those files are read whole, each by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +81,95 @@ def subsystems(spark: SparkSession, root: str) -> DataFrame:
     found = _read(spark, root, "MetaDataObject", schema).where("Subsystem IS NOT NULL")
     rows = lambda c, kind: F.transform(F.filter(F.coalesce(F.col(c), F.array()), lambda x: F.trim(x) != ""), lambda x: F.struct(F.lit(kind).alias("relation"), F.trim(x).alias("item")))
     return found.select(F.col("Subsystem.Properties.Name").alias("name"), F.inline(F.concat(rows("Subsystem.Properties.Content.Item", "object"), rows("Subsystem.ChildObjects.Subsystem", "child"))))
+
+
+def scheduled_jobs(spark: SparkSession, root: str) -> DataFrame:
+    """Scheduled jobs: name, method, used, predefined."""
+    schema = "ScheduledJob struct<Properties: struct<Name: string, MethodName: string, Use: string, Predefined: string>>"
+    p = F.col("ScheduledJob.Properties")
+    found = _read(spark, root, "MetaDataObject", schema).where(p.isNotNull())
+    return found.select(p["Name"].alias("name"), p["MethodName"].alias("method"), (F.lower(p["Use"]) == "true").alias("used"), (F.lower(p["Predefined"]) == "true").alias("predefined"))
+
+
+def _plain_tag(tag: str) -> str:
+    return tag.rsplit("}", 1)[-1]
+
+
+def _trees(spark: SparkSession, root: str, name: str, walk, schema: str) -> DataFrame:
+    """Rows that ``walk`` (path, root element) gives for each file; one file is read whole by one task.
+
+    Elements nest to any depth, which a fixed schema can't say. Files that don't parse give no rows.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, value in zip(pdf["path"], pdf["value"]):
+                try:
+                    top = ElementTree.fromstring(value)
+                except ElementTree.ParseError:
+                    continue
+                rows += walk(path, top)
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.mapInPandas(run, schema)
+
+
+def form_items(spark: SparkSession, root: str) -> DataFrame:
+    """Contents of forms: path, part (item, attribute, command, event), kind, name, parent, detail.
+
+    Items nest; ``parent`` is the item around one, or empty. An event's name is the event, its
+    detail the handler and its parent the item that has it; an attribute's detail is its types.
+    """
+    parts = {"Attributes": "attribute", "Commands": "command"}
+
+    def walk(path: str, top: ElementTree.Element) -> list[tuple]:
+        rows: list[tuple] = []
+        stack = [(top, "")]
+        while stack:
+            element, parent = stack.pop()
+            for child in element:
+                tag = _plain_tag(child.tag)
+                if tag == "Events":
+                    rows.extend((path, "event", "Event", e.get("name") or "", parent, (e.text or "").strip()) for e in child)
+                elif tag == "ChildItems":
+                    for item in child:
+                        name = item.get("name") or ""
+                        detail = next(((x.text or "").strip() for x in item if _plain_tag(x.tag) == "DataPath"), "")
+                        rows.append((path, "item", _plain_tag(item.tag), name, parent, detail))
+                        stack.append((item, name))
+                elif tag in parts and element is top:
+                    for x in child:
+                        types = [_plain_text(y.text) for y in x.iter() if _plain_tag(y.tag) == "Type" and (y.text or "").strip()]
+                        action = [(y.text or "").strip() for y in x if _plain_tag(y.tag) == "Action"]
+                        rows.append((path, parts[tag], _plain_tag(x.tag), x.get("name") or "", "", ",".join(types or action)))
+        return rows
+
+    return _trees(spark, root, "Form.xml", walk, "path string, part string, kind string, name string, parent string, detail string")
+
+
+def _plain_text(value: str | None) -> str:
+    return (value or "").strip().split(":", 1)[-1]
+
+
+def predefined(spark: SparkSession, root: str) -> DataFrame:
+    """Predefined items: path, name, code, description, folder, parent. Items nest to any depth."""
+
+    def walk(path: str, top: ElementTree.Element) -> list[tuple]:
+        rows: list[tuple] = []
+        stack = [(top, "")]
+        while stack:
+            element, parent = stack.pop()
+            for child in element:
+                tag = _plain_tag(child.tag)
+                if tag == "Item":
+                    own = {_plain_tag(x.tag): (x.text or "").strip() for x in child}
+                    rows.append((path, own.get("Name", ""), own.get("Code", ""), own.get("Description", ""), own.get("IsFolder", "") == "true", parent))
+                    stack.append((child, own.get("Name", "")))
+                elif tag == "ChildItems":
+                    stack.append((child, parent))
+        return rows
+
+    return _trees(spark, root, "Predefined.xml", walk, "path string, name string, code string, description string, folder boolean, parent string")

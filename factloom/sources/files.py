@@ -67,9 +67,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = "version int, components array<struct<name: string, root: string, kind: string, applyOrder: int>>"
     c = spark.read.schema(schema).option("multiLine", True).json(path).select("version", F.inline("components"))
-    n = c.groupBy("name").agg(F.count("*").alias("_n"))
+    n = c.groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("_n"))
     finding = (
         F.when(F.col("version").isNull(), "version is missing").when(F.coalesce(F.trim("name"), F.lit("")) == "", "name is missing").when(F.col("_n") > 1, "name is not unique")
         .when(F.coalesce("root", F.lit("/")).rlike(r"(^|/)\.\.(/|$)|^/"), "root leaves the folder").when(~F.coalesce("kind", F.lit("")).isin("configuration", "extension", "processor"), "kind is not known")
     )
-    return c.join(n, c["name"].eqNullSafe(n["name"])).select(c["name"], "root", "kind", finding.alias("finding"))
+    return c.join(n, F.col("name").eqNullSafe(F.col("_name"))).select("name", "root", "kind", finding.alias("finding"))

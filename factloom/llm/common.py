@@ -13,7 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows and bytes that Spark hands to a Python worker at once.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,7 +43,9 @@ PART = 1 << 18
 WORDS = re.compile(r"\w+")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(sys.maxunicode + 1, bool)
-_WORD[[ord(c) for c in WORDS.findall(" ".join(chr(c) for c in range(sys.maxunicode + 1)))]] = True
+for _a in range(0, len(_WORD), 1 << 12):
+    for _m in WORDS.finditer("".join(map(chr, range(_a, min(_a + (1 << 12), len(_WORD)))))):
+        _WORD[_a + _m.start() : _a + _m.end()] = True
 
 
 def word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:

@@ -236,17 +236,22 @@ def blocks(page: str) -> list[Block]:
 def costs(b: Block) -> float:
     """How strongly the classifier takes a block for content; negative for boilerplate."""
     words = b.text.count(" ") + 1
-    return BIAS + LENGTH * math.log1p(words) + (CLOSED if b.text[-1:] in ".!?…。！？" else 0.0) + (HEADING if b.heading else 0.0) + LINKS * b.links + b.lean
+    linked = LINKS * b.links / (1 + words / 10)  # a whole sentence may be a link
+    return BIAS + LENGTH * math.log1p(words) + (CLOSED if b.text[-1:] in ".!?…。！？" else 0.0) + (HEADING if b.heading else 0.0) + linked + b.lean
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next, and with the next under the same parent."""
-    out = [(i, i + 1, NEXT[0] + (NEXT[1] - NEXT[0]) * found[i + 1].shared) for i in range(len(found) - 1)]
-    last: dict[int, int] = {}
+    """Smoothness edges: each block with the next, and with the next under the same parent.
+
+    Blocks that lean apart are hardly neighbours: an advert between paragraphs takes none of them along.
+    """
+    alike = [a.lean == b.lean for a, b in zip(found, found[1:])]
+    out = [(i, i + 1, NEXT[0] + ((NEXT[1] - NEXT[0]) * found[i + 1].shared if same else 0.0)) for i, same in enumerate(alike)]
+    last: dict[tuple[int, float], int] = {}
     for i, b in enumerate(found):
-        if b.parent in last:
-            out.append((last[b.parent], i, SIBLING))
-        last[b.parent] = i
+        if (b.parent, b.lean) in last:
+            out.append((last[b.parent, b.lean], i, SIBLING))
+        last[b.parent, b.lean] = i
     return out
 
 

@@ -36,10 +36,10 @@ REPEATS = 3
 def sizes(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id``, ``source``, ``more``, ``size`` (the number of words) and ``place`` of every document.
 
-    The place is a hash of the id and the text, so rows that share an id, or have none, still
-    spread over all slices.
+    The place is a hash of the id and the text's length and beginning, so rows that share an id,
+    or have none, still spread over all slices.
     """
-    place = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    place = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.length("text").cast("string"), F.left("text", F.lit(64))))
     return docs.select("doc_id", "source", *more, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place.alias("place"))
 
 

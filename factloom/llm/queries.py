@@ -87,7 +87,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    md5(concat_ws(' ', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place FROM documents),
+    md5(concat_ws(' ', CAST(doc_id AS VARCHAR), CAST(length(text) AS VARCHAR), left(text, 64))) AS place FROM documents),
 total AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS ordinal FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST((ordinal - 1) % 3 + 1 AS DOUBLE) AS weight, source_size * 3.0::DOUBLE AS cap FROM total),
 levels AS (

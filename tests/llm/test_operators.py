@@ -266,10 +266,12 @@ def test_extraction_keeps_text_beside_ordinary_markup(markup):
     assert extract.main_text(f"<article><p>{text}</p>{markup.format(text)}<p>{text}</p></article>") == "\n".join([text] * 3)
 
 
-def test_extraction_drops_opaque_and_hidden_elements():
+def test_extraction_drops_controls_and_frames_and_keeps_all_else():
     text = "The lakes of the north lie under snow for most of the year, and few people go there before the summer."
-    for inner in ("<button><p>no</p></button>", "<select><option>no</option></select>", "<svg><title>no</title><text>no</text></svg>", "<span hidden>no</span>", '<span aria-hidden="true">no</span>', "<iframe src=x>no</iframe>", "<noscript><div>no</div></noscript>"):
+    for inner in ("<button><p>no</p></button>", "<select><option>no</option></select>", "<svg><title>no</title></svg>", "<iframe src=x>no</iframe>", "<template><p>no</p></template>", "<textarea>no</textarea>"):
         assert extract.main_text(f"<article><p>{text} {inner}{text}</p></article>") == f"{text} {text}"
+    for inner in ("<span hidden>yes</span>", '<span aria-hidden="true">yes</span>', "<math><mi>yes</mi></math>", "<svg><text>yes</text></svg>", "<noscript>yes</noscript>", "<object data=x>yes</object>"):
+        assert extract.main_text(f"<article><p>{text} {inner} {text}</p></article>") == f"{text} yes {text}"
 
 
 # --- 5 language ---------------------------------------------------------------------------

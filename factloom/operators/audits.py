@@ -59,10 +59,10 @@ def conflicts(interceptors: DataFrame) -> DataFrame:
     return d.where("extensions >= 2").withColumn("confidence", F.lit(0.5))
 
 
-def retrieval_metrics(ranked: DataFrame, cuts: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
-    """Per ``section``: queries, hits at each cut and mean reciprocal rank (``rank`` null: not found)."""
+def retrieval_metrics(ranked: DataFrame, cuts: tuple[int, ...] = (1, 3, 10, 20, 50)) -> DataFrame:
+    """Per ``section``: queries, hits at each cut, mean reciprocal rank and median rank (``rank`` null: not found)."""
     hits = [F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"hits{k}") for k in cuts]
-    return ranked.groupBy("section").agg(F.count("*").alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"))
+    return ranked.groupBy("section").agg(F.count("*").alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"), F.percentile("rank", 0.5).alias("median"))
 
 
 def packed(candidates: DataFrame, section: str, budget: int, most: int) -> DataFrame:

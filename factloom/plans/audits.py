@@ -112,9 +112,9 @@ def interceptor_conflicts(s, d):
 
 
 @query("""WITH c AS (SELECT p_brand AS section, p_type, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC, p_partkey) AS k, p_size FROM part), r AS (SELECT section, p_type, min(CASE WHEN p_size <= 5 AND k <= 50 THEN k END) AS rank FROM c GROUP BY 1, 2)
-SELECT section, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS hits1, CAST(sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS hits3, CAST(sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS hits10, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM r GROUP BY 1""")
+SELECT section, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS hits1, CAST(sum(CASE WHEN rank <= 3 THEN 1 ELSE 0 END) AS BIGINT) AS hits3, CAST(sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS BIGINT) AS hits10, CAST(sum(CASE WHEN rank <= 20 THEN 1 ELSE 0 END) AS BIGINT) AS hits20, CAST(sum(CASE WHEN rank <= 50 THEN 1 ELSE 0 END) AS BIGINT) AS hits50, quantile_cont(rank, 0.5) AS median, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 9) AS mrr FROM r GROUP BY 1""")
 def search_metrics(s, d):
-    """Hits at 1, 3 and 10 and mean reciprocal rank of a ranking, per section."""
+    """Hits at 1 to 50, mean reciprocal and median rank of a ranking, per section."""
     top = rel.top_by(t.table(s, d, "part"), ["p_brand", "p_type"], 50, F.desc("p_retailprice"), F.col("p_partkey"))
     ranked = top.groupBy(F.col("p_brand").alias("section"), "p_type").agg(F.min(F.when(F.col("p_size") <= 5, F.col("rank"))).alias("rank"))
     return audits.retrieval_metrics(ranked)

@@ -89,3 +89,17 @@ def movements(declared: DataFrame, used: DataFrame) -> DataFrame:
     u = used.groupBy("object", "register").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"))
     state = F.when(F.col("fields").isNull(), "declared").when(F.col("_d").isNull(), "used").otherwise("both")
     return d.join(u, ["object", "register"], "full").select("object", "register", state.alias("state"), F.coalesce("fields", F.lit("")).alias("fields"))
+
+
+def budget_prefix(df: DataFrame, section: str, cost: str, tie: str, budget: int) -> DataFrame:
+    """``section, tie, used``: the cheapest rows of each section until the budget would overflow.
+
+    Rows of one cost are counted first, so the running total is over the different costs up to the
+    budget; within a cost it is the row's number, of which only as many are kept as can fit.
+    """
+    rows = df.where(F.col(cost) <= budget)
+    levels = rows.groupBy(section, cost).agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(section).orderBy(cost).rowsBetween(W.unboundedPreceding, 0)
+    levels = levels.withColumn("_before", F.sum(F.col("_n") * F.col(cost)).over(upto) - F.col("_n") * F.col(cost)).where(F.col("_before") <= budget).drop("_n")
+    numbered = rows.join(levels, [section, cost]).withColumn("_k", F.row_number().over(W.partitionBy(section, cost).orderBy(tie))).where((F.col(cost) == 0) | (F.col("_k") <= budget + 1))
+    return numbered.select(section, tie, (F.col("_before") + F.col("_k") * F.col(cost)).alias("used")).where(F.col("used") <= budget)

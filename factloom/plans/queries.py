@@ -273,8 +273,8 @@ def top_per_section(s, d):
 @query("""SELECT source, doc_id, used FROM (SELECT source, doc_id, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 20000""")
 def budget_prefix(s, d):
     """Documents of every source, shortest first, until the budget would overflow."""
-    w = W.partitionBy("source").orderBy("n_chars", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    return t.table(s, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("used")).where("used <= 20000")
+    docs = t.table(s, d, "documents").select("source", "doc_id", "n_chars")
+    return rel.budget_prefix(docs, "source", "n_chars", "doc_id", 20000)
 
 
 @query("""WITH l AS (SELECT doc_id, CAST(unnest(generate_series(1, len(string_split(text, chr(10))))) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents)

@@ -18,20 +18,22 @@ def matched_templates(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     ``calls`` have ``id`` and ``url``, ``endpoints`` have ``endpoint`` and ``pattern``. ``{name}``
     stands for any segment, a last ``*`` for any number. More literal segments win, then templates
     without ``*``, then the smaller name. Templates are few shapes (which segments are literal);
-    a call takes one key per shape, so both sides meet by equality and never all with all.
+    a call takes one key per shape, so both sides meet by equality and never all with all. If both
+    have a ``verb``, it must be the same, or ``*`` for the template.
     """
-    e = endpoints.select("endpoint", text.segments(F.col("pattern")).alias("s"))
+    verb = ["verb"] if "verb" in endpoints.columns and "verb" in calls.columns else []
+    e = endpoints.select("endpoint", *verb, text.segments(F.col("pattern")).alias("s"))
     e = e.withColumn("tail", F.coalesce(F.get("s", F.size("s") - 1) == "*", F.lit(False)))
     e = e.withColumn("s", F.when(F.col("tail"), F.slice("s", F.lit(1), F.size("s") - 1)).otherwise(F.col("s")))
     literal = F.filter("s", lambda x: ~_open(x))
     shape = F.concat_ws("", F.transform("s", lambda x: F.when(_open(x), "0").otherwise("1")))
-    e = e.select("endpoint", "tail", F.size("s").alias("depth"), shape.alias("shape"), F.concat_ws("/", literal).alias("key"), F.size(literal).alias("literals"))
-    c = calls.select("id", text.segments(F.col("url")).alias("c"))
-    c = c.select("id", "c", F.explode(F.sequence(F.lit(0), F.size("c"))).alias("depth"))
+    e = e.select("endpoint", *verb, "tail", F.size("s").alias("depth"), shape.alias("shape"), F.concat_ws("/", literal).alias("key"), F.size(literal).alias("literals"))
+    c = calls.select("id", *[F.explode(F.array("verb", F.lit("*"))).alias("verb") for _ in verb], text.segments(F.col("url")).alias("c"))
+    c = c.select("id", *verb, "c", F.explode(F.sequence(F.lit(0), F.size("c"))).alias("depth"))
     c = c.join(e.select("depth", "shape", "tail").distinct(), "depth").where(F.col("tail") | (F.col("depth") == F.size("c")))
     head = F.slice("c", F.lit(1), F.col("depth"))
     c = c.withColumn("key", F.concat_ws("/", F.filter(head, lambda x, i: F.substring("shape", i + 1, F.lit(1)) == "1")))
-    best = c.join(e, ["depth", "shape", "tail", "key"]).groupBy("id").agg(F.min(F.struct((-F.col("literals")).alias("n"), "tail", "endpoint")).alias("m"))
+    best = c.join(e, ["depth", "shape", "tail", "key", *verb]).groupBy("id").agg(F.min(F.struct((-F.col("literals")).alias("n"), "tail", "endpoint")).alias("m"))
     return calls.select("id").join(best, "id", "left").select("id", F.col("m.endpoint").alias("endpoint"))
 
 

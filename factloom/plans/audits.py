@@ -21,6 +21,16 @@ def path_templates(s, d):
     return routes.matched_templates(t.table(s, d, "pages").select(F.col("page_id").alias("id"), "url"), e)
 
 
+@query(r"""WITH c AS (SELECT page_id AS id, CASE WHEN starts_with(url, 'https') THEN 'POST' ELSE 'GET' END AS verb, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+e(endpoint, re, literals, tail, verb) AS (VALUES ('E1', '^/+en/+[^/]+/*$', 1, 0, 'GET'), ('E2', '^/+[^/]+/+825/*$', 1, 0, '*'), ('E3', '', 0, 1, 'POST'), ('E4', '^/+de(/|$)', 1, 1, 'GET'))
+SELECT id, (SELECT arg_min(endpoint, (-literals, tail, endpoint)) FROM e WHERE regexp_matches(c.p, re) AND e.verb IN ('*', c.verb)) AS endpoint FROM c""")
+def verb_templates(s, d):
+    """The endpoint whose path template and verb fit a call best."""
+    e = s.createDataFrame([("E1", "/en/{id}", "GET"), ("E2", "/{lang}/825", "*"), ("E3", "/*", "POST"), ("E4", "/de/*", "GET")], "endpoint string, pattern string, verb string")
+    verb = F.when(F.col("url").startswith("https"), "POST").otherwise("GET")
+    return routes.matched_templates(t.table(s, d, "pages").select(F.col("page_id").alias("id"), "url", verb.alias("verb")), e)
+
+
 @query(r"""WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^:/?#]*)', 1)) AS host FROM pages),
 r(rule, project) AS (VALUES ('m.therou.example.com', 'exact'), ('*.example.com', 'com'), ('*.example.net', 'net'), ('*ion.example.net', 'ion'))
 SELECT host, coalesce((SELECT project FROM r WHERE rule = host), (SELECT arg_max(project, length(rule)) FROM r WHERE starts_with(rule, '*') AND ends_with(host, substr(rule, 2)))) AS project FROM h""")

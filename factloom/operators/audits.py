@@ -49,8 +49,9 @@ def republished(old: DataFrame, new: DataFrame, key: str, digest: str, generatio
 
 
 def merged_edges(evidence: DataFrame) -> DataFrame:
-    """Edges from their evidence: best confidence, shortest chain, number of files and rows."""
-    return evidence.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), F.min("chain").alias("chain"), F.countDistinct("file").alias("files"), F.count("*").alias("n"))
+    """Edges from their evidence: best confidence, shortest ``chain`` (an array), all files in order, number of rows."""
+    shortest = F.min(F.struct(F.size("chain"), F.col("chain").alias("chain")))["chain"]
+    return evidence.groupBy("src", "dst", "kind").agg(F.max("confidence").alias("confidence"), shortest.alias("chain"), F.array_sort(F.collect_set("file")).alias("files"), F.count("*").alias("n"))
 
 
 def conflicts(interceptors: DataFrame) -> DataFrame:

@@ -107,11 +107,12 @@ def published_generation(s, d):
     return audits.republished(old, new.select("doc_id", sha), "doc_id", "digest", 2)
 
 
-@query("SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS kind, max(1 - l_discount) AS confidence, min(l_linenumber) AS chain, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3".replace("max(1 - l_discount)", "round(max(1 - l_discount), 4)"))
+@query("""SELECT l_partkey AS src, l_suppkey AS dst, l_returnflag AS kind, round(max(1 - l_discount), 4) AS confidence, array_to_string(range(1, min(l_linenumber) + 1), '>') AS chain, string_agg(DISTINCT l_orderkey::VARCHAR, ',' ORDER BY l_orderkey::VARCHAR) AS files, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3""")
 def edge_merge(s, d):
-    """Edges merged from their evidence."""
-    r = t.references(s, d).select(F.col("dst").alias("src"), F.col("owner").alias("dst"), "kind", "confidence", F.col("line").alias("chain"), F.col("src").alias("file"))
-    return audits.merged_edges(r)
+    """Edges merged from their evidence: a chain has as many steps as the number of its line."""
+    chain = F.transform(F.sequence(F.lit(1), F.col("line")), lambda x: x.cast("string"))
+    r = t.references(s, d).select(F.col("dst").alias("src"), F.col("owner").alias("dst"), "kind", "confidence", chain.alias("chain"), F.col("src").cast("string").alias("file"))
+    return audits.merged_edges(r).withColumns({"chain": F.array_join("chain", ">"), "files": F.array_join("files", ",")})
 
 
 @query("SELECT l_partkey AS target, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS extensions, 0.5::DOUBLE AS confidence FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, language, lines, mixing, secrets, sharding, simhash, topk, toxicity
+from . import decontaminate, extract, language, lines, mixing, resample, secrets, sharding, simhash, topk, toxicity, whiten
 from .common import table
 
 
@@ -62,6 +62,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_line_dedup, op3_toxicity, op4_html_extraction, op5_language_id, op6_simhash, op7_topk, op8_mixing, op9_decontamination, op10_secrets, pipeline)
+    own = (op1_sharding, op2_line_dedup, op3_toxicity, op4_html_extraction, op5_language_id, op6_simhash, op7_topk, op8_mixing, op9_decontamination, op10_secrets, op12_resampling, op13_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -108,5 +116,27 @@ FROM curve
 """
 
 
+OP12_SQL = r"""
+WITH worded AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+hex(c, v) AS (SELECT substr('0123456789abcdef', CAST(i + 1 AS INTEGER), 1), i FROM range(16) t(i)),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), range(8)::UBIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT unnest(words) AS word FROM worded UNION ALL SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark)),
+bucketed AS (
+  SELECT word, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, CAST(octet_length(encode(word)) + 1 AS BIGINT)), lambda i: CAST(16 * (instr('0123456789ABCDEF', substr(hex(encode(word)), CAST(2 * i - 1 AS INTEGER), 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(word)), CAST(2 * i AS INTEGER), 1)) - 1 AS UBIGINT))), lambda a, b: xor(a >> 8, t[CAST(xor(a & 255::UBIGINT, b) AS BIGINT) + 1])), 4294967295::UBIGINT) % 10000 AS BIGINT) AS bucket FROM vocabulary, crc_table),
+s AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(words) AS word FROM worded) JOIN bucketed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark) JOIN bucketed USING (word) GROUP BY 1),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (
+  SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM (SELECT row, unnest(words) AS word FROM worded) JOIN bucketed USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT w.row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || left(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h FROM worded w LEFT JOIN weights USING (row)),
+final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored),
+placed AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS k FROM final WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN k <= (SELECT count(*) FROM placed) * 10 // 100 THEN k END AS BIGINT) AS rank FROM final LEFT JOIN placed USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op8_mixing": OP8_SQL}
+    return {"op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op12_resampling": OP12_SQL}

@@ -25,7 +25,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,18 +57,22 @@ def _blobs(texts) -> list[bytes]:
     return [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Rank of each bucket of word hashes by the words counted in it, as a number from 0 to 255.
+def _word_hashes(texts: list[str | None]) -> Iterator[np.ndarray]:
+    return (split_words(part).hash for _, part in chunks(_blobs(texts)))
 
-    A bucket with a single word in all lines is 0: that word can't be shared. Every task adds up
+
+def rarity(docs: DataFrame, hashes: Callable[[list[str | None]], Iterator[np.ndarray]] = _word_hashes) -> np.ndarray:
+    """Rank of each bucket of the ``hashes`` of all texts by what is counted in it, as a number from 0 to 255.
+
+    A bucket with a single hash in all texts is 0: that one can't be shared. Every task adds up
     its own counts first; what reaches the driver has a fixed size.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
-            for _, part in chunks(_blobs(batch["text"].to_pylist())):
-                total += np.bincount((split_words(part).hash >> _SHIFT).astype(np.int64), minlength=len(total))
+            for h in hashes(batch["text"].to_pylist()):
+                total += np.bincount((h >> _SHIFT).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 16):
             own = at[i : i + (1 << 16)]

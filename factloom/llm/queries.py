@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, language, lines, mixing, resample, secrets, sharding, simhash, topk, toxicity, whiten
+from . import decontaminate, extract, language, lines, mixing, ngrams, resample, secrets, sharding, simhash, topk, toxicity, whiten
 from .common import table
 
 
@@ -62,6 +62,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.join(table(spark, sf_dir, "documents"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_line_dedup, op3_toxicity, op4_html_extraction, op5_language_id, op6_simhash, op7_topk, op8_mixing, op9_decontamination, op10_secrets, op12_resampling, op13_whitening, pipeline)
+    own = (op1_sharding, op2_line_dedup, op3_toxicity, op4_html_extraction, op5_language_id, op6_simhash, op7_topk, op8_mixing, op9_decontamination, op10_secrets, op11_ngram_join, op12_resampling, op13_whitening, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -116,6 +120,19 @@ FROM curve
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+runs AS (SELECT row, len(s) AS n, unnest(s) AS run FROM sets),
+common AS (SELECT a.row AS a, b.row AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM runs a JOIN runs b ON a.run = b.run AND a.row <> b.row GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * k >= 80 * (na + nb - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(least(s.doc_id, o.low), s.doc_id, o.low) AS component_id
+FROM sets s LEFT JOIN (SELECT a, min(t.doc_id) AS low FROM reach JOIN sets t ON t.row = reach.b GROUP BY 1) o ON o.a = s.row
+"""
+
 OP12_SQL = r"""
 WITH worded AS (
   SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
@@ -139,4 +156,4 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CAST(CAS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op12_resampling": OP12_SQL}
+    return {"op7_topk": OP7_SQL, "op8_mixing": OP8_SQL, "op11_ngram_join": OP11_SQL, "op12_resampling": OP12_SQL}

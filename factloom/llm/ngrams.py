@@ -9,7 +9,7 @@ length filter and the positional filter (what can still be common after the shar
 sets then meet the suffix filter (pivots of one set cut both into parts, whose sizes bound from below
 what the sets differ in) and are intersected once a pair.
 
-Only who is connected counts, so pairs are not all written out:
+A class is named by the least 64-bit hash of its texts. Only who is connected counts, so pairs are not all written out:
 
 1. Under every n-gram the other classes are compared with the earliest one alone. Groups of near
    copies fall together here, at a cost in proportion to their size.
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, connected_components, join_ids, saved
-from .lines import PAIRS, RARITY_BITS, _groups, _roots, _stream, index_length, prefix_length, rarity
+from .lines import KNOWN, PAIRS, RARITY_BITS, _groups, _roots, _stream, index_length, prefix_length, rarity
 from .simhash import CELL_SHINGLES, shingle_set, similar_roots
 from .words import Words, chunks, mix, split_words
 
@@ -87,12 +87,13 @@ def ordered(part: list[bytes], words: int, ranks: np.ndarray) -> tuple[np.ndarra
 
 
 def _sketches(rows: DataFrame, words: int, similarity: float, ranks) -> DataFrame:
-    """Every row's ``doc_id``, set size ``n``, two sums over the set and the prefix of n-grams that others may hold.
+    """Every row's text hash ``h``, ``doc_id``, set size ``n``, two sums over the set and the prefix of n-grams that others may hold.
 
     ``skip`` n-grams before the prefix are in no other document.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
             for begin, part in chunks(_blobs(batch["text"].to_pylist())):
                 key, doc = ordered(part, words, ranks.value)
@@ -103,33 +104,54 @@ def _sketches(rows: DataFrame, words: int, similarity: float, ranks) -> DataFram
                     total = np.zeros(len(part), np.int64)
                     total[n > 0] = np.add.reduceat(x, first[n > 0]).view(np.int64) if len(x) else 0
                     sums.append(total)
+                fresh = np.zeros(len(part), bool)  # of a text's copies one gives its prefix
+                for i, h in enumerate(batch["h"].slice(begin, len(part)).to_pylist()):
+                    if h not in known:
+                        known.add(h)
+                        fresh[i] = True
+                if len(known) > KNOWN:
+                    known.clear()
                 # smaller sets match equal ones only
-                least = np.where(n > 1 / (1 - similarity) - 1 - 1e-9, prefix_length(n, similarity), 0)
+                least = np.where(fresh & (n > 1 / (1 - similarity) - 1 - 1e-9), prefix_length(n, similarity), 0)
                 ahead = np.arange(len(key)) - np.repeat(first, n) < np.repeat(least, n)
                 lone = key >> _RANK == 0
                 wanted = ahead & ~lone
                 cut = np.append(0, np.bincount(doc[wanted], minlength=len(part)).cumsum())
                 prefix = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(key[wanted].view(np.int64)))
                 skip = pa.array(np.bincount(doc[ahead & lone], minlength=len(part)), pa.int32())
-                own = pa.array(np.arange(begin, begin + len(part)))
-                yield pa.record_batch([batch["row"].take(own), batch["doc_id"].take(own), pa.array(n, pa.int32()), *map(pa.array, sums), skip, prefix], names=["row", "doc_id", "n", "s1", "s2", "skip", "prefix"])
+                yield pa.record_batch([batch["h"].slice(begin, len(part)), batch["doc_id"].slice(begin, len(part)), pa.array(n, pa.int32()), *map(pa.array, sums), skip, prefix], names=["h", "doc_id", "n", "s1", "s2", "skip", "prefix"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, n int, s1 long, s2 long, skip int, prefix array<long>")
+    return rows.mapInArrow(run, f"h long, doc_id {kind}, n int, s1 long, s2 long, skip int, prefix array<long>")
 
 
 def _sets(rows: DataFrame, ids: DataFrame, words: int, ranks) -> DataFrame:
-    """``id``, ``n`` and the whole set ``s`` of the rows whose ``row`` is among the distinct ``ids``."""
+    """``id``, ``n`` and the whole set ``s`` of the texts whose hash is among the distinct ``ids``.
+
+    Of copies of a text a task reads the first, and of those of several tasks one stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
+            fresh = []
+            for i, h in enumerate(batch["h"].to_pylist()):
+                if h not in known:
+                    known.add(h)
+                    fresh.append(i)
+            if len(known) > KNOWN:
+                known.clear()
+            if not fresh:
+                continue
+            batch = batch.take(pa.array(fresh))
             for begin, part in chunks(_blobs(batch["text"].to_pylist())):
                 key, doc = ordered(part, words, ranks.value)
                 cut = np.append(np.searchsorted(doc, np.arange(len(part))), len(doc)) * 8
                 s = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(key.tobytes())])
-                yield pa.record_batch([batch["row"].take(pa.array(np.arange(begin, begin + len(part)))), pa.array(np.diff(cut) // 8, pa.int32()), s], names=["id", "n", "s"])
+                yield pa.record_batch([batch["h"].slice(begin, len(part)), pa.array(np.diff(cut) // 8, pa.int32()), s], names=["id", "n", "s"])
 
-    return join_ids(rows.select("row", "text"), ids.select(F.col("id").alias("row")), "row", "left_semi").mapInArrow(run, "id long, n int, s binary")
+    found = join_ids(rows.select("h", "text"), ids.select(F.col("id").alias("h")), "h", "left_semi").mapInArrow(run, "id long, n int, s binary")
+    return found.dropDuplicates(["id"])
 
 
 def _near(n_i: np.ndarray, p_i: np.ndarray, n_j: np.ndarray, p_j: np.ndarray, similarity: float) -> np.ndarray:
@@ -150,6 +172,8 @@ def _starred(posts: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "g"):
             order = np.lexsort((rows["id"], rows["g"]))
+            g, ids = rows["g"][order], rows["id"][order]
+            order = order[np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))]  # several tasks may have met a text
             g, key, ids, size = (rows[c][order] for c in ("g", "key", "id", "np"))
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             count = np.diff(np.append(first, len(g)))
@@ -312,13 +336,13 @@ def _within(groups: DataFrame, sets: DataFrame, labels: DataFrame, similarity: f
 
 def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """``doc_id``, ``n_shingles`` (set size) and ``component_id``, the smallest ``doc_id`` reachable by links."""
-    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ranks = docs.sparkSession.sparkContext.broadcast(rarity(rows, lambda texts: (runs(split_words(part), words)[0] for _, part in chunks(_blobs(texts)))))  # 2**RARITY_BITS bytes
     own = saved(_sketches(rows, words, similarity, ranks))
     same = ["s1", "s2", "n"]
-    classes = saved(own.where("n > 0").groupBy(*same).agg(F.min("row").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    posts = join_ids(own.where(F.size("prefix") > 0), classes.select(F.col("id").alias("row")), "row", "left_semi")
-    posts = posts.select(F.col("row").alias("id"), F.posexplode("prefix").alias("pos", "key"), F.shiftleft(F.col("n").cast("long"), 32).alias("_n"), "skip")
+    classes = saved(own.where("n > 0").groupBy(*same).agg(F.min("h").alias("id"), F.min("doc_id").alias("first"), F.count("*").alias("copies")))
+    posts = join_ids(own.where(F.size("prefix") > 0), classes.select(F.col("id").alias("h")), "h", "left_semi")
+    posts = posts.select(F.col("h").alias("id"), F.posexplode("prefix").alias("pos", "key"), F.shiftleft(F.col("n").cast("long"), 32).alias("_n"), "skip")
     posts = posts.select("key", "id", (F.col("_n") + F.col("skip") + F.col("pos")).alias("np"))
     # a common n-gram is common in its bucket
     often = F.shiftrightunsigned("key", 56) >= 1 + round(8 * np.log2(cell))

@@ -57,8 +57,8 @@ def test_join_of_random_edits(spark, monkeypatch, cell, sparse):
     r = random.Random(5)
     rows = []
     for _ in range(25):
-        base = [f"v{r.randrange(10**6)}" for _ in range(r.randint(8, 90))]
-        for n in range(6):
+        base = [f"v{r.randrange(10**6)}" for _ in range(r.randint(30, 120))]
+        for n in range(4):
             w = list(base)
             for _ in range(n):
                 w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"

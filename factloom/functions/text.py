@@ -23,6 +23,32 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(cut, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def distinct_tokens(c: Column) -> Column:
+    """The distinct words of :func:`tokens`, in no order; a long text is cut into words before its words are cut."""
+    bounds = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
+    rough = F.array_distinct(F.split(c, r"[^\p{L}\p{N}]+"))
+    fine = F.flatten(F.transform(rough, lambda w: F.split(folded(F.regexp_replace(w, bounds, " ")), " ")))
+    return F.filter(F.array_distinct(fine), lambda w: w != "")
+
+
+# Endings of inflected words. Nouns made of verbs take the first part before a case.
+_CASES = "а е и й о у ы ь ю я ам ах ей ем ею ие ий им ию их ия ов ой ом ою ям ях ами ием иям иях ями".split()
+_ADJECTIVES = "ая ее ого его ое ому ему ую ые ый ым ыми ых юю яя ими".split()
+_VERBS = "ать ять еть ить уть ывать ивать овать евать ировать".split()
+_MADE = "ани ени яни овани ировани аци яци ировк к ок ек".split()
+_PLURALS = ["(?<=[sxzh])es", "s"]
+_ENDINGS = [*_CASES, *_ADJECTIVES, *_VERBS, *_MADE, *[m + c for m in _MADE for c in _CASES], *_PLURALS]
+
+
+def word_key(c: Column) -> Column:
+    """What the forms of one folded word have in common: the word without its longest known ending.
+
+    At least three letters stay. Words are forms of each other if their keys are equal, so forms are
+    found by an equality join.
+    """
+    return F.regexp_replace(c, f"^(.{{3,}}?)(?:{'|'.join(_ENDINGS)})$", "$1")
+
+
 def lookup(c: Column, values: dict) -> Column:
     """The value of a key in a small fixed table, null for others."""
     return reduce(lambda out, pair: out.when(c == pair[0], pair[1]), values.items(), F.when(F.lit(False), F.lit(None)))

@@ -1,27 +1,24 @@
 """Search and packing of context: fielded word search, intents, anchors, scores, coverage.
 
-Searches never pair all with all: words meet query terms by their first three letters, documents
-meet them by word, and everything else is aggregation.
+Searches never pair all with all: words meet query terms by the key of their forms, names meet
+misspelt ones by equal segments, and everything else is aggregation.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import side
+from ..sources.shared import kept, side
 
 # How far a word counts by the field that holds it, and the weight of the place.
 COVER = {"name": 1.0, "module": 0.7, "summary": 0.8, "doc": 0.5, "card": 0.7}
 PLACE = {"name": 3.0, "module": 2.0, "summary": 1.0, "doc": 0.5, "card": 1.0}
 WEAK = ("doc",)
-# Endings, and parts of suffixes in order, that two forms of one word may differ in.
-ENDINGS = "ями ами ого ему ому ыми ими ием иях иям ой ей ый ий ые ие ых их ым им ую юю ая яя ое ее ия ию ем ом ам ям ах ях ов ев ью es а я е и й ю у ы о ь s".split()
-SUFFIXES = ("ир", "ов ив ыв ев", "а я е и", "ни ти ци ть нн н ск ем им ющ вш л")
-INFLECTION = f"(?:{'|'.join(ENDINGS)})?"
-SUFFIX = "".join(f"(?:{'|'.join(x.split())})?" for x in SUFFIXES) + "(?:(?:й|о|е)?к)?" + INFLECTION
 # Words of a query that say nothing.
 STOP_WORDS = "или для при что это как его под над без если либо чтобы также".split()
 # Weights of the kinds of facts in a context.
@@ -31,28 +28,17 @@ CATEGORY = {
     "tables_fields": 0.7, "interceptors": 0.7, "handler_intercepts": 0.55, "posting_handler_intercepts": 0.55, "attributes": 0.65, "subscriptions": 0.7, "roles": 0.85, "rights": 0.85, "rls": 0.7, "profiles": 0.55,
     "forms": 0.55, "exchanges": 0.55, "writer_intercepts": 0.55, "query_intercepts": 0.55, "query_in_body": 0.55, "register_reads": 0.45, "member_summary": 0.6, "scheduled_job": 0.4,
 }
-HEAD = 3
-
-
-def same_word(a: Column, b: Column) -> Column:
-    """Whether two folded words are forms of one: a common beginning of three letters or more, and rests that are suffixes.
-
-    After exactly three common letters only an ending may follow.
-    """
-    n = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: F.left(a, i) == F.left(b, i)))
-    rest = lambda c: F.substring(c, n + 1, F.length(c))
-    both = lambda p: rest(a).rlike(f"^{p}$") & rest(b).rlike(f"^{p}$")
-    return (a == b) | F.when(n < HEAD, False).when(n == HEAD, both(INFLECTION)).otherwise(both(SUFFIX))
 
 
 def query_terms(queries: DataFrame, most: int = 32) -> DataFrame:
-    """``query, term, n`` of each query's ``text``: words of three letters or more, once each, in order.
+    """``query, term, key, n`` of each query's ``text``: words of three letters or more, once each, in order.
 
-    A word that is a form of an earlier kept one is left out; at most ``most`` stay.
+    A word that is a form of an earlier one is left out; at most ``most`` stay.
     """
-    words = F.filter(text.tokens(F.col("text")), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    kept = F.aggregate(words, F.array().cast("array<string>"), lambda out, w: F.when((F.size(out) >= most) | F.exists(out, lambda k: same_word(k, w)), out).otherwise(F.array_append(out, w)))
-    return queries.select("query", F.posexplode(kept).alias("n", "term")).select("query", "term", "n")
+    each = queries.select("query", F.posexplode(text.tokens(F.col("text"))).alias("n", "term")).where((F.length("term") > 2) & ~F.col("term").isin(*STOP_WORDS))
+    first = each.groupBy("query", text.word_key(F.col("term")).alias("key")).agg(F.min(F.struct("n", "term")).alias("m"))
+    n = F.row_number().over(W.partitionBy("query").orderBy("m.n")) - 1
+    return first.select("query", F.col("m.term").alias("term"), "key", n.alias("n")).where(F.col("n") < most)
 
 
 def fielded_search(methods: DataFrame, fields: list[str], terms: DataFrame, n_methods: int, n_terms: int) -> DataFrame:
@@ -61,29 +47,46 @@ def fielded_search(methods: DataFrame, fields: list[str], terms: DataFrame, n_me
     ``methods`` have id and the text ``fields``; ``terms`` come from :func:`query_terms`. A term
     weighs ln(1 + methods / holders), counted for the strong fields and, for the doc, anywhere; it
     covers by the best of its fields, and its places add to the score. The name fits by the share
-    of its words that are asked for. ``n_terms`` rows are broadcast if they are few.
+    of its words that are asked for. Words meet terms by their keys; ``n_terms`` rows are broadcast
+    if they are few, so that no word of a method that is not asked for is shuffled.
     """
-    heads = terms.select(F.left("term", F.lit(HEAD)).alias("head"), "query", "term")
+    flag = {f: 1 << i for i, f in enumerate(fields)}
 
     def of(field: str) -> Column:
-        return F.transform(F.array_distinct(text.tokens(F.coalesce(field, F.lit("")))), lambda w: F.struct(F.lit(field).alias("field"), w.alias("word")))
-
-    each = F.flatten(F.array(*map(of, fields)))
-    words = methods.select("id", F.inline(each)).withColumn("head", F.left("word", F.lit(HEAD)))
-    hit = words.join(side(heads, n_terms), "head").where(same_word(F.col("term"), F.col("word"))).select("query", "term", "id", "field").distinct()
-    strong = ~F.col("field").isin(*WEAK)
-    held = hit.groupBy("query", "term", "id").agg(F.collect_set("field").alias("f"), F.bool_or(strong).alias("strong"))
-    df = held.groupBy("query", "term").agg(F.log(1 + n_methods / F.count("*")).alias("any"), F.when(F.count_if("strong") > 0, F.log(1 + n_methods / F.count_if("strong"))).otherwise(0.0).alias("firm"))
-    best = F.array_max(F.transform("f", lambda f: text.lookup(f, COVER) * F.when(f.isin(*WEAK), F.col("any")).otherwise(F.col("firm"))))
-    place = F.aggregate(F.transform("f", lambda f: text.lookup(f, PLACE)), F.lit(0.0), lambda a, x: a + x)
+        own = F.array_distinct(F.transform(text.distinct_tokens(F.coalesce(field, F.lit(""))), text.word_key))
+        return F.transform(own, lambda w: F.struct(F.lit(flag[field]).alias("flag"), w.alias("key")))
+
+    words = methods.select("id", F.inline(F.flatten(F.array(*map(of, fields)))))
+    asked = terms.select("query", "term", "key")
+    # fields of one method and term are bits of a number, added up where the words stand
+    held = kept(words.join(side(asked, n_terms), "key").groupBy("query", "term", "id").agg(F.sum("flag").alias("f")))
+    has = lambda f: F.col("f").bitwiseAND(flag[f]) > 0
+    strong = reduce(lambda a, b: a | b, [has(f) for f in fields if f not in WEAK])
+    df = held.groupBy("query", "term").agg(F.log(1 + n_methods / F.count("*")).alias("any"), F.when(F.count_if(strong) > 0, F.log(1 + n_methods / F.count_if(strong))).otherwise(0.0).alias("firm"))
+    best = F.greatest(*[F.when(has(f), COVER[f] * F.col("any" if f in WEAK else "firm")).otherwise(0.0) for f in fields])
+    place = reduce(lambda a, b: a + b, [F.when(has(f), PLACE[f]).otherwise(0.0) for f in fields])
     found = held.join(side(df, n_terms), ["query", "term"]).groupBy("query", "id").agg(
-        F.count("*").alias("matched"), F.count_if("strong").alias("strong"), F.sum(best).alias("coverage"), F.sum(place).alias("score"), F.count_if(F.array_contains("f", "name")).alias("in_name")
+        F.count("*").alias("matched"), F.count_if(strong).alias("strong"), F.sum(best).alias("coverage"), F.sum(place).alias("score"), F.count_if(has("name")).alias("in_name")
     )
-    size = methods.select("id", F.size(F.array_distinct(text.tokens(F.col("name")))).alias("name_words"))
+    size = methods.select("id", F.size(text.distinct_tokens(F.col("name"))).alias("name_words"))
     fit = F.when(F.col("name_words") > 0, F.least(F.lit(1.0), F.col("in_name") / F.col("name_words"))).otherwise(0.0)
     return found.join(size, "id").select("query", "id", "matched", "strong", F.round("coverage", 6).alias("coverage"), F.round(fit, 9).alias("name_fit"), "score")
 
 
+def ranked_texts(docs: DataFrame, terms: DataFrame, letters: str) -> tuple[DataFrame, DataFrame]:
+    """What text ranking needs of ``docs`` (doc_id, text): each text's number of words and how often it
+    holds each of the ``terms`` (one column ``word``, at most some dozens), and the sums over all texts.
+
+    A text is split once and only words that are asked for leave its row. ``letters`` are those of a word.
+    """
+    asked = terms.agg(F.array_sort(F.collect_set("word")).alias("asked"))  # one row of a query's terms
+    words = F.filter(F.split(F.lower("text"), f"[^{letters}]+"), lambda w: w != "")
+    own = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).join(F.broadcast(asked))
+    hits = F.transform(F.array_intersect("w", "asked"), lambda x: F.struct(x.alias("word"), F.size(F.filter("w", lambda y: y == x)).alias("f")))
+    per = kept(own.select("doc_id", F.size("w").alias("n"), hits.alias("hits")))
+    return per, per.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+
+
 def sections(found: DataFrame, full: int, brief: int) -> DataFrame:
     """The first ``full`` methods of each query and ``section``, and ``brief`` more by name only.
 
@@ -107,20 +110,47 @@ def intents(tasks: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
     return best.select("id", F.when(F.col("total") > 0, F.col("m.intent")).otherwise("unknown").alias("intent"), F.when(F.col("total") > 0, F.round(F.col("m.n") / F.col("total"), 9)).otherwise(0.0).alias("confidence"))
 
 
+def near_names(asked: DataFrame, names: DataFrame, edits: int = 2) -> DataFrame:
+    """Rows of ``asked`` (``name`` and others) with every ``found`` of ``names`` at most ``edits`` edits away.
+
+    A name is cut into ``edits + 1`` segments, one of which is whole in any name that few edits
+    away, moved by ``edits`` at most. So a name has that many keys however long it is, only an asked name
+    tries its places, and nothing is lost.
+    """
+    m = edits + 1
+    cut = lambda size, k: F.floor(size * k / m).cast("int")
+    size = F.length("found")
+    segments = F.array(*[F.struct(F.lit(k).alias("k"), F.substring(F.col("found"), cut(size, F.lit(k)) + 1, cut(size, F.lit(k + 1)) - cut(size, F.lit(k))).alias("part")) for k in range(m)])
+    keyed = names.select("found", size.alias("size"), F.inline(segments))
+    own = F.length("name")
+    sizes = F.filter(F.sequence(own - edits, own + edits), lambda n: n >= 0)
+
+    def tries(n: Column, k: int) -> Column:
+        begin = cut(n, F.lit(k))
+        length = cut(n, F.lit(k + 1)) - begin
+        starts = F.filter(F.sequence(begin - edits, begin + edits), lambda p: (p >= 0) & (p + length <= own))
+        return F.transform(starts, lambda p: F.struct(n.alias("size"), F.lit(k).alias("k"), F.substring(F.col("name"), p + 1, length).alias("part")))
+
+    places = lambda n: F.flatten(F.array(*[tries(n, k) for k in range(m)]))
+    probes = asked.select("*", F.explode(F.array_distinct(F.flatten(F.transform(sizes, places)))).alias("_p"))
+    probes = probes.select(*asked.columns, "_p.size", "_p.k", "_p.part")
+    near = probes.join(keyed, ["size", "k", "part"]).where(F.levenshtein("name", "found") <= edits)
+    return near.select(*asked.columns, "found").distinct()
+
+
 def anchors(tasks: DataFrame, objects: DataFrame, symbols: DataFrame, most: int = 6) -> DataFrame:
     """``task, kind, name, strength``: what a task names, the surest first.
 
     ``tasks`` have task and name (lower case), the others name. An exact object or symbol
-    counts 1.0 or 0.95; only a task without either is looked for among symbols of the same first letter
-    that are two edits away (0.6), and only then among those that share its first word (0.4).
+    counts 1.0 or 0.95; only a task without either is looked for among symbols that are two edits away
+    (0.6), and only then among those that share its first word (0.4).
     """
     rows = lambda df, kind, strength: df.select("task", F.lit(kind).alias("kind"), F.col("found").alias("name"), F.lit(strength).alias("strength"))
     exact = rows(tasks.join(objects.select("name").distinct().withColumn("found", F.col("name")), "name"), "object", 1.0)
     exact = exact.union(rows(tasks.join(symbols.select("name").distinct().withColumn("found", F.col("name")), "name"), "symbol", 0.95))
     left = tasks.join(exact, "task", "left_anti")
     names = symbols.select(F.col("name").alias("found")).distinct()
-    near = left.join(names, F.left(left["name"], F.lit(1)) == F.left("found", F.lit(1))).where(F.levenshtein("name", "found") <= 2)
-    fuzzy = rows(near, "fuzzy", 0.6)
+    fuzzy = rows(near_names(left, names, 2), "fuzzy", 0.6)
     word = lambda c: F.get(F.split(c, " "), F.lit(0))
     rest = left.join(fuzzy, "task", "left_anti")
     full = rows(rest.join(names, word(rest["name"]) == word(F.col("found"))), "text", 0.4)
@@ -134,26 +164,38 @@ def candidate_score(category: Column, strength: Column, direction: Column, depth
     return weight * strength * direction * F.pow(F.lit(0.6), F.greatest(depth, F.lit(0))) * confidence * component / F.greatest(cost, F.lit(1))
 
 
-def packed_context(candidates: DataFrame, required: list[str], budget: int, most: int = 5_000) -> DataFrame:
+def packed_context(candidates: DataFrame, required: list[str], budget: int, block: int = 5_000) -> DataFrame:
     """``task, category, id, used, admitted`` of candidates that are admitted greedily within a budget.
 
     Required categories come first, in their order, then the others; within each the best
     ``score``, then the id. A candidate that doesn't fit is skipped and later ones may still fit.
-    A task's first ``most`` candidates are folded in one row, which bounds it.
+    A task's candidates are folded ``block`` at a time, each block from what the former one used;
+    of tasks with one block, which are most, a single pass is enough.
     """
     place = F.coalesce(text.lookup(F.col("category"), {c: i for i, c in enumerate(required)}), F.lit(len(required)))
     order = W.partitionBy("task").orderBy(place, F.desc("score"), "id")
-    top = candidates.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    ordered = top.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("k", "id", "category", "cost"))).alias("c"))
+    numbered = candidates.withColumn("k", F.row_number().over(order) - 1)
+    ordered = numbered.groupBy("task", F.floor(F.col("k") / block).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "id", "category", "cost"))).alias("c"))
+    ordered = kept(ordered)
+    parts = ordered.agg(F.max("part")).first()[0]
     kind = candidates.schema["id"].dataType.simpleString()
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<struct<category:string,id:{kind},used:bigint,admitted:boolean>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         ok = a["used"] + x["cost"] <= budget
         used = (a["used"] + F.when(ok, x["cost"]).otherwise(0)).cast("long")
         return F.struct(used.alias("used"), F.array_append(a["out"], F.struct(x["category"].cast("string").alias("category"), x["id"].alias("id"), used.alias("used"), ok.alias("admitted"))).alias("out"))
 
-    return ordered.select("task", F.inline(F.aggregate("c", none, step, lambda a: a["out"])))
+    done, so_far = None, None
+    for part in range((parts or 0) + 1):
+        own = ordered.where(F.col("part") == part)
+        begin = own.withColumn("u", F.lit(0).cast("long")) if so_far is None else own.join(so_far, "task")
+        none = F.struct(F.col("u").alias("used"), F.array().cast(f"array<struct<category:string,id:{kind},used:bigint,admitted:boolean>>").alias("out"))
+        folded = begin.select("task", F.aggregate("c", none, step).alias("r"))
+        folded = kept(folded) if parts else folded
+        so_far = folded.select("task", F.col("r.used").alias("u"))
+        rows = folded.select("task", F.inline("r.out"))
+        done = rows if done is None else done.union(rows)
+    return done
 
 
 def coverage(packed: DataFrame, tasks: DataFrame, required: list[str], collected: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph
+from ..operators import graph, search
 from ..operators import relational as rel
 from ..sources import tables as t
 
@@ -217,38 +217,40 @@ _TOKENS = "tokens AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(s
 _LETTER = "[a-zäöüßéèêçñóí0-9]"
 
 
-def _word(x: str) -> str:
-    """A pattern of a whole word."""
-    return f"(?<!{_LETTER}){x}(?!{_LETTER})"
+_LETTERS = "a-zäöüßéèêçñóí0-9"
+_TERM_SQL = "asked AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-zäöüßéèêçñóí0-9]+')) AS word FROM conversations WHERE conv_id = 1 AND turn = 0)"
 
 
-@query(f"""WITH {_TOKENS}, n AS (SELECT count(*) AS docs FROM documents), idf AS (SELECT word, ln(1 + (SELECT docs FROM n) / count(*)) AS idf FROM tokens WHERE word IN ('the', 'trash', 'lager', 'thing', 'rend', 'und') GROUP BY word)
+def _counted(s, d):
+    """Texts and what they hold of the words that the opening turn of a conversation asks for."""
+    opening = t.table(s, d, "conversations").where("conv_id = 1 AND turn = 0")
+    terms = opening.select(F.explode(F.split(F.lower("text"), f"[^{_LETTERS}]+")).alias("word")).where("word <> ''")
+    per, stat = search.ranked_texts(t.table(s, d, "documents"), terms, _LETTERS)
+    hits = per.select("doc_id", "n", F.inline("hits"))
+    # as many rows as the query has terms, and one row
+    return hits, F.broadcast(hits.groupBy("word").agg(F.count("*").alias("df"))), F.broadcast(stat)
+
+
+@query(f"""WITH {_TOKENS}, {_TERM_SQL}, n AS (SELECT count(DISTINCT doc_id) AS docs FROM tokens), idf AS (SELECT word, ln(1 + (SELECT docs FROM n) / count(*)) AS idf FROM tokens WHERE word IN (SELECT word FROM asked) GROUP BY word)
 SELECT doc_id, round(sum(idf), 6) AS score, CAST(count(*) AS BIGINT) AS terms FROM tokens JOIN idf USING (word) GROUP BY doc_id ORDER BY round(sum(idf), 6) DESC, doc_id LIMIT 50""")
 def idf_search(s, d):
     """Documents by the weight of the terms that they hold."""
-    terms = ["the", "trash", "lager", "thing", "rend", "und"]
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(low.rlike(_word(x)), x) for x in terms]))
-    docs = t.table(s, d, "documents").select("doc_id", held.alias("held"))
-    # one pass counts the documents that hold each term; no word leaves its row
-    n = docs.agg(F.count("*").alias("docs"), *[F.count_if(F.array_contains("held", x)).alias(x) for x in terms])
-    weight = F.aggregate("held", F.lit(0.0), lambda a, w: a + text.lookup(w, {x: F.log(1 + F.col("docs") / F.col(x)) for x in terms}))
-    found = docs.where(F.size("held") > 0).join(F.broadcast(n))  # one row
-    return found.select("doc_id", F.round(weight, 6).alias("score"), F.size("held").cast("long").alias("terms")).orderBy(F.desc("score"), "doc_id").limit(50)
+    hits, df, stat = _counted(s, d)
+    weight = F.log(1 + F.col("docs") / F.col("df"))
+    found = hits.join(df, "word").join(stat).groupBy("doc_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("terms"))
+    return found.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zäöüßéèêçñóí0-9]+')) AS word FROM documents), len AS (SELECT doc_id, count(*) AS n FROM w WHERE word <> '' GROUP BY 1), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
-tf AS (SELECT doc_id, word, count(*) AS f FROM w WHERE word IN ('trash', 'idiot', 'thing') GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
+@query(f"""WITH {_TERM_SQL}, w AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zäöüßéèêçñóí0-9]+')) AS word FROM documents), len AS (SELECT doc_id, count(*) AS n FROM w WHERE word <> '' GROUP BY 1), stat AS (SELECT count(*) AS docs, avg(n) AS mean FROM len),
+tf AS (SELECT doc_id, word, count(*) AS f FROM w WHERE word <> '' AND word IN (SELECT word FROM asked) GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1)
 SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score FROM tf JOIN df USING (word) JOIN len USING (doc_id) CROSS JOIN stat GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 50""")
 def bm25_search(s, d):
     """Documents by BM25 (k1 1.2, b 0.75)."""
-    # lengths and term counts are counted within each row
-    low, counted = F.lower("text"), ("trash", "idiot", "thing")
-    n = F.regexp_count(low, F.lit(f"{_LETTER}+"))
-    per = t.table(s, d, "documents").select("doc_id", n.alias("n"), *[F.regexp_count(low, F.lit(_word(x))).alias(x) for x in counted]).where("n > 0")
-    stat = per.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.sum((F.col(x) > 0).cast("int")).alias("df_" + x) for x in ("trash", "idiot", "thing")])
-    score = sum(F.when(F.col(x) > 0, F.log(1 + (F.col("docs") - F.col("df_" + x) + 0.5) / (F.col("df_" + x) + 0.5)) * F.col(x) * 2.2 / (F.col(x) + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))).otherwise(0.0) for x in ("trash", "idiot", "thing"))
-    return per.join(F.broadcast(stat)).where("trash + idiot + thing > 0").select("doc_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
+    hits, df, stat = _counted(s, d)
+    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    score = weight * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
+    found = hits.join(df, "word").join(stat).groupBy("doc_id").agg(F.round(F.sum(score), 6).alias("score"))
+    return found.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
 @query("""WITH v AS (SELECT conv_id, turn, CAST(contains(lower(text), 'error') AS INT) + CAST(contains(lower(text), 'the') AS INT) AS bug, CAST(contains(lower(text), 'und') AS INT) AS posting, CAST(contains(lower(text), 'que') AS INT) AS query FROM conversations WHERE role = 'user')

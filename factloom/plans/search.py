@@ -12,12 +12,13 @@ from ..sources.shared import kept
 from .lookups import fact_query
 from .queries import query
 
-ASKED = [(1, "find a cold rod or coldest rods of the brand 13"), (2, "RedWidget for gears"), (3, "than the hot plates"), (4, "economy anvils large"), (5, "nothing here")]
 FIELDS = ["name", "module", "summary", "doc"]
 
 
-def _asked(s):
-    return s.createDataFrame(ASKED, "query int, text string")
+def _asked(s, d):
+    """A query for each name of a part: its words run together, in the plural."""
+    names = t.table(s, d, "part").groupBy(F.col("p_name").alias("query")).agg(F.lit(1))
+    return names.select("query", F.concat(F.replace(F.initcap("query"), F.lit(" "), F.lit("")), F.lit("s with that and red reds")).alias("text"))
 
 
 def _methods(s, d):
@@ -28,12 +29,22 @@ def _methods(s, d):
 
 
 _WORDS = r"""list_filter(string_split_regex(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
-_TERMS = "terms(query, term, n) AS (VALUES (1, 'find', 0), (1, 'cold', 1), (1, 'rod', 2), (1, 'coldest', 3), (1, 'the', 4), (1, 'brand', 5), (2, 'red', 0), (2, 'widget', 1), (2, 'for', 2), (2, 'gears', 3), (3, 'than', 0), (3, 'the', 1), (3, 'hot', 2), (3, 'plates', 3), (4, 'economy', 0), (4, 'anvils', 1), (4, 'large', 2), (5, 'nothing', 0), (5, 'here', 1))"
-_SAME = f"""(word = term OR CASE WHEN n < 3 THEN false WHEN n = 3 THEN regexp_full_match(term[n + 1:], '{search.INFLECTION}') AND regexp_full_match(word[n + 1:], '{search.INFLECTION}') ELSE regexp_full_match(term[n + 1:], '{search.SUFFIX}') AND regexp_full_match(word[n + 1:], '{search.SUFFIX}') END)"""
+# the tables' texts have no endings but the Latin plurals
+_KEY = "CASE WHEN regexp_matches({0}, '^.{{2,}}[sxzh]es$') THEN left({0}, length({0}) - 2) WHEN regexp_matches({0}, '^.{{3,}}s$') THEN left({0}, length({0}) - 1) ELSE {0} END"
+_STOP = "'или', 'для', 'при', 'что', 'это', 'как', 'его', 'под', 'над', 'без', 'если', 'либо', 'чтобы', 'также'"
+
+
+def _terms(asked: str) -> str:
+    """Terms of the texts of ``asked`` (query, text) in SQL."""
+    return f"""asked AS ({asked}), said AS (SELECT query, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM (SELECT query, list_transform({_WORDS.format('text')}, lambda w: replace(lower(w), 'ё', 'е')) AS w FROM asked)),
+keyed AS (SELECT query, pos, word, {_KEY.format('word')} AS key FROM said WHERE length(word) > 2 AND word NOT IN ({_STOP})),
+terms AS (SELECT query, word AS term, key, CAST(n - 1 AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY pos) AS k FROM keyed) WHERE k = 1) WHERE n <= 32)"""
+
+
+_TERMS = _terms("SELECT p_name AS query, (SELECT string_agg(upper(left(x, 1)) || substr(x, 2), '') FROM (SELECT unnest(string_split(p_name, ' ')) AS x)) || 's with that and red reds' AS text FROM (SELECT DISTINCT p_name FROM part)")
 _FOUND = f"""{_TERMS}, methods AS (SELECT p_partkey AS id, p_name AS name, p_type AS module, p_brand AS summary, text AS doc FROM part LEFT JOIN documents ON doc_id = p_partkey),
 words AS ({' UNION '.join(f"SELECT id, '{f}' AS field, unnest(list_transform({_WORDS.format(f'coalesce({f}, chr(32))')}, lambda w: replace(lower(w), 'ё', 'е'))) AS word FROM methods" for f in FIELDS)}),
-vocabulary AS (SELECT DISTINCT term, word, (SELECT coalesce(max(i), 0) FROM range(1, 40) r(i) WHERE i <= least(length(term), length(word)) AND left(term, CAST(i AS INTEGER)) = left(word, CAST(i AS INTEGER))) AS n FROM (SELECT DISTINCT term FROM terms) x JOIN (SELECT DISTINCT word FROM words) y ON left(word, 3) = left(term, 3)),
-hit AS (SELECT DISTINCT query, t.term, id, field FROM terms t JOIN vocabulary v ON v.term = t.term JOIN words w ON w.word = v.word WHERE {_SAME.replace('word', 'v.word').replace('term', 'v.term').replace(' n ', ' v.n ').replace('[n ', '[v.n ').replace('CASE WHEN n', 'CASE WHEN v.n')}),
+hit AS (SELECT DISTINCT query, term, id, field FROM terms t JOIN (SELECT id, field, {_KEY.format('word')} AS key FROM words) w ON w.key = t.key),
 df AS (SELECT query, term, ln(1 + (SELECT count(*) FROM methods) / count(DISTINCT id)::DOUBLE) AS anywhere, CASE WHEN count(DISTINCT CASE WHEN field <> 'doc' THEN id END) > 0 THEN ln(1 + (SELECT count(*) FROM methods) / count(DISTINCT CASE WHEN field <> 'doc' THEN id END)::DOUBLE) ELSE 0.0 END AS firm FROM hit GROUP BY 1, 2),
 each AS (SELECT h.query, h.term, id, max(CASE field WHEN 'name' THEN 1.0 WHEN 'module' THEN 0.7 WHEN 'summary' THEN 0.8 ELSE 0.5 END * CASE WHEN field = 'doc' THEN anywhere ELSE firm END) AS best, sum(CASE field WHEN 'name' THEN 3.0 WHEN 'module' THEN 2.0 WHEN 'summary' THEN 1.0 ELSE 0.5 END) AS place, bool_or(field = 'name') AS named, bool_or(field <> 'doc') AS strong FROM hit h JOIN df ON df.query = h.query AND df.term = h.term GROUP BY 1, 2, 3),
 found AS (SELECT e.query, e.id, CAST(count(*) AS BIGINT) AS matched, CAST(count(*) FILTER (strong) AS BIGINT) AS strong, round(sum(best), 6) AS coverage, round(least(1.0, count(*) FILTER (named) / (SELECT count(*) FROM words w WHERE w.id = e.id AND field = 'name')::DOUBLE), 9) AS name_fit, CAST(sum(place) AS DOUBLE) AS score FROM each e GROUP BY 1, 2)"""
@@ -41,14 +52,14 @@ found AS (SELECT e.query, e.id, CAST(count(*) AS BIGINT) AS matched, CAST(count(
 
 def _found(s, d):
     m = _methods(s, d)
-    terms = kept(search.query_terms(_asked(s)))
+    terms = kept(search.query_terms(_asked(s, d)))
     return search.fielded_search(m, FIELDS, terms, m.count(), terms.count()), m
 
 
-@query(f"WITH {_TERMS} SELECT query, term, n FROM terms")
+@query(f"WITH {_terms('SELECT conv_id * 1000 + turn AS query, text FROM conversations')} SELECT query, term, key, n FROM terms")
 def query_terms(s, d):
-    """Terms of queries: no short or empty words, forms of one word once."""
-    return search.query_terms(_asked(s))
+    """Terms of every turn of a conversation: no short or empty words, forms of one word once."""
+    return search.query_terms(t.table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), "text"))
 
 
 @query(f"WITH {_FOUND} SELECT * FROM found")
@@ -95,7 +106,7 @@ def intent_classes(s, d):
 
 @query("""WITH tasks AS (SELECT s_suppkey AS task, CASE s_suppkey % 5 WHEN 0 THEN 'nation_' || s_nationkey WHEN 1 THEN 'red rod' WHEN 2 THEN 'cold anvli' WHEN 3 THEN 'small nothing at all' ELSE 'hot plate' END AS name FROM supplier), objects AS (SELECT DISTINCT lower(n_name) AS name FROM nation), symbols AS (SELECT DISTINCT lower(p_name) AS name FROM part),
 exact AS (SELECT task, 'object' AS kind, o.name, 1.0::DOUBLE AS strength FROM tasks JOIN objects o USING (name) UNION ALL SELECT task, 'symbol', o.name, 0.95 FROM tasks JOIN symbols o USING (name)), rest AS (SELECT * FROM tasks WHERE task NOT IN (SELECT task FROM exact)),
-fuzzy AS (SELECT task, 'fuzzy' AS kind, o.name, 0.6::DOUBLE AS strength FROM rest r JOIN symbols o ON left(r.name, 1) = left(o.name, 1) AND levenshtein(r.name, o.name) <= 2),
+fuzzy AS (SELECT task, 'fuzzy' AS kind, o.name, 0.6::DOUBLE AS strength FROM rest r JOIN symbols o ON levenshtein(r.name, o.name) <= 2),
 full_text AS (SELECT task, 'text' AS kind, o.name, 0.4::DOUBLE AS strength FROM rest r JOIN symbols o ON split_part(r.name, ' ', 1) = split_part(o.name, ' ', 1) WHERE task NOT IN (SELECT task FROM fuzzy)),
 every AS (SELECT * FROM exact UNION ALL SELECT * FROM fuzzy UNION ALL SELECT * FROM full_text)
 SELECT task, kind, name, strength, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY strength DESC, kind, name) AS n FROM every) WHERE n <= 6""")

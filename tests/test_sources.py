@@ -77,9 +77,35 @@ def test_regions_nest_and_variables_are_bound_again(spark):
 def test_words_of_names_and_same_words(spark):
     df = spark.createDataFrame([("РазложитьСтрокуВМассив", "разложить строку в массив"), ("URLАдрес2Ёж", "url адрес 2 еж"), ("a_b-c12", "a b c 12"), ("", "")], "x string, want string")
     assert all(" ".join(r.t) == r.want for r in df.select("want", text.tokens(F.col("x")).alias("t")).collect())
-    same = [("удаление", "удалить", True), ("цена", "цену", True), ("цена", "центр", False), ("вид", "видимость", False), ("files", "file", True), ("прописью", "пропуск", False), ("ab", "ab", True)]
+    assert all(sorted(r.t) == sorted(set(r.want.split())) for r in df.select("want", text.distinct_tokens(F.col("x")).alias("t")).collect())
+    same = [("удаление", "удалить", True), ("цена", "цену", True), ("цена", "центр", False), ("вид", "видимость", False), ("files", "file", True), ("прописью", "пропуск", False), ("ab", "ab", True), ("boxes", "box", True), ("форматирование", "форматировать", True), ("индексацию", "индексировать", True), ("загрузка", "загрузить", True), ("новый", "нового", True), ("новый", "новость", False), ("red", "reds", True), ("bus", "bus", True)]
     df = spark.createDataFrame(same, "a string, b string, want boolean")
-    assert all(r.got == r.want for r in df.select("want", search.same_word(F.col("a"), F.col("b")).alias("got")).collect())
+    assert all(r.got == r.want for r in df.select("want", (text.word_key(F.col("a")) == text.word_key(F.col("b"))).alias("got")).collect())
+
+
+def test_near_names_finds_all_within_two_edits(spark):
+    import itertools
+    import random
+
+    r = random.Random(7)
+    names = {"".join(r.choice("abc") for _ in range(r.randint(0, 7))) for _ in range(250)}
+    asked = {"".join(r.choice("abc") for _ in range(r.randint(0, 8))) for _ in range(60)}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = list(itertools.accumulate(range(len(b)), lambda left, j, row=row, x=x: min(left + 1, row[j + 1] + 1, row[j] + (x != b[j])), initial=i + 1))
+        return row[-1]
+
+    got = search.near_names(spark.createDataFrame([(x,) for x in asked], "name string"), spark.createDataFrame([(x,) for x in names], "found string")).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in asked for b in names if distance(a, b) <= 2)
+
+
+def test_packing_goes_on_over_blocks(spark):
+    rows = [(t, "ab"[i % 2], i, (i * 7919 + t) % 50 + 1, float((i * 31) % 17)) for t in range(3) for i in range(40 + 30 * t)]
+    df = spark.createDataFrame(rows, "task int, category string, id int, cost int, score double")
+    whole, cut = (sorted(map(tuple, search.packed_context(df, ["b"], 300, block=n).collect())) for n in (1_000, 7))
+    assert whole == cut and len(whole) == len(rows)
 
 
 def test_advice_reads_tokens_not_strings(spark):

@@ -9,7 +9,7 @@ length filter and the positional filter (what can still be common after the shar
 sets then meet the suffix filter (pivots of one set cut both into parts, whose sizes bound from below
 what the sets differ in) and are intersected once a pair.
 
-A class is named by the least 64-bit hash of its texts. Only who is connected counts, so pairs are not all written out:
+A class is named by the least of its rows' 64-bit hashes (of text and doc_id). Only who is connected counts, so pairs are not all written out:
 
 1. Under every n-gram the other classes are compared with the earliest one alone. Groups of near
    copies fall together here, at a cost in proportion to their size.
@@ -27,7 +27,7 @@ repeated; a text may be of any length; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -87,7 +87,7 @@ def ordered(part: list[bytes], words: int, ranks: np.ndarray) -> tuple[np.ndarra
 
 
 def _sketches(rows: DataFrame, words: int, similarity: float, ranks) -> DataFrame:
-    """Every row's text hash ``h``, ``doc_id``, set size ``n``, two sums over the set and the prefix of n-grams that others may hold.
+    """Every row's hash ``h``, ``doc_id``, set size ``n``, two sums over the set and the prefix of n-grams that others may hold.
 
     ``skip`` n-grams before the prefix are in no other document.
     """
@@ -104,7 +104,7 @@ def _sketches(rows: DataFrame, words: int, similarity: float, ranks) -> DataFram
                     total = np.zeros(len(part), np.int64)
                     total[n > 0] = np.add.reduceat(x, first[n > 0]).view(np.int64) if len(x) else 0
                     sums.append(total)
-                fresh = np.zeros(len(part), bool)  # of a text's copies one gives its prefix
+                fresh = np.zeros(len(part), bool)  # of repeated rows one gives its prefix
                 for i, h in enumerate(batch["h"].slice(begin, len(part)).to_pylist()):
                     if h not in known:
                         known.add(h)
@@ -126,9 +126,9 @@ def _sketches(rows: DataFrame, words: int, similarity: float, ranks) -> DataFram
 
 
 def _sets(rows: DataFrame, ids: DataFrame, words: int, ranks) -> DataFrame:
-    """``id``, ``n`` and the whole set ``s`` of the texts whose hash is among the distinct ``ids``.
+    """``id``, ``n`` and the whole set ``s`` of the rows whose hash is among the distinct ``ids``.
 
-    Of copies of a text a task reads the first, and of those of several tasks one stays.
+    Of repeated rows a task gives the first; those of several tasks may come several times.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,8 +150,7 @@ def _sets(rows: DataFrame, ids: DataFrame, words: int, ranks) -> DataFrame:
                 s = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(key.tobytes())])
                 yield pa.record_batch([batch["h"].slice(begin, len(part)), pa.array(np.diff(cut) // 8, pa.int32()), s], names=["id", "n", "s"])
 
-    found = join_ids(rows.select("h", "text"), ids.select(F.col("id").alias("h")), "h", "left_semi").mapInArrow(run, "id long, n int, s binary")
-    return found.dropDuplicates(["id"])
+    return join_ids(rows.select("h", "text"), ids.select(F.col("id").alias("h")), "h", "left_semi").mapInArrow(run, "id long, n int, s binary")
 
 
 def _near(n_i: np.ndarray, p_i: np.ndarray, n_j: np.ndarray, p_j: np.ndarray, similarity: float) -> np.ndarray:
@@ -173,7 +172,7 @@ def _starred(posts: DataFrame, similarity: float) -> DataFrame:
         for rows in _groups(batches, "g"):
             order = np.lexsort((rows["id"], rows["g"]))
             g, ids = rows["g"][order], rows["id"][order]
-            order = order[np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))]  # several tasks may have met a text
+            order = order[np.append(True, (g[1:] != g[:-1]) | (ids[1:] != ids[:-1]))]  # several tasks may have met a row
             g, key, ids, size = (rows[c][order] for c in ("g", "key", "id", "np"))
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             count = np.diff(np.append(first, len(g)))
@@ -198,17 +197,19 @@ def _with_few(df: DataFrame, table: DataFrame, on: str, how: str = "left") -> Da
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table, on, how)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The distinct ``pairs`` (``a``, ``b``) whose sets match.
+def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The ``pairs`` (distinct ``a``, ``b``) whose sets match.
 
     Pairs are gathered by ``a``, whose set is sent once for each ``STAR`` of them and held while the
-    others pass by.
+    others pass by. ``sets`` gives the sets of a table of ids; they go from where their texts are read
+    to where they are compared, in one shuffle.
     """
     many = saved(pairs.groupBy("a").count().withColumn("salts", F.ceil(F.col("count") / STAR).cast("int")).select("a", "salts"))
-    salted = many.where("salts > 1")
     salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
-    held = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "s")
-    others = _with_few(pairs, saved(salted), "a").select("a", salt, "b").join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "s")
+    others = _with_few(pairs, saved(many.where("salts > 1")), "a").select(F.col("b").alias("id"), "a", salt, "b")
+    held = many.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+    roles = saved(held.union(others))
+    found = _with_few(sets(roles.select("id").distinct()), roles, "id", "inner").select("a", "salt", "b", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, edges, own_set = None, None, np.zeros(0, np.uint64)
@@ -235,7 +236,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 a, b = zip(*found)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return held.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
+    return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
 def _cells(rows: DataFrame, key: str, cell: int, shingles: int | None = None) -> DataFrame:
@@ -316,9 +317,10 @@ def _apart(shared: DataFrame, labels: DataFrame, similarity: float, cell: int) -
     return placed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, dense boolean")
 
 
-def _within(groups: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, cell: int) -> DataFrame:
+def _within(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], labels: DataFrame, similarity: float, cell: int) -> DataFrame:
     """Edges that tie all matching classes of each group of dense candidates (``id``, ``component``)."""
-    found = groups.join(sets, "id").join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    own_sets = sets(groups.select("id")).dropDuplicates(["id"])
+    found = groups.join(own_sets, "id").join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
     placed = _cells(saved(found.select("component", "id", "own", "n", "s")), "component", cell, CELL_SHINGLES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,7 +338,7 @@ def _within(groups: DataFrame, sets: DataFrame, labels: DataFrame, similarity: f
 
 def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """``doc_id``, ``n_shingles`` (set size) and ``component_id``, the smallest ``doc_id`` reachable by links."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
     ranks = docs.sparkSession.sparkContext.broadcast(rarity(rows, lambda texts: (runs(split_words(part), words)[0] for _, part in chunks(_blobs(texts)))))  # 2**RARITY_BITS bytes
     own = saved(_sketches(rows, words, similarity, ranks))
     same = ["s1", "s2", "n"]
@@ -355,15 +357,13 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ce
     chief = heads.groupBy("key").agg(F.min("id").alias("a"))
     stars = shared.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("id").alias("b")).union(heads.join(chief, "key").where("a < id").select("a", F.col("id").alias("b")))
     stars = saved(stars.distinct())
-    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = saved(_sets(rows, ends(stars), words, ranks))
+    sets = lambda ids: _sets(rows, ids, words, ranks)
     links = saved(verified(stars, sets, similarity))
     labels = connected_components(links)
     left = saved(_apart(shared, labels, similarity, cell).distinct())
     pairs = saved(left.where("NOT dense").select("a", "b").join(stars, ["a", "b"], "left_anti"))
     groups = connected_components(left.where("dense"))
-    more = saved(_sets(rows, ends(left), words, ranks))
-    linked = links.union(verified(pairs, more, similarity)).union(_within(groups, more, labels, similarity, cell // 2))
+    linked = links.union(verified(pairs, sets, similarity)).union(_within(groups, sets, labels, similarity, cell // 2))
     tops = connected_components(linked)
     named = classes.join(tops, "id", "left").withColumn("top", F.coalesce("component", "id"))
     least = named.where("component IS NOT NULL").groupBy("top").agg(F.min("first").alias("component_id"))

@@ -1,24 +1,24 @@
 """Sharding by sampled splitters.
 
-Keys are (text hash, doc_id). Each record enters the sample with a probability in proportion to
+Keys are (text hash, doc_id, row number). Each record enters the sample with a probability in proportion to
 its share of the bytes and of the rows, the sample's quantiles become the boundaries of many
 fine ranges, every record goes to its range, and ranges that turn out overfull are subdivided by
 samples of their own until no new boundary is found. The exact bytes of all ranges then decide where shards begin, so shard
 sizes are near equal whatever the sample missed. Equal texts have neighbouring keys: a group of
 copies stays in one range and one shard unless the group alone is overfull, and then it is
-divided by ``doc_id``.
+divided by ``doc_id``, and rows that repeat text and ``doc_id`` by their number.
 
 Only the sample (about ``SAMPLE`` keys, whatever the input's size) and one row per range reach
 the driver.
 
 Defined cases: a null text has size 1 and the checksum of the empty text; a null doc_id sorts
-first; rows that repeat the same text and doc_id share a range, since no key parts them; an empty
+first; any number of rows may repeat the same text and doc_id, their numbers part them; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,13 @@ LEAST = -(1 << 63)
 
 
 def keys(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32`` and the text's ``hash``: all that sharding needs of a record."""
+    """``doc_id``, ``size``, ``text_crc32``, the text's ``hash`` and the row's number ``tie``: all that sharding needs of a record.
+
+    The number is ``tie`` of ``docs`` if they have it.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
+    tie = F.col("_tie") if "_tie" in docs.columns else F.monotonically_increasing_id()
+    return docs.select("doc_id", tie.alias("tie"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("hash"))
 
 
 def _sample(rows: DataFrame, size: int, rows_n: int, wanted: int, draw: int = 0) -> pd.DataFrame:
@@ -47,43 +51,54 @@ def _sample(rows: DataFrame, size: int, rows_n: int, wanted: int, draw: int = 0)
     Every ``draw`` is a fresh one.
     """
     share = F.col("size") * (0.5 / max(size, 1)) + 0.5 / max(rows_n, 1)
-    u = F.pmod(F.xxhash64("hash", "doc_id", F.lit(f"sample {draw}")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64("hash", "doc_id", "tie", F.lit(f"sample {draw}")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.withColumn("p", share * wanted).where(u < F.col("p"))
-    return drawn.select("hash", F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), F.greatest(F.lit(1.0), "p").alias("weight")).toPandas()
+    return drawn.select("hash", F.coalesce("doc_id", F.lit(LEAST)).alias("doc_id"), "tie", F.greatest(F.lit(1.0), "p").alias("weight")).toPandas()
 
 
-def _splitters(sample: pd.DataFrame, parts: int) -> list[tuple[int, int]]:
+def _splitters(sample: pd.DataFrame, parts: int) -> list[tuple[int, int, int]]:
     """Keys that cut the sample into ``parts`` of equal weight.
 
-    Cuts that fall into one text's keys once are moved to its first key, so that its copies stay together.
+    Cuts that fall into one text's keys once are moved to its first key, so that its copies stay
+    together, and those that fall into the rows of one text and id once to the first of these.
     """
     if sample.empty or parts < 2:
         return []
-    s = sample.sort_values(["hash", "doc_id"], kind="stable")
+    s = sample.sort_values(["hash", "doc_id", "tie"], kind="stable")
     up = s["weight"].cumsum().to_numpy()
     at = np.unique(np.minimum(np.searchsorted(up, up[-1] * np.arange(1, parts) / parts), len(s) - 1))
-    cuts = list(zip(s["hash"].to_numpy()[at].tolist(), s["doc_id"].to_numpy()[at].tolist()))
-    times = pd.Series([h for h, _ in cuts]).value_counts()
-    return sorted({(h, LEAST) for h, _ in cuts} | {(h, d) for h, d in cuts if times[h] > 1})
+    cuts = list(zip(*(s[c].to_numpy()[at].tolist() for c in ("hash", "doc_id", "tie"))))
+    texts, rows = Counter(h for h, _, _ in cuts), Counter((h, d) for h, d, _ in cuts)
+    own = [(h, d, t) if rows[h, d] > 1 else (h, d, LEAST) for h, d, t in cuts if texts[h] > 1]
+    return sorted({(h, LEAST, LEAST) for h, _, _ in cuts} | {(h, d, LEAST) for h, d, _ in own} | set(own))
 
 
-def _ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+def _ranged(rows: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
     """``rows`` with the ``range`` of their key: the number of splitters up to it."""
-    h, d = np.array([c[0] for c in cuts], np.int64), np.array([c[1] for c in cuts], np.int64)
+    h, d, t = (np.array([c[k] for c in cuts], np.int64) for k in range(3))
 
     @F.pandas_udf("int")
-    def number(hashes: pd.Series, ids: pd.Series) -> pd.Series:
-        x = hashes.to_numpy()
+    def number(hashes: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
+        x, own, tie = hashes.to_numpy(), ids.to_numpy(), ties.to_numpy()
         low, high = np.searchsorted(h, x, side="left"), np.searchsorted(h, x, side="right")
         out = high.copy()
-        for i in np.flatnonzero(high - low > 1):  # texts with splitters among their copies
-            out[i] = low[i] + np.searchsorted(d[low[i] : high[i]], ids.iloc[i], side="right")
+        inside = np.flatnonzero(high - low > 1)  # texts with splitters among their copies
+        for begin in np.unique(low[inside]):
+            i = inside[low[inside] == begin]
+            end = int(high[i[0]])
+            first = begin + np.searchsorted(d[begin:end], own[i], side="left")
+            last = begin + np.searchsorted(d[begin:end], own[i], side="right")
+            out[i] = last
+            again = np.flatnonzero(last - first > 1)  # rows with splitters among their repeats
+            for a in np.unique(first[again]):
+                j = again[first[again] == a]
+                out[i[j]] = a + np.searchsorted(t[a : int(last[j[0]])], tie[i[j]], side="right")
         return pd.Series(out.astype(np.int32))
 
-    return rows.withColumn("range", number("hash", F.coalesce("doc_id", F.lit(LEAST))))
+    return rows.withColumn("range", number("hash", F.coalesce("doc_id", F.lit(LEAST)), "tie"))
 
 
-def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[tuple[int, int]], pd.DataFrame]:
+def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[tuple[int, int, int]], pd.DataFrame]:
     """Splitters, and for every range its shard and the rows before it in the shard."""
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     cuts, draw = _splitters(_sample(rows, total, count, sample), ranges), 0
@@ -105,39 +120,41 @@ def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[
 def shard_records(docs: DataFrame, shards: int = 16, sample: int = SAMPLE, ranges: int = RANGES) -> DataFrame:
     """The records with ``size``, ``text_crc32``, ``shard`` and ``slot``, sorted by slot within ranges.
 
-    The plan is made from slim keys; the records themselves move once, to their range. Columns
-    of ``docs`` with the names of new ones are replaced.
+    The plan is made from slim keys; the records themselves move once, to their range. They are
+    written with their numbers first, so that both mean the same rows. Columns of ``docs`` with the
+    names of new ones are replaced.
     """
-    return _placed(docs, saved(keys(docs)), shards, sample, ranges)
+    numbered = saved(docs.withColumn("_tie", F.monotonically_increasing_id()))
+    return _placed(numbered, saved(keys(numbered)), shards, sample, ranges).drop("_tie")
 
 
 def place(docs: DataFrame, shards: int = 16, sample: int = SAMPLE, ranges: int = RANGES) -> DataFrame:
     """Shard and slot of every record without the record: ``doc_id, size, text_crc32, shard, slot``."""
     rows = saved(keys(docs))
-    return _placed(rows, rows, shards, sample, ranges)
+    return _placed(rows, rows, shards, sample, ranges).drop("tie")
 
 
 def _placed(records: DataFrame, rows: DataFrame, shards: int, sample: int, ranges: int) -> DataFrame:
     cuts, where = _plan(rows, shards, sample, ranges)
     if records is not rows:
         text = F.coalesce(F.col("text"), F.lit(""))
-        records = records.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8")), "hash": F.xxhash64(text)})
+        records = records.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8")), "hash": F.xxhash64(text), "tie": F.col("_tie")})
     spark = records.sparkSession
     table = spark.createDataFrame(where.astype({"range": "int32", "shard": "int32", "before": "int64"}), "range int, shard int, before long")
-    within = F.row_number().over(W.partitionBy("range").orderBy("hash", "doc_id", "size")) - 1
+    within = F.row_number().over(W.partitionBy("range").orderBy("hash", "doc_id", "tie")) - 1
     # ``table`` has at most a few thousand rows whatever the input: their number is a parameter
     numbered = _ranged(records.drop("shard", "slot", "range", "before", "within"), cuts).withColumn("within", within).join(F.broadcast(table), "range")
-    return numbered.withColumn("slot", F.col("before") + F.col("within")).drop("hash", "range", "before", "within")
+    return numbered.withColumn("slot", F.col("before") + F.col("within")).drop("hash", "range", "before", "within", *(["tie"] if records is not rows else []))
 
 
-def _splitters_within(inner: DataFrame, over: pd.DataFrame, total: int, ranges: int, wanted: int, draw: int) -> set[tuple[int, int]]:
+def _splitters_within(inner: DataFrame, over: pd.DataFrame, total: int, ranges: int, wanted: int, draw: int) -> set[tuple[int, int, int]]:
     """More splitters for overfull ranges, from a sample of their records alone."""
     size, count = int(over["bytes"].sum()), int(over["rows"].sum())
     sample = _sample(inner, size, count, wanted, draw)
     return set(_splitters(sample, 2 * max(2, int(ranges * size / max(total, 1)))))
 
 
-def _shard_starts(sums: pd.DataFrame, cuts: list[tuple[int, int]], shards: int, total: int) -> list[int]:
+def _shard_starts(sums: pd.DataFrame, cuts: list[tuple[int, int, int]], shards: int, total: int) -> list[int]:
     """First range of each shard: where the bytes before it are nearest to its share.
 
     A range that begins with a text's first key is preferred within ``WHOLE`` of a shard.

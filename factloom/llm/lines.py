@@ -44,6 +44,8 @@ CELL = 2_048
 PAIRS, RUN, KNOWN, GROUPS = 1 << 20, 1 << 19, 1 << 18, 1 << 16
 #: Members of the groups that are verified many at once.
 FEW = 24
+#: Lines of a text that are looked up in one row.
+LISTED = 1 << 16
 #: Added to the position of a word that more than ``CELL`` lines may hold.
 HOT = 1 << 30
 #: Words of a line from which on 64 parity bits say too little.
@@ -154,10 +156,11 @@ def _lines(rows: DataFrame, ranks: np.ndarray, similarity: float, cell: int) ->
             for begin, part in chunks(_blobs(batch["text"].to_pylist())):
                 w = split_words(part)
                 for s in _runs(w):
-                    line = w.line[s] - w.line[s.start]
+                    far = w.line[s] - w.line[s.start]  # lines without words leave gaps of any size
+                    line = np.cumsum(np.diff(far, prepend=0) != 0)
                     rank = shared.value[(w.hash[s] >> _SHIFT).astype(np.int64)]
                     order = _sets(w.hash[s], line, rank)
-                    h, line, rank, doc = w.hash[s][order], line[order], rank[order], w.doc[s][order]
+                    h, line, rank, doc, far = w.hash[s][order], line[order], rank[order], w.doc[s][order], far[order]
                     first = np.flatnonzero(np.diff(line, prepend=-1))
                     n = np.diff(np.append(first, len(line)))
                     place = np.arange(len(h)) - np.repeat(first, n)
@@ -178,7 +181,7 @@ def _lines(rows: DataFrame, ranks: np.ndarray, similarity: float, cell: int) ->
                     places = (place + np.where(rank >= hot, HOT, 0))[wanted].astype(np.int32)
                     cut = pa.array(np.append(0, np.add.reduceat(wanted, first, dtype=np.int64).cumsum()), pa.int32())
                     own = pa.array(begin + doc[first])
-                    place_of = [batch["doc_id"].take(own), batch["h"].take(own), batch["row"].take(own), pa.array(line[first] + w.line[s.start] - w.first_line[doc[first]], pa.int64())]
+                    place_of = [batch["doc_id"].take(own), batch["h"].take(own), batch["row"].take(own), pa.array(far[first] + w.line[s.start] - w.first_line[doc[first]], pa.int64())]
                     lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[wanted].view(np.int64), places)]
                     yield pa.record_batch([*place_of, pa.array(n, pa.int32()), *map(pa.array, sums + bits), *lists], names=names)
 
@@ -410,7 +413,8 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def _verified(rows: DataFrame, members: DataFrame, similarity: float, cell: int) -> DataFrame:
     """Exact matches within groups: id, links and the earliest match, one row per class and cell."""
-    wanted = saved(members.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("row", "line", "id", "component", "n", "s1", "s2")).alias("lines")))
+    # a long text's lines come in several rows, so that none grows with the text
+    wanted = saved(members.groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.floor(F.col("line") / LISTED).alias("_part")).agg(F.collect_list(F.struct("row", "line", "id", "component", "n", "s1", "s2")).alias("lines")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,7 +434,7 @@ def _verified(rows: DataFrame, members: DataFrame, similarity: float, cell: int)
                 own = pa.array(at)
                 yield pa.record_batch([pa.array(ids), pa.array(component), batch["doc_id"].take(own), batch["h"].take(own), pa.array(row), pa.array(line), pa.array(s, pa.binary())], names=["id", "component", *ORDER, "s"])
 
-    few = wanted.count() <= BROADCAST_IDS // 10  # up to some tens of MB, else a shuffle
+    few = members.count() <= BROADCAST_IDS // 10  # lines, of some 60 bytes each
     texts = rows.join(F.broadcast(wanted) if few else wanted, rows["doc_id"].eqNullSafe(F.col("_doc")) & rows["h"].eqNullSafe(F.col("_h"))).select("doc_id", "h", "text", "lines")
     kind = rows.schema["doc_id"].dataType.simpleString()
     found = saved(texts.mapInArrow(sets, f"id long, component long, doc_id {kind}, h long, row long, line long, s binary").dropDuplicates(["id"]))

@@ -12,8 +12,8 @@ language and have a fixed size per language.
 Defined cases: a null text, or one without letters, is ``und`` with score 0; without taught rows
 every text is ``und``; rows with a null language don't teach; letters of a script that no
 language was taught in leave all candidates; equal languages in a tie go by code point order;
-repeated rows are labelled alike; a text of more than ``PIECE`` characters is labelled in pieces cut
-at spaces, whose letters and spans add up; other columns are ignored.
+repeated rows are labelled alike; the words of a text of more than ``PIECE`` characters are scored in
+pieces cut between words, and its path goes over all of them; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks, mix, pieces
+from .words import chunks, mix
 
 BITS = 15
 #: Rows of each language that teach.
@@ -35,7 +35,7 @@ SAMPLE = 5_000
 SWITCH = 12.0
 #: No word counts for more than this many nats between languages.
 CLIP = 8.0
-#: Characters of a text that are labelled at once; a longer text goes on in the next piece.
+#: Characters of a text whose words are scored at once; of all its words the scores are kept.
 PIECE = 1 << 18
 
 
@@ -189,39 +189,55 @@ def train(docs: DataFrame, usable: Column | None = None, sample: int = SAMPLE) -
     return Model(langs, counts, scripts)
 
 
+def _between_words(text: str) -> Iterator[tuple[int, str]]:
+    """A text in pieces of about ``PIECE`` characters that part no word, each with its offset."""
+    at = 0
+    while len(text) - at > PIECE:
+        end = at + PIECE
+        while end > at and _ALPHA[ord(text[end - 1])]:
+            end -= 1
+        if end == at:  # one word: it goes on to its end
+            end = at + PIECE
+            while end < len(text) and _ALPHA[ord(text[end])]:
+                end += 1
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:]
+
+
 def label(texts: list[str | None], model: Model, switch: float = SWITCH) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, share of letters and spans (begin, end, language; code points) of each text."""
     own: list[tuple[int, int]] = []  # text and offset of each piece
     blobs: list[bytes] = []
     for i, t in enumerate(texts):
-        for at, x in pieces(t or "", PIECE):
+        for at, x in _between_words(t or ""):
             own.append((i, at))
             blobs.append(x.encode("utf-8", "surrogatepass"))
-    letters = np.zeros((len(texts), max(1, len(model.langs))))
-    spans: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    left = np.bincount([i for i, _ in own], minlength=len(texts))  # pieces that are still to come
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in texts]
+    found: list[tuple[str, float, list[tuple[int, int, str]]]] = [("und", 0.0, []) for _ in texts]
     for begin, part in chunks(blobs) if model.langs else ():
         g = Grams([b.decode("utf-8", "surrogatepass") for b in part])
-        if not len(g.start):
-            continue
-        s = model.words(g)
-        bounds = np.searchsorted(g.doc, np.arange(len(part) + 1))
-        labels = viterbi([s[a:b] for a, b in zip(bounds[:-1], bounds[1:])], switch)
-        for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            if a == b:
-                continue
+        bounds = np.searchsorted(g.doc, np.arange(len(part) + 1)).tolist()
+        s = model.words(g) if len(g.start) else None
+        done = []
+        for d, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
             i, at = own[begin + d]
-            letters[i] += np.bincount(labels[d], g.length[a:b], len(model.langs))
-            turn = np.flatnonzero(np.diff(labels[d], prepend=-1))
-            close = np.append(turn[1:], b - a) - 1
-            for x, y in zip(turn, close):
-                lang, end = model.langs[labels[d][x]], int(g.end[a + y] - g.offset[d]) + at
-                if spans[i] and spans[i][-1][2] == lang:  # a span goes on from the piece before
-                    spans[i][-1] = (spans[i][-1][0], end, lang)
-                else:
-                    spans[i].append((int(g.start[a + x] - g.offset[d]) + at, end, lang))
-    for n, found in zip(letters, spans):
-        top = int(n.argmax())
-        yield (model.langs[top], float(n[top] / n.sum()), found) if found else ("und", 0.0, [])
+            if a < b:
+                shift = at - g.offset[d]
+                parts[i].append((s[a:b], g.start[a:b] + shift, g.end[a:b] + shift))
+            left[i] -= 1
+            if not left[i] and parts[i]:
+                done.append(i)
+        words = [tuple(np.concatenate(x) for x in zip(*parts[i])) for i in done]
+        for i, labels, (_, start, end) in zip(done, viterbi([w[0] for w in words], switch), words):
+            n = np.bincount(labels, end - start, len(model.langs))
+            turn = np.flatnonzero(np.diff(labels, prepend=-1))
+            close = np.append(turn[1:], len(labels)) - 1
+            top = int(n.argmax())
+            found[i] = (model.langs[top], float(n[top] / n.sum()), [(int(start[x]), int(end[y]), model.langs[labels[x]]) for x, y in zip(turn, close)])
+            parts[i] = []
+    yield from found
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:

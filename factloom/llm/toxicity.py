@@ -11,8 +11,9 @@ weights, whose size is fixed.
 
 Defined cases: a null or empty text, or one without words, has no sentences and scores 0;
 without labels of both kinds the model is empty and everything scores 0; a document with several
-labels counts once for each; repeated rows score alike; a sentence of more than ``PIECE``
-characters is cut at a space; other columns are ignored.
+labels counts once for each, and equal texts with equal labels teach once; repeated rows score
+alike; a sentence is one instance however long it is, and memory grows with the longest; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -96,18 +96,17 @@ def chunks(blobs: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
         yield begin, blobs[begin:]
 
 
-def pieces(text: str, size: int, ends: str = "") -> Iterator[tuple[int, str]]:
-    """A text in pieces of up to ``size`` characters, each with its offset.
+def pieces(text: str, size: int, ends: str) -> Iterator[tuple[int, str]]:
+    """A text in pieces of about ``size`` characters, each with its offset.
 
-    A piece ends after the last character of ``ends`` in it, else after its last space, and is
-    cut at ``size`` only where it holds neither.
+    A piece ends after the last character of ``ends`` in it, and goes on to the next one where it holds none.
     """
     at = 0
     while len(text) - at > size:
-        last = max((text.rfind(c, at, at + size) for c in ends), default=-1)
+        last = max(text.rfind(c, at, at + size) for c in ends)
         if last < 0:
-            last = max(text.rfind(c, at, at + size) for c in " \n\t")
-        end = last + 1 if last >= 0 else at + size
-        yield at, text[at:end]
-        at = end
-    yield at, text[at:]
+            last = min((x for c in ends if (x := text.find(c, at + size)) >= 0), default=len(text) - 1)
+        yield at, text[at : last + 1]
+        at = last + 1
+    if at < len(text) or not at:
+        yield at, text[at:]

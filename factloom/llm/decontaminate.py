@@ -38,6 +38,8 @@ SEED = 5
 COVERAGE = 0.5
 #: The map of seed hashes has this many bits as a power of two: 2 MB.
 FILTER_BITS = 24
+#: Pairs of equal runs of a document and an item that are written out; more are searched by length.
+PAIRED = 1 << 20
 #: Characters of texts whose words are hashed at once.
 PART = 1 << 18
 WORDS = re.compile(r"\w+")
@@ -90,6 +92,8 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     order = np.argsort(ours, kind="stable")
     low, high = (np.searchsorted(ours[order], theirs, side) for side in ("left", "right"))
     count = high - low
+    if count.sum() > PAIRED:  # texts that repeat themselves
+        return _tiles_by_length(doc, item, least)
     j = np.repeat(np.arange(len(theirs)), count)
     p = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(len(j))]
     # a match runs along a diagonal: find the maximal runs once, then cut them as tiles are marked
@@ -118,6 +122,64 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     return out
 
 
+def _tiles_by_length(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """:func:`tiles` in memory that grows with the two texts, not with what they share.
+
+    The greatest length at which free runs of both agree is found by halving, its matches are marked
+    in order, and the search goes on below it.
+    """
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    out: list[tuple[int, int, int]] = []
+
+    def runs(ids: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the free runs of ``n`` values, by doubling."""
+        if len(ids) < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        h, width = np.zeros(len(ids) - n + 1, np.uint64), 0
+        block, size = mix(ids), 1
+        while n >> width:
+            if n >> width & 1:
+                at = n & ((1 << width) - 1)  # shorter blocks stand before
+                h = mix(h * _MUL + block[at : at + len(h)])
+            block = mix(block[: len(block) - size] * _MUL + block[size:]) if len(block) > size else block[:0]
+            size *= 2
+            width += 1
+        used = np.cumsum(np.append(0, ~free))
+        at = np.flatnonzero(used[n:] == used[:-n])
+        return at, h[at]
+
+    def shared(n: int) -> bool:
+        return bool(np.isin(runs(item, free_item, n)[1], runs(doc, free_doc, n)[1]).any())
+
+    high = min(len(doc), len(item))
+    while high >= least:
+        low = least - 1  # the longest match has at least ``low`` and at most ``high`` words
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        if high < least:
+            break
+        (p, h), (j, g) = runs(doc, free_doc, high), runs(item, free_item, high)
+        order = np.argsort(h, kind="stable")
+        p, h = p[order], h[order]
+        begin, end = np.searchsorted(h, g, "left"), np.searchsorted(h, g, "right")
+        turn: dict[int, int] = {}  # the first place of a run that may still be free
+        for i, a, b in zip(j.tolist(), begin.tolist(), end.tolist()):
+            if a == b or not free_item[i : i + high].all():
+                continue
+            k = turn.get(a, a)
+            while k < b and not free_doc[p[k] : p[k] + high].all():
+                k += 1
+            turn[a] = k
+            if k < b:
+                at = int(p[k])
+                free_doc[at : at + high] = False
+                free_item[i : i + high] = False
+                out.append((at, i, high))
+        high -= 1
+    return out
+
+
 def benchmark_seeds(items: DataFrame, seed: int) -> DataFrame:
     """``item`` (a number), ``words``, ``least`` and the ``hash`` of each run of ``least`` words, as often as it occurs."""
 

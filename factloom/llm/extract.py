@@ -1,12 +1,14 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read into blocks (runs of text between block-level tags, with the open elements around
-them). A linear classifier over a block's length, closing punctuation, link share, heading and the
-innermost element that speaks for content or boilerplate gives the costs of calling it either;
-these are the capacities to the two terminals. Smoothness edges join a block to the next one, the
-stronger the more elements the two have in common, and to the next under the same parent. The
-minimum cut is the labelling of least total cost: a caption or a line of one word goes with what
-stands around it. Blocks whose own cost exceeds all their edges are labelled at once, which the
+them). A linear classifier over a block's length, closing punctuation, link share, heading, paragraph
+and the elements around it that speak for content or boilerplate gives the costs of calling it
+either; these are the capacities to the two terminals. No feature decides alone: what names say is
+added up over the elements around a block, within bounds that a paragraph's length or its
+neighbours can outweigh, and a name that pages also use inside articles says less. Smoothness edges
+join a block to the next one, the stronger the more elements the two have in common, and to the
+next under the same parent, whichever way the two lean. The minimum cut is the labelling of least
+total cost: a caption or a line of one word goes with what stands around it. Blocks whose own cost exceeds all their edges are labelled at once, which the
 minimum cut would do too; only what stays undecided needs a flow, found by blocking flows.
 
 Forms and their controls, scripts, styles, templates and embedded frames make no blocks; drawings,
@@ -57,13 +59,19 @@ TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
 SPACE = re.compile(r"\s+")
 
+#: Names that pages also give to parts of an article.
+MIXED_NAMES = frozenset("alert banner banners header headers notice notices promo promoted share sharing social tags toc trending related recommended rail login search menu".split())
+
 #: The classifier: cost of content for a block, by its features.
-BIAS, LENGTH, CLOSED, HEADING, LINKS = -1.6, 0.75, 0.5, 0.3, -3.5
-#: What the innermost element that leans adds, by side.
-CONTENT, BOILERPLATE = 0.9, -4.5
+BIAS, LENGTH, CLOSED, HEADING, PARAGRAPH, LINKS = -1.4, 0.75, 0.5, 0.5, 0.6, -3.5
+#: What an element adds that speaks for content or boilerplate; a mixed name says less.
+CONTENT, BOILERPLATE, MIXED = 0.9, -4.2, -2.2
+#: The least and the most that elements add up to, the innermost in full and those around it by half.
+BOUNDS = (-5.0, 1.4)
 #: Smoothness between neighbouring blocks, from none to all elements in common, and between
 #: neighbours under one parent.
-NEXT, SIBLING = (0.05, 0.3), 0.6
+NEXT, SIBLING = (0.1, 0.35), 0.6
+PARAGRAPHS = frozenset("p blockquote pre dd figcaption".split())
 
 
 class State(NamedTuple):
@@ -74,6 +82,7 @@ class State(NamedTuple):
     lean: float
     linked: bool
     heading: bool
+    paragraph: bool
     content: bool  # inside an article
     own: int  # number of the innermost block-level element
     parent: int  # number of the one around it
@@ -82,34 +91,42 @@ class State(NamedTuple):
 class Block(NamedTuple):
     text: str
     parent: int
-    lean: float  # of the innermost element that leans
+    lean: float  # what the elements around it add up to
     links: float  # share of the text inside links
     heading: bool
+    paragraph: bool
     shared: float  # share of its elements that are also around the block before
 
 
 def _inside(tag: str, attributes: str, outer: State, number: int) -> State:
     """The state inside a new element."""
-    lean = outer.lean
+    says: list[float] = []
     dropped = outer.dropped or tag in DROPPED_TAGS
     if tag in CONTENT_TAGS:
-        lean = CONTENT
+        says.append(CONTENT)
     elif tag in BOILERPLATE_TAGS and not (tag == "header" and outer.content):  # an article's own header holds its headline
-        lean = BOILERPLATE
+        says.append(BOILERPLATE)
     if "=" in attributes:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
             if name in ("class", "id", "itemprop"):
                 whole = value.replace("-", "").replace("_", "").lower().split()
                 parts = {x.lower() for x in NAME.findall(value)} | set(whole)
-                if parts & BOILERPLATE_NAMES and tag not in ("body", "html", *CONTENT_TAGS) and not (outer.content and parts & BOILERPLATE_NAMES == {"header"}):
-                    lean = BOILERPLATE
-                elif parts & CONTENT_NAMES and lean >= 0:
-                    lean = CONTENT
+                named = parts & BOILERPLATE_NAMES if tag not in ("body", "html", *CONTENT_TAGS) else set()
+                if named - MIXED_NAMES:
+                    says.append(BOILERPLATE)
+                elif named and not (outer.content and named == {"header"}):
+                    says.append(MIXED)
+                if parts & CONTENT_NAMES:
+                    says.append(CONTENT)
             elif name == "role":
-                lean = BOILERPLATE if value.lower() in BOILERPLATE_ROLES else CONTENT if value.lower() in ("main", "article") else lean
+                says += [BOILERPLATE] if value.lower() in BOILERPLATE_ROLES else [CONTENT] if value.lower() in ("main", "article") else []
+    lean = outer.lean
+    if says:
+        # one element's names count once for either side; what stands around it counts by half
+        lean = min(max(min(says + [0.0]) + max(says + [0.0]) + outer.lean / 2, BOUNDS[0]), BOUNDS[1])
     block = tag in BLOCK_TAGS
-    return State(tag, dropped, lean, outer.linked or tag == "a", outer.heading or tag in HEADINGS, outer.content or tag in CONTENT_TAGS, number if block else outer.own, outer.own if block else outer.parent)
+    return State(tag, dropped, lean, outer.linked or tag == "a", outer.heading or tag in HEADINGS, outer.paragraph or tag in PARAGRAPHS, outer.content or tag in CONTENT_TAGS, number if block else outer.own, outer.own if block else outer.parent)
 
 
 class Reader:
@@ -118,7 +135,7 @@ class Reader:
     def __init__(self, page: str) -> None:
         self.page = page
         self.last = {c: page.rfind(c) for c in "\"'>"}
-        self.stack = [State("", False, 0.0, False, False, False, 0, 0)]
+        self.stack = [State("", False, 0.0, False, False, False, False, 0, 0)]
         self.open: dict[str, list[int]] = defaultdict(list)  # places of each open tag in the stack
         self.out: list[Block] = []
         self.text: list[str] = []
@@ -135,7 +152,7 @@ class Reader:
         own = SPACE.sub(" ", references.unescape("".join(self.text))).strip() if self.text else ""
         if own:
             top = self.stack[-1]
-            self.out.append(Block(own, top.parent, top.lean, min(1.0, self.linked / len(own)), top.heading, self.low / len(self.stack)))
+            self.out.append(Block(own, top.parent, top.lean, min(1.0, self.linked / len(own)), top.heading, top.paragraph, self.low / len(self.stack)))
             self.low = len(self.stack)
         self.text.clear()
         self.linked = 0
@@ -237,21 +254,17 @@ def costs(b: Block) -> float:
     """How strongly the classifier takes a block for content; negative for boilerplate."""
     words = b.text.count(" ") + 1
     linked = LINKS * b.links / (1 + words / 10)  # a whole sentence may be a link
-    return BIAS + LENGTH * math.log1p(words) + (CLOSED if b.text[-1:] in ".!?…。！？" else 0.0) + (HEADING if b.heading else 0.0) + linked + b.lean
+    return BIAS + LENGTH * math.log1p(words) + (CLOSED if b.text[-1:] in ".!?…。！？" else 0.0) + (HEADING if b.heading else 0.0) + (PARAGRAPH if b.paragraph else 0.0) + linked + b.lean
 
 
 def edges(found: list[Block]) -> list[tuple[int, int, float]]:
-    """Smoothness edges: each block with the next, and with the next under the same parent.
-
-    Blocks that lean apart are hardly neighbours: an advert between paragraphs takes none of them along.
-    """
-    alike = [a.lean == b.lean for a, b in zip(found, found[1:])]
-    out = [(i, i + 1, NEXT[0] + ((NEXT[1] - NEXT[0]) * found[i + 1].shared if same else 0.0)) for i, same in enumerate(alike)]
-    last: dict[tuple[int, float], int] = {}
+    """Smoothness edges: each block with the next, and with the next under the same parent."""
+    out = [(i, i + 1, NEXT[0] + (NEXT[1] - NEXT[0]) * b.shared) for i, b in enumerate(found[1:])]
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
-        if (b.parent, b.lean) in last:
-            out.append((last[b.parent, b.lean], i, SIBLING))
-        last[b.parent, b.lean] = i
+        if b.parent in last:
+            out.append((last[b.parent], i, SIBLING))
+        last[b.parent] = i
     return out
 
 

@@ -27,27 +27,23 @@ repeated; a text may be of any length; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, connected_components, join_ids, saved
-from .lines import KNOWN, PAIRS, RARITY_BITS, _groups, _roots, _stream, index_length, prefix_length, rarity
-from .simhash import CELL_SHINGLES, shingle_set, similar_roots
+from .common import connected_components, join_ids, saved
+from .lines import KNOWN, PAIRS, RARITY_BITS, _groups, _roots, index_length, prefix_length, rarity
+from .simhash import shingle_set
+from .verify import cells, verified, with_few, within
 from .words import Words, chunks, mix, split_words
 
 WORDS, SIMILARITY = 5, 0.8
 CELL = 2_048
 #: Under one n-gram, pairs for each class up to which they are written out.
 SPARSE = 4
-#: Members that one task compares with a class at most.
-STAR = 4_096
-#: Parts into which the suffix filter cuts a set.
-PARTS = 16
 _RANK = np.uint64(56)
 
 
@@ -192,77 +188,6 @@ def _large(posts: DataFrame, cell: int) -> DataFrame:
     return saved(posts.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).cast("int").alias("blocks")))
 
 
-def _with_few(df: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """A join with a saved table that is broadcast if its counted rows are few."""
-    return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table, on, how)
-
-
-def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The ``pairs`` (distinct ``a``, ``b``) whose sets match.
-
-    Pairs are gathered by ``a``, whose set is sent once for each ``STAR`` of them and held while the
-    others pass by. ``sets`` gives the sets of a table of ids; they go from where their texts are read
-    to where they are compared, in one shuffle.
-    """
-    many = saved(pairs.groupBy("a").count().withColumn("salts", F.ceil(F.col("count") / STAR).cast("int")).select("a", "salts"))
-    salt = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)).cast("int").alias("salt")
-    others = _with_few(pairs, saved(many.where("salts > 1")), "a").select(F.col("b").alias("id"), "a", salt, "b")
-    held = many.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
-    roles = saved(held.union(others))
-    found = _with_few(sets(roles.select("id").distinct()), roles, "id", "inner").select("a", "salt", "b", "s")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, edges, own_set = None, None, np.zeros(0, np.uint64)
-        for batch in batches:
-            found = []
-            a_all, s_all = batch["a"].to_pylist(), batch["s"]
-            for i, (a, b) in enumerate(zip(a_all, batch["b"].to_pylist())):
-                s = np.frombuffer(s_all[i].as_buffer(), np.uint64)
-                if b is None:
-                    own, own_set = a, s.copy()
-                    edges = np.linspace(0, len(s), PARTS + 1).astype(np.int64)
-                    continue
-                both = len(s) + len(own_set)
-                most = both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)  # what they may differ in
-                # suffix filter: pivots of the one set cut the other; parts of unlike sizes differ at least by that
-                cuts = np.append(np.append(0, np.searchsorted(s, own_set[edges[1:-1]])), len(s))
-                if a != own or np.abs(np.diff(cuts) - np.diff(edges)).sum() > most:
-                    continue
-                at = np.searchsorted(own_set, s)
-                common = int((own_set[np.minimum(at, len(own_set) - 1)] == s).sum())
-                if common >= similarity * (both - common) - 1e-9:
-                    found.append((a, b))
-            if found:
-                a, b = zip(*found)
-                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
-
-
-def _cells(rows: DataFrame, key: str, cell: int, shingles: int | None = None) -> DataFrame:
-    """``rows`` (``key``, ``id``, ``own``, ``n`` and others) with the cell ``g`` in which their pairs meet.
-
-    All pairs of one key and different ``own`` meet in some cell of about ``cell`` rows, or of
-    ``shingles`` n-grams, or a little more. Of a large key the largest ``own`` is dealt into blocks that
-    its rows never leave; the other rows go to all of these blocks and to the blocks of each other.
-    """
-    weight = lambda m, n: F.ceil(F.greatest(m * 2 / cell, n * 2 / shingles if shingles else F.lit(0.0))).cast("int")
-    parts = rows.groupBy(key, "own").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    base = parts.groupBy(key).agg(F.max_by(F.struct("own", "m", "w"), F.struct("m", "own")).alias("b"), F.sum("m").alias("m"), F.sum("w").alias("w"))
-    base = base.where((F.col("m") > cell) | (F.col("w") > shingles if shingles else F.lit(False)))
-    base = saved(base.select(key, F.col("b.own").alias("base"), F.greatest(F.lit(1), weight(F.col("b.m"), F.col("b.w"))).alias("wide"), F.greatest(F.lit(1), weight(F.col("m") - F.col("b.m"), F.col("w") - F.col("b.w"))).alias("rest")))
-    placed = _with_few(rows, base, key)
-    in_base = F.col("own") == F.col("base")
-    block = F.pmod(F.xxhash64("id"), F.when(in_base, F.col("wide")).otherwise(F.col("rest"))).cast("int")
-    each = lambda c, f: F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)
-    at = lambda side, x, y: F.struct(F.lit(side).alias("side"), x.alias("x"), y.alias("y"))
-    others = F.concat(each("wide", lambda b: at(0, b, block)), each("rest", lambda j: at(1, F.least(j, block), F.greatest(j, block))))
-    cells = F.when(F.col("base").isNull(), F.array(at(2, F.lit(0), F.lit(0)))).when(in_base, each("rest", lambda j: at(0, block, j))).otherwise(others)
-    dealt = placed.withColumn("c", F.explode(cells))
-    # a cell is a key like any other: were two equal, pairs would be added and none lost
-    return dealt.withColumn("g", F.when(F.col("c.side") == 2, F.col(key)).otherwise(F.xxhash64(key, "c"))).drop("c", "base", "wide", "rest")
-
-
 def _chunks(group: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of one group within the length filter, ``PAIRS`` at a time; rows are sorted by group and ``n``."""
     last = np.searchsorted(group * (1 << 32) + n, group * (1 << 32) + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
@@ -283,8 +208,8 @@ def _apart(shared: DataFrame, labels: DataFrame, similarity: float, cell: int) -
     """
     named = shared.join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
     open_keys = saved(named.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("key"))
-    posts = saved(_with_few(named, open_keys, "key", "left_semi").select("key", "id", "own", "np", F.shiftright("np", 32).alias("n"), F.coalesce("lead", F.lit(-1)).alias("lead")))
-    placed = _cells(posts, "key", cell).select("g", "id", "np", "own", "lead")
+    posts = saved(with_few(named, open_keys, "key", "left_semi").select("key", "id", "own", "np", F.shiftright("np", 32).alias("n"), F.coalesce("lead", F.lit(-1)).alias("lead")))
+    placed = cells(posts, "key", cell).select("g", "id", "np", "own", "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "g"):
@@ -317,25 +242,6 @@ def _apart(shared: DataFrame, labels: DataFrame, similarity: float, cell: int) -
     return placed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long, dense boolean")
 
 
-def _within(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], labels: DataFrame, similarity: float, cell: int) -> DataFrame:
-    """Edges that tie all matching classes of each group of dense candidates (``id``, ``component``)."""
-    own_sets = sets(groups.select("id")).dropDuplicates(["id"])
-    found = groups.join(own_sets, "id").join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
-    placed = _cells(saved(found.select("component", "id", "own", "n", "s")), "component", cell, CELL_SHINGLES)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _stream(batches, ["g"]):
-            g, ids, sets = pdf["g"].to_numpy(), pdf["id"].to_numpy(), pdf["s"].tolist()
-            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            for a, b in zip(first.tolist(), np.append(first[1:], len(g)).tolist()):
-                if b - a > 1:
-                    root = similar_roots([np.frombuffer(x, np.uint64) for x in sets[a:b]], similarity)
-                    other = np.flatnonzero(root != np.arange(b - a))
-                    yield pd.DataFrame({"a": ids[a + root[other]], "b": ids[a + other]})
-
-    return placed.select("g", "id", "s").repartition("g").sortWithinPartitions("g", "id").mapInPandas(run, "a long, b long")
-
-
 def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """``doc_id``, ``n_shingles`` (set size) and ``component_id``, the smallest ``doc_id`` reachable by links."""
     rows = docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("h"))
@@ -350,7 +256,7 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ce
     often = F.shiftrightunsigned("key", 56) >= 1 + round(8 * np.log2(cell))
     large = _large(posts.where(often), cell)
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = posts.where(~often).select(F.col("key").alias("g"), "key", "id", "np").union(_with_few(posts.where(often), large, "key").select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)).alias("g"), "key", "id", "np"))
+    dealt = posts.where(~often).select(F.col("key").alias("g"), "key", "id", "np").union(with_few(posts.where(often), large, "key").select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", block)).alias("g"), "key", "id", "np"))
     shared = saved(_starred(dealt, similarity))
     # the first classes of the blocks of a common n-gram are compared with the first of all
     heads = shared.where("first AND g <> key").select("key", "id")
@@ -363,10 +269,10 @@ def join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, ce
     left = saved(_apart(shared, labels, similarity, cell).distinct())
     pairs = saved(left.where("NOT dense").select("a", "b").join(stars, ["a", "b"], "left_anti"))
     groups = connected_components(left.where("dense"))
-    linked = links.union(verified(pairs, sets, similarity)).union(_within(groups, sets, labels, similarity, cell // 2))
+    linked = links.union(verified(pairs, sets, similarity)).union(within(groups, sets, labels, similarity, cell // 2))
     tops = connected_components(linked)
     named = classes.join(tops, "id", "left").withColumn("top", F.coalesce("component", "id"))
     least = named.where("component IS NOT NULL").groupBy("top").agg(F.min("first").alias("component_id"))
     found = saved(named.where("component IS NOT NULL").join(least, "top").select(*same, "component_id").union(named.where("component IS NULL AND copies > 1").select(*same, F.col("first").alias("component_id"))))
-    out = _with_few(own.select("doc_id", *same), found.withColumn("linked", F.lit(True)), same)
+    out = with_few(own.select("doc_id", *same), found.withColumn("linked", F.lit(True)), same)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

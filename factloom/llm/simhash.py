@@ -11,8 +11,8 @@ members of a segment; the longer chains and the full distance are checked on the
 ``near_duplicates`` serves corpora in which copies have up to a tenth of their shingles
 changed. A 64-bit SimHash then often differs in 5 to 15 bits, which no exact filter can find at
 scale, so there the fingerprint links are joined by candidates from minimum hashes of the same
-shingles. Candidates of either kind tie documents into groups, and all pairs of a group are
-verified by the exact Jaccard similarity.
+shingles. Candidates of either kind tie documents into groups. The pairs that tie them are verified
+by the exact Jaccard similarity, then all pairs of a group that are not connected yet.
 
 Defined cases: null or empty text and text of white space have fingerprint zero and link like
 any other; a text of fewer words than a shingle is one shingle; rows with equal texts share a
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, join_ids, saved
-from .lines import _roots, _stream
+from .verify import verified, with_few, within
 from .words import chunks, split_words
 
 BLOCK = 1 << 15
@@ -125,9 +125,8 @@ def components(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
 #: Minimum hashes of a text and how many of them make a band. A pair of similarity 0.8 shares
 #: a band with probability 1 - (1 - 0.8**4)**16 = 0.9998.
 BANDS, ROWS = 16, 4
-#: Members and shingles of a group of candidates that are compared in one piece, and the shingles
-#: that are compared at once.
-CELL, CELL_SHINGLES, WIDTH = 1_024, 1 << 19, 1_024
+#: Members of a group of candidates that are compared in one piece.
+CELL = 1_024
 _rng = np.random.default_rng(7)
 _MUL = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64)
@@ -162,13 +161,13 @@ def _minima(s: np.ndarray) -> np.ndarray:
     return low
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2, cell: int = CELL, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bits: int = 2, cell: int = CELL) -> DataFrame:
     """Ids of the documents of groups of near copies: ``doc_id`` and ``group_id``, its smallest.
 
     Two documents are linked when the sets of their ``words``-word shingles (lower-cased) have
     Jaccard similarity of ``similarity`` or more; groups are connected. Documents without a link
     do not appear. Texts of equal shingle sets are one text here and are linked to each other.
-    Rows whose ``doc_id`` is null, and texts without words, take no part.
+    ``doc_id`` must be a long that no two rows share; texts without words take no part.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,14 +183,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
                     bands.append([xxhash.xxh64_intdigest(low[k].tobytes(), k) - (1 << 63) for k in range(BANDS)])
             yield pd.DataFrame({"doc_id": ids, "n": size, "same": same, "fp": np.array(fps, np.uint64).view(np.int64), "bands": bands})
 
-    kept = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    sketches = saved(kept.mapInPandas(sketch, "doc_id long, n int, same binary, fp long, bands array<long>"))
+    rows = docs.select("doc_id", "text")
+    sketches = saved(rows.mapInPandas(sketch, "doc_id long, n int, same binary, fp long, bands array<long>"))
     # one document of each group of equal sets goes on; the others are tied to it
     first = saved(sketches.groupBy("same").agg(F.min("doc_id").alias("first")))
     copies = sketches.select("doc_id", "same").join(first, "same").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    distinct = saved(sketches.join(first.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    # documents that share a band or nearly a fingerprint are tied into groups of candidates, at a
-    # cost in proportion to them; then all pairs of a group are compared
+    distinct = saved(join_ids(sketches, first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi"))
+    # documents that share a band or nearly a fingerprint are tied into groups of candidates, at a cost in
+    # proportion to them: with the first of a band, and with a fingerprint's owner
     band = distinct.select("doc_id", F.posexplode("bands").alias("k", "band"))
     lead = band.groupBy("k", "band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("high")).where("a < high").drop("high")
     candidates = band.join(lead, ["k", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"))
@@ -199,76 +198,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     near = links(distinct.select("fp").distinct(), max_bits)
     by_fp = near.join(owner.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     equal_fp = distinct.select("fp", "doc_id").join(owner, "fp").where("doc_id > id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    groups = connected_components(candidates.union(by_fp).union(equal_fp))
-    members = saved(groups.withColumnRenamed("id", "doc_id").join(distinct.select("doc_id", "n", "same"), "doc_id"))
-    real = _verified(kept, members, words, similarity, cell, cell_shingles)
-    return connected_components(copies.union(real)).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
+    tied = saved(candidates.union(by_fp).union(equal_fp).distinct())
 
+    def sets(ids: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                found = list(_shingle_sets(pdf["text"].tolist(), words))
+                yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(s) for s in found], "s": [s.tobytes() for s in found]})
 
-def _verified(docs: DataFrame, members: DataFrame, words: int, similarity: float, cell: int, cell_shingles: int) -> DataFrame:
-    """Edges ``a``, ``b`` that tie the similar members of each group, all pairs of which are compared.
+        return join_ids(rows, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "id long, n int, s binary")
 
-    A group of more than ``cell`` members or ``cell_shingles`` shingles is dealt into blocks by a
-    hash of the id, and a cell holds two blocks, so all pairs meet while a task holds two blocks.
-    """
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            blobs = [x.tobytes() for x in _shingle_sets(pdf["text"].tolist(), words)]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "same": [xxhash.xxh3_128_digest(x) for x in blobs], "s": blobs})
-
-    found = join_ids(docs, members.select("doc_id"), "doc_id", "left_semi").mapInPandas(sets, "doc_id long, same binary, s binary")
-    # rows that share an id may differ in text: only the text that the sketch was made of counts
-    found = saved(found.join(members.drop("n"), ["doc_id", "same"]).select("component", F.col("doc_id").alias("id"), "s").dropDuplicates(["id"]))
-    large = members.groupBy("component").agg(F.ceil(F.greatest(F.count("*") * 2 / cell, F.sum("n") * 2 / cell_shingles)).cast("int").alias("blocks")).where("blocks > 2")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = found.join(saved(large), "component", "left").withColumn("block", own)
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, "block") * F.col("blocks") + F.greatest(b, F.col("block")))
-    dealt = dealt.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _stream(batches, ["component", "cell"]):
-            component, cells, ids = (pdf[c].to_numpy() for c in ("component", "cell", "id"))
-            begin = np.flatnonzero(np.append(True, (component[1:] != component[:-1]) | (cells[1:] != cells[:-1])))
-            blobs, out = pdf["s"].tolist(), []
-            for a, b in zip(begin.tolist(), np.append(begin[1:], len(pdf)).tolist()):
-                if b - a > 1:
-                    root = similar_roots([np.frombuffer(x, np.uint64) for x in blobs[a:b]], similarity)
-                    other = np.flatnonzero(root != np.arange(b - a))
-                    out.append(np.stack([ids[a + root[other]], ids[a + other]], 1))
-            if out:
-                yield pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    order = dealt.select("component", "cell", "id", "s").repartition("component", "cell").sortWithinPartitions("component", "cell", "id")
-    return order.mapInPandas(compare, "a long, b long")
-
-
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """First member that each set is tied to by pairs of Jaccard similarity ``similarity`` or more."""
-    n = np.array([len(s) for s in sets])
-    vocabulary, number = np.unique(np.concatenate(sets), return_inverse=True)
-    seen = np.bincount(number)
-    column = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[number]  # shingles of one set are common to no pair
-    row = np.repeat(np.arange(len(sets)), n)
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
-    for k in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
-        a, b = np.searchsorted(column, (k, k + WIDTH))
-        table = np.zeros((len(sets), min(WIDTH, int(column[b - 1]) + 1 - k)), np.float32)
-        table[row[a:b], column[a:b] - k] = 1
-        common += table @ table.T
-    pairs = [np.zeros((0, 2), np.int64)]
-    for i in range(len(sets) - 1):
-        both = common[i, i + 1 :].astype(np.float64)
-        j = np.flatnonzero(both >= similarity * (n[i] + n[i + 1 :] - both))
-        pairs.append(np.stack([np.full(len(j), i), i + 1 + j], 1))
-    return _roots(len(sets), np.concatenate(pairs))
+    # these pairs first: most groups fall together; then all pairs of a group that are still apart
+    real = saved(verified(tied, sets, similarity))
+    labels = connected_components(real)
+    groups = connected_components(tied)
+    own = groups.join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("own", F.coalesce("own", "id"))
+    apart = saved(own.groupBy("component").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("component"))
+    rest = within(saved(with_few(groups, apart, "component", "left_semi")), sets, labels, similarity, cell)
+    return connected_components(copies.union(real).union(rest)).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents without the later members of each group of near copies, in all their columns."""
-    groups = near_duplicates(docs, words, similarity)
-    gone = groups.where("doc_id > group_id").select("doc_id").distinct()
-    return join_ids(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """The documents without the later members of each group of near copies, in all their columns.
+
+    The first of a group has the smallest ``doc_id``; null comes last, and of equal ids one row stays.
+    Rows are known by their number, so that a row goes for its own text only. Texts without words all stay.
+    """
+    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = saved(near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), words, similarity).toDF("_row", "group"))
+    named = with_few(numbered.select("_row", "doc_id"), groups, "_row", "inner")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("group", F.col("m._row").alias("_first"))
+    gone = named.join(first, "group").where("_row <> _first").select("_row")
+    return join_ids(numbered, gone, "_row", "left_anti").select(docs.columns)

@@ -164,15 +164,15 @@ def candidate_score(category: Column, strength: Column, direction: Column, depth
     return weight * strength * direction * F.pow(F.lit(0.6), F.greatest(depth, F.lit(0))) * confidence * component / F.greatest(cost, F.lit(1))
 
 
-def packed_context(candidates: DataFrame, required: list[str], budget: int, block: int = 5_000) -> DataFrame:
+def packed_context(candidates: DataFrame, required: list[str] | Column, budget: int, block: int = 5_000) -> DataFrame:
     """``task, category, id, used, admitted`` of candidates that are admitted greedily within a budget.
 
-    Required categories come first, in their order, then the others; within each the best
-    ``score``, then the id. A candidate that doesn't fit is skipped and later ones may still fit.
+    Required categories come first, in their order (or by a column of places), then the others; within
+    each the best ``score``, then the id. A candidate that doesn't fit is skipped and later ones may still fit.
     A task's candidates are folded ``block`` at a time, each block from what the former one used;
     of tasks with one block, which are most, a single pass is enough.
     """
-    place = F.coalesce(text.lookup(F.col("category"), {c: i for i, c in enumerate(required)}), F.lit(len(required)))
+    place = required if isinstance(required, Column) else F.coalesce(text.lookup(F.col("category"), {c: i for i, c in enumerate(required)}), F.lit(len(required)))
     order = W.partitionBy("task").orderBy(place, F.desc("score"), "id")
     numbered = candidates.withColumn("k", F.row_number().over(order) - 1)
     ordered = numbered.groupBy("task", F.floor(F.col("k") / block).alias("part")).agg(F.array_sort(F.collect_list(F.struct("k", "id", "category", "cost"))).alias("c"))

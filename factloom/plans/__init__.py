@@ -1,6 +1,6 @@
 """Registered queries: ``QUERIES`` and, where SQL has the same, ``SQL``."""
 
-from . import audits, code, findings, lists, lookups, modules, resolve, search, walks  # noqa: F401
+from . import audits, code, contexts, findings, lists, lookups, modules, resolve, search, walks  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -228,6 +228,43 @@ def attribution(accesses: DataFrame, calls: DataFrame, owners: DataFrame, depth:
     return _all(found).groupBy("owner", "register", "mode").agg(F.max("confidence").alias("confidence"))
 
 
+def traced_attribution(accesses: DataFrame, calls: DataFrame, owners: DataFrame, node_budget: int = 500, caller_cap: int = 200, hub: int = 200, free_steps: int = 2, most_steps: int = 64) -> DataFrame:
+    """``access, owner, confidence, steps, penalised, truncated``: the owners that each access climbs to.
+
+    ``accesses`` have access (a key), symbol and confidence. Every access climbs by itself, all at once: a
+    level is a table of (access, symbol). A symbol is climbed again only if the new chain is strictly surer, so rings end. A
+    symbol's first ``caller_cap`` callers are followed, and an access that holds ``node_budget`` symbols stops; either
+    is no silence: ``truncated`` says that an owner may lie beyond. Confidence falls as in :func:`attribution`,
+    and ``penalised`` says that it did so for a hub or for length.
+    """
+    up = calls.groupBy("caller", "callee").agg(F.max("confidence").alias("_sure"))
+    by = W.partitionBy("callee")
+    up = up.select("caller", "callee", "_sure", F.row_number().over(by.orderBy("caller")).alias("_k"), F.count("*").over(by).alias("_all")).where(F.col("_k") <= caller_cap)
+    up = kept(up.select("caller", "callee", "_sure", (F.col("_all") > hub).alias("_hub"), (F.col("_all") > caller_cap).alias("_cut")))
+    frontier = kept(accesses.groupBy("access", "symbol").agg(F.max("confidence").alias("confidence")).withColumn("penalised", F.lit(False)))
+    best, hits, cuts = frontier.select("access", "symbol", "confidence"), [], []
+    for level in range(1, most_steps + 1):
+        at = kept(frontier.join(owners, "symbol", "left"))
+        hits.append(at.where("owner IS NOT NULL").select("access", "owner", "confidence", "penalised", F.lit(level - 1).alias("steps")))
+        full = kept(best.groupBy("access").agg(F.count("*").alias("n")).where(F.col("n") >= node_budget).select("access"))
+        go = at.where("owner IS NULL")
+        cuts.append(go.join(full, "access", "left_semi").select("access"))
+        step = kept(go.join(full, "access", "left_anti").withColumnRenamed("symbol", "callee").join(up, "callee"))
+        cuts.append(step.where("_cut").select("access"))
+        long = level > free_steps
+        sure = F.least("confidence", "_sure") * F.when(F.col("_hub"), 0.7).otherwise(1.0) * (0.9 if long else 1.0)
+        new = step.groupBy("access", F.col("caller").alias("symbol")).agg(F.max(F.struct(sure.alias("confidence"), (F.col("penalised") | F.col("_hub") | F.lit(long)).alias("penalised"))).alias("m"))
+        new = new.select("access", "symbol", "m.confidence", "m.penalised")
+        seen = best.withColumnRenamed("confidence", "_old")
+        frontier = kept(new.join(seen, ["access", "symbol"], "left").where("_old IS NULL OR confidence > _old").drop("_old"))
+        if frontier.isEmpty():
+            break
+        best = kept(best.union(frontier.select("access", "symbol", "confidence")).groupBy("access", "symbol").agg(F.max("confidence").alias("confidence")))
+    found = _all(hits).groupBy("access", "owner").agg(F.max(F.struct("confidence", (-F.col("steps")).alias("s"), "penalised")).alias("m"))
+    cut = _all(cuts).distinct().withColumn("truncated", F.lit(True))
+    return found.join(cut, "access", "left").select("access", "owner", "m.confidence", (-F.col("m.s")).alias("steps"), "m.penalised", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``id``, ``fan_in``, ``fan_out``: one union of both ends and one aggregation."""
     ends = edges.select(F.col("dst").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(edges.select("src", F.lit(0), F.lit(1)))

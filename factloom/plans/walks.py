@@ -207,3 +207,28 @@ def cross_links(s, d):
     e = s.createDataFrame([(x, f"svc-{x}") for x in ("en", "de", "fr")], "head string, endpoint string")
     c = t.table(s, d, "pages").select(text.host(F.col("url")).alias("host"), F.get(text.segments(F.col("url")), F.lit(0)).alias("head"))
     return c.join(F.broadcast(e), "head").groupBy("host", "endpoint").agg(F.count("*").alias("calls"))  # three endpoints
+
+
+def _traced_level(k: int) -> str:
+    late = "* 0.9::DOUBLE" if k > 2 else ""
+    return f"""full{k} AS (SELECT access FROM best{k - 1} GROUP BY 1 HAVING count(*) >= 12), go{k} AS (SELECT * FROM f{k - 1} WHERE symbol NOT IN (SELECT symbol FROM owned)),
+step{k} AS (SELECT g.access, u.caller AS symbol, least(g.confidence, u.sure) * CASE WHEN u.hub THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END {late} AS confidence, g.penalised OR u.hub OR {k > 2} AS penalised, u.cut FROM go{k} g JOIN up u ON u.callee = g.symbol WHERE g.access NOT IN (SELECT access FROM full{k})),
+new{k} AS (SELECT access, symbol, max((confidence, penalised)) AS m FROM step{k} GROUP BY 1, 2),
+f{k} AS (SELECT n.access, n.symbol, n.m[1] AS confidence, n.m[2] AS penalised FROM new{k} n LEFT JOIN best{k - 1} b ON b.access = n.access AND b.symbol = n.symbol WHERE b.access IS NULL OR n.m[1] > b.confidence),
+best{k} AS (SELECT access, symbol, max(confidence) AS confidence FROM (SELECT * FROM best{k - 1} UNION ALL SELECT access, symbol, confidence FROM f{k}) GROUP BY 1, 2)"""
+
+
+@fact_query(f"""WITH owned AS (SELECT symbol, m.owner FROM symbols s JOIN modules m ON s.module = m.module WHERE m.owner IS NOT NULL AND m.kind = 'object'),
+pairs AS (SELECT caller, callee, max(confidence) AS sure FROM calls WHERE kind = 'R' AND resolution = 'resolved' GROUP BY 1, 2),
+up AS (SELECT *, count(*) OVER (PARTITION BY callee) > 3 AS hub, count(*) OVER (PARTITION BY callee) > 5 AS cut FROM pairs QUALIFY row_number() OVER (PARTITION BY callee ORDER BY caller) <= 5),
+f0 AS (SELECT symbol || '>' || register AS access, symbol, max(confidence) AS confidence, false AS penalised FROM accesses WHERE mode = 'clear' AND confidence > 0.95 GROUP BY 1, 2), best0 AS (SELECT access, symbol, confidence FROM f0), {', '.join(_traced_level(k) for k in range(1, 5))},
+hits AS ({' UNION ALL '.join(f'SELECT access, owner, confidence, penalised, {k} AS steps FROM f{k} JOIN owned USING (symbol)' for k in range(4))}), cuts AS ({' UNION '.join(f'SELECT access FROM go{k} WHERE access IN (SELECT access FROM full{k}) UNION SELECT access FROM step{k} WHERE cut' for k in range(1, 5))}),
+one AS (SELECT access, owner, max((confidence, -steps, penalised)) AS m FROM hits GROUP BY 1, 2)
+SELECT access, owner, round(m[1], 8) AS confidence, CAST(-m[2] AS INTEGER) AS steps, m[3] AS penalised, access IN (SELECT access FROM cuts) AS truncated FROM one""")
+def traced_accesses(s, d):
+    """The objects that each access climbs to, with where the climb was cut."""
+    owned = facts.symbols(s, d).join(facts.modules(s, d).where("owner IS NOT NULL AND kind = 'object'").select("module", "owner"), "module").select("symbol", "owner")
+    c = facts.calls(s, d).where("kind = 'R' AND resolution = 'resolved'")
+    a = facts.accesses(s, d).where("mode = 'clear' AND confidence > 0.95").select(F.concat_ws(">", F.col("symbol").cast("string"), F.col("register").cast("string")).alias("access"), "symbol", "confidence")
+    found = graph.traced_attribution(a, c, owned, node_budget=12, caller_cap=5, hub=3, most_steps=4)
+    return found.withColumn("confidence", F.round("confidence", 8))

@@ -63,3 +63,42 @@ def test_every_intent_finds_its_categories(spark):
     got = {(x.intent, x.category) for x in found.collect()}
     assert got == {(i, s.category) for i, steps in context.STRATEGIES.items() for s in steps}
     assert {(x.task, x.category) for x in tried.collect()} == {(k, s.category) for k, (i, steps) in enumerate(context.STRATEGIES.items()) for s in steps}
+
+
+def plain_climb(start, sure, up, owners, node_budget, caller_cap, hub, free):
+    """One access by hand: its owners with the surest chain, and whether the climb was cut."""
+    best, frontier, hits, cut, level = {start: sure}, {start: sure}, {}, False, 0
+    while frontier:
+        level += 1
+        for x, c in frontier.items():
+            if x in owners:
+                hits[owners[x]] = max(hits.get(owners[x], 0), c)
+        go = {x: c for x, c in frontier.items() if x not in owners}
+        if len(best) >= node_budget:
+            return hits, cut or bool(go)
+        new = {}
+        for x, c in go.items():
+            callers = sorted(up.get(x, {}).items())
+            cut |= len(callers) > caller_cap
+            for y, s in callers[:caller_cap]:
+                new[y] = max(new.get(y, 0), min(c, s) * (0.7 if len(callers) > hub else 1) * (0.9 if level > free else 1))
+        frontier = {y: c for y, c in new.items() if c > best.get(y, 0)}
+        best |= frontier
+    return hits, cut
+
+
+def test_attribution_says_where_it_was_cut(spark):
+    from factloom.operators import graph
+
+    r = random.Random(17)
+    calls = {(r.randrange(40), r.randrange(40)): r.choice((0.6, 0.8, 0.95)) for _ in range(110)}
+    owners = {x: f"o{x % 5}" for x in range(0, 40, 6)}
+    up: dict = {}
+    for (a, b), s in calls.items():
+        up.setdefault(b, {})[a] = s
+    starts = {f"a{i}": (r.randrange(40), r.choice((0.7, 0.9))) for i in range(30)}
+    make = spark.createDataFrame
+    for budget, cap in ((500, 200), (8, 3)):
+        got = graph.traced_attribution(make([(k, *v) for k, v in starts.items()], "access string, symbol int, confidence double"), make([(a, b, s) for (a, b), s in calls.items()], "caller int, callee int, confidence double"), make(list(owners.items()), "symbol int, owner string"), budget, cap, 3)
+        want = {k: plain_climb(*v, up, owners, budget, cap, 3, 2) for k, v in starts.items()}
+        assert {(x.access, x.owner): (round(x.confidence, 9), x.truncated) for x in got.collect()} == {(k, o): (round(c, 9), w[1]) for k, w in want.items() for o, c in w[0].items()}

@@ -117,14 +117,16 @@ def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[
     return cuts, sums.assign(before=sums.groupby("shard")["rows"].cumsum() - sums["rows"])[["range", "shard", "before"]]
 
 
-def shard_records(docs: DataFrame, shards: int = 16, sample: int = SAMPLE, ranges: int = RANGES) -> DataFrame:
+def shard_records(docs: DataFrame, shards: int = 16, sample: int = SAMPLE, ranges: int = RANGES, stored: bool = False) -> DataFrame:
     """The records with ``size``, ``text_crc32``, ``shard`` and ``slot``, sorted by slot within ranges.
 
     The plan is made from slim keys; the records themselves move once, to their range. They are
-    written with their numbers first, so that both mean the same rows. Columns of ``docs`` with the
-    names of new ones are replaced.
+    written with their numbers first, so that both mean the same rows, unless ``docs`` are ``stored``:
+    rows of files have the same numbers at every reading. Columns of ``docs`` with the names of new
+    ones are replaced.
     """
-    numbered = saved(docs.withColumn("_tie", F.monotonically_increasing_id()))
+    numbered = docs.withColumn("_tie", F.monotonically_increasing_id())
+    numbered = numbered if stored else saved(numbered)
     return _placed(numbered, saved(keys(numbered)), shards, sample, ranges).drop("_tie")
 
 

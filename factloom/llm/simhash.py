@@ -218,13 +218,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     return connected_components(copies.union(real).union(rest)).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, stored: bool = False) -> DataFrame:
     """The documents without the later members of each group of near copies, in all their columns.
 
     The first of a group has the smallest ``doc_id``; null comes last, and of equal ids one row stays.
-    Rows are known by their number, so that a row goes for its own text only. Texts without words all stay.
+    Rows are known by their number, so that a row goes for its own text only; they are written with it,
+    unless ``docs`` are ``stored``: rows of files have the same numbers at every reading. Texts without
+    words all stay.
     """
-    numbered = saved(docs.withColumn("_row", F.monotonically_increasing_id()))
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = numbered if stored else saved(numbered)
     groups = saved(near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), words, similarity).toDF("_row", "group"))
     named = with_few(numbered.select("_row", "doc_id"), groups, "_row", "inner")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m")).select("group", F.col("m._row").alias("_first"))

@@ -28,7 +28,7 @@ def distinct_tokens(c: Column) -> Column:
     bounds = r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
     rough = F.array_distinct(F.split(c, r"[^\p{L}\p{N}]+"))
     fine = F.flatten(F.transform(rough, lambda w: F.split(folded(F.regexp_replace(w, bounds, " ")), " ")))
-    return F.filter(F.array_distinct(fine), lambda w: w != "")
+    return F.array_remove(F.array_distinct(fine), "")
 
 
 # Endings of inflected words. Nouns made of verbs take the first part before a case.

@@ -18,7 +18,7 @@ FIELDS = ["name", "module", "summary", "doc"]
 def _asked(s, d):
     """A query for each name of a part: its words run together, in the plural."""
     names = t.table(s, d, "part").groupBy(F.col("p_name").alias("query")).agg(F.lit(1))
-    return names.select("query", F.concat(F.replace(F.initcap("query"), F.lit(" "), F.lit("")), F.lit("s with that and red reds")).alias("text"))
+    return names.select("query", F.concat(F.replace(F.initcap("query"), F.lit(" "), F.lit("")), F.lit("s thing red reds")).alias("text"))
 
 
 def _methods(s, d):
@@ -41,7 +41,7 @@ keyed AS (SELECT query, pos, word, {_KEY.format('word')} AS key FROM said WHERE
 terms AS (SELECT query, word AS term, key, CAST(n - 1 AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY pos) AS k FROM keyed) WHERE k = 1) WHERE n <= 32)"""
 
 
-_TERMS = _terms("SELECT p_name AS query, (SELECT string_agg(upper(left(x, 1)) || substr(x, 2), '') FROM (SELECT unnest(string_split(p_name, ' ')) AS x)) || 's with that and red reds' AS text FROM (SELECT DISTINCT p_name FROM part)")
+_TERMS = _terms("SELECT p_name AS query, (SELECT string_agg(upper(left(x, 1)) || substr(x, 2), '') FROM (SELECT unnest(string_split(p_name, ' ')) AS x)) || 's thing red reds' AS text FROM (SELECT DISTINCT p_name FROM part)")
 _FOUND = f"""{_TERMS}, methods AS (SELECT p_partkey AS id, p_name AS name, p_type AS module, p_brand AS summary, text AS doc FROM part LEFT JOIN documents ON doc_id = p_partkey),
 words AS ({' UNION '.join(f"SELECT id, '{f}' AS field, unnest(list_transform({_WORDS.format(f'coalesce({f}, chr(32))')}, lambda w: replace(lower(w), 'ё', 'е'))) AS word FROM methods" for f in FIELDS)}),
 hit AS (SELECT DISTINCT query, term, id, field FROM terms t JOIN (SELECT id, field, {_KEY.format('word')} AS key FROM words) w ON w.key = t.key),

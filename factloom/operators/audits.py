@@ -64,19 +64,3 @@ def retrieval_metrics(ranked: DataFrame, cuts: tuple[int, ...] = (1, 3, 10, 20,
     """Per ``section``: queries, hits at each cut, mean reciprocal rank and median rank (``rank`` null: not found)."""
     hits = [F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias(f"hits{k}") for k in cuts]
     return ranked.groupBy("section").agg(F.count("*").alias("n"), *hits, F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 9).alias("mrr"), F.percentile("rank", 0.5).alias("median"))
-
-
-def packed(candidates: DataFrame, section: str, budget: int, most: int) -> DataFrame:
-    """``section``, ``id``, ``used``: the first ``most`` candidates of each section, greedily admitted.
-
-    A candidate that doesn't fit is skipped and later ones may still fit. The list of a section is
-    bounded by ``most``, so folding it in one row is safe; sections stay distributed.
-    """
-    from .relational import top_by
-
-    top = top_by(candidates.select(section, "id", "cost"), [section], most, F.col("id"))
-    ordered = top.groupBy(section).agg(F.array_sort(F.collect_list(F.struct("rank", "id", "cost"))).alias("c"))
-    none = F.expr("named_struct('used', 0L, 'picked', array_repeat(named_struct('id', 0L, 'used', 0L), 0))")
-    fits = lambda a, x: a["used"] + x["cost"] <= budget
-    step = lambda a, x: F.when(fits(a, x), F.struct((a["used"] + x["cost"]).alias("used"), F.array_append(a["picked"], F.struct(x["id"].alias("id"), (a["used"] + x["cost"]).alias("used"))).alias("picked"))).otherwise(a)
-    return ordered.select(section, F.inline(F.aggregate("c", none, step, lambda a: a["picked"])))

@@ -59,17 +59,19 @@ def fielded_search(methods: DataFrame, fields: list[str], terms: DataFrame, n_me
         return F.transform(text.distinct_tokens(F.coalesce(field, F.lit(""))), lambda w: F.struct(F.lit(flag[field]).alias("flag"), w.alias("word")))
 
     words = methods.select("id", F.inline(F.flatten(F.array(*map(of, fields))))).withColumn("head", F.left("word", F.lit(HEAD)))
-    asked = terms.select("query", "term", "key", F.left("key", F.lit(HEAD)).alias("head"))
-    met = words.join(side(asked, n_terms), "head").where(text.word_key(F.col("word")) == F.col("key"))
-    # fields of one method and term are bits of a number, put together where the words stand
-    held = kept(met.groupBy("query", "term", "id").agg(F.bit_or("flag").alias("f")))
+    # words meet the distinct keys, whatever the number of queries, and are put together where they stand: fields are bits
+    keys = terms.select("key", F.left("key", F.lit(HEAD)).alias("head")).distinct()
+    met = words.join(side(keys, n_terms), "head").where(text.word_key(F.col("word")) == F.col("key"))
+    held = kept(met.groupBy("key", "id").agg(F.bit_or("flag").alias("f")))
     has = lambda f: F.col("f").bitwiseAND(flag[f]) > 0
     strong = reduce(lambda a, b: a | b, [has(f) for f in fields if f not in WEAK])
-    df = held.groupBy("query", "term").agg(F.log(1 + n_methods / F.count("*")).alias("any"), F.when(F.count_if(strong) > 0, F.log(1 + n_methods / F.count_if(strong))).otherwise(0.0).alias("firm"))
+    df = held.groupBy("key").agg(F.log(1 + n_methods / F.count("*")).alias("any"), F.when(F.count_if(strong) > 0, F.log(1 + n_methods / F.count_if(strong))).otherwise(0.0).alias("firm"))
     best = F.greatest(*[F.when(has(f), COVER[f] * F.col("any" if f in WEAK else "firm")).otherwise(0.0) for f in fields])
     place = reduce(lambda a, b: a + b, [F.when(has(f), PLACE[f]).otherwise(0.0) for f in fields])
-    found = held.join(side(df, n_terms), ["query", "term"]).groupBy("query", "id").agg(
-        F.count("*").alias("matched"), F.count_if(strong).alias("strong"), F.sum(best).alias("coverage"), F.sum(place).alias("score"), F.count_if(has("name")).alias("in_name")
+    worth = held.join(side(df, n_terms), "key").select("key", "id", strong.alias("strong"), best.alias("best"), place.alias("place"), has("name").alias("named"))
+    asked = side(terms.select("query", "key"), n_terms)
+    found = worth.join(asked, "key").groupBy("query", "id").agg(
+        F.count("*").alias("matched"), F.count_if("strong").alias("strong"), F.sum("best").alias("coverage"), F.sum("place").alias("score"), F.count_if("named").alias("in_name")
     )
     size = methods.select("id", F.size(text.distinct_tokens(F.col("name"))).alias("name_words"))
     fit = F.when(F.col("name_words") > 0, F.least(F.lit(1.0), F.col("in_name") / F.col("name_words"))).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import advice, audits, graph, routes
+from ..operators import advice, audits, graph, routes, search
 from ..operators import relational as rel
 from ..sources import tables as t
 from ..streaming import logs
@@ -75,15 +75,15 @@ def similar_names(s, d):
     return t.symbols(s, d).select("name").distinct().where(audits.similar(F.col("name"), "small ri")).orderBy("name").limit(10)
 
 
-@query("""WITH g AS (SELECT o_orderpriority AS right, c_mktsegment AS role, bool_or(o_totalprice > 200000) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 AND o_orderstatus = 'F' GROUP BY 1, 2),
+@query("""WITH g AS (SELECT o_orderpriority AS right, c_mktsegment AS role, bool_or(o_totalprice > 499000) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 roles AS (SELECT c_mktsegment AS role, bool_or(c_acctbal > 9990) AS for_new FROM customer GROUP BY 1), e AS (SELECT r.right, roles.role, CASE WHEN g.value THEN 'granted' WHEN g.value IS NULL AND for_new THEN 'undetermined' ELSE 'refused' END AS state
 FROM (SELECT DISTINCT right FROM g) r CROSS JOIN roles LEFT JOIN g ON g.right = r.right AND g.role = roles.role)
 SELECT right, coalesce(string_agg(CASE WHEN state = 'granted' THEN role END, ',' ORDER BY role), '') AS granted, coalesce(string_agg(CASE WHEN state = 'refused' THEN role END, ',' ORDER BY role), '') AS refused, coalesce(string_agg(CASE WHEN state = 'undetermined' THEN role END, ',' ORDER BY role), '') AS undetermined FROM e GROUP BY right""".replace("AS right", 'AS "right"').replace("r.right", 'r."right"').replace("g.right", 'g."right"').replace("DISTINCT right", 'DISTINCT "right"').replace("SELECT right", 'SELECT "right"').replace("BY right", 'BY "right"'))
 def rights_pivot(s, d):
     """Roles that grant, refuse or leave open each right."""
     c = t.table(s, d, "customer")
-    g = t.table(s, d, "orders").where("o_orderstatus = 'F'").join(c.where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"))
-    g = g.select(F.col("o_orderpriority").alias("right"), F.col("c_mktsegment").alias("role"), (F.col("o_totalprice") > 200000).alias("value"))
+    g = t.table(s, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    g = g.select(F.col("o_orderpriority").alias("right"), F.col("c_mktsegment").alias("role"), (F.col("o_totalprice") > 499000).alias("value"))
     return audits.rights_pivot(g, c.groupBy(F.col("c_mktsegment").alias("role")).agg(F.bool_or(F.col("c_acctbal") > 9990).alias("for_new")))
 
 
@@ -132,11 +132,12 @@ def search_metrics(s, d):
 
 
 @query("""WITH RECURSIVE c AS (SELECT source, doc_id AS id, n_chars AS cost, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
-w(source, k, id, used, ok) AS (SELECT source, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT c.source, c.k, c.id, CASE WHEN used + cost <= 20000 THEN used + cost ELSE used END, used + cost <= 20000 FROM w JOIN c ON c.source = w.source AND c.k = w.k + 1 WHERE c.k <= 40)
+w(source, k, id, used, ok) AS (SELECT source, 0::BIGINT, 0::BIGINT, 0::BIGINT, false FROM (SELECT DISTINCT source FROM documents) UNION ALL SELECT c.source, c.k, c.id, CASE WHEN used + cost <= 20000 THEN used + cost ELSE used END, used + cost <= 20000 FROM w JOIN c ON c.source = w.source AND c.k = w.k + 1)
 SELECT source, id, used FROM w WHERE ok""")
 def context_pack(s, d):
-    """Documents of every source that a budget admits greedily, among its first forty."""
-    return audits.packed(t.table(s, d, "documents").select("source", F.col("doc_id").alias("id"), F.col("n_chars").alias("cost")), "source", 20000, 40)
+    """Documents of every source that a budget admits greedily, in the order of their ids."""
+    docs = t.table(s, d, "documents").select(F.col("source").alias("task"), F.lit("").alias("category"), F.col("doc_id").alias("id"), F.col("n_chars").alias("cost"), F.lit(0.0).alias("score"))
+    return search.packed_context(docs, [], 20000).where("admitted").select(F.col("task").alias("source"), "id", "used")
 
 
 @query(f"WITH {_EDGES}, s AS (SELECT DISTINCT src, dst, kind FROM edges WHERE layer <> 'base' EXCEPT SELECT src, dst, kind FROM edges WHERE layer = 'base'), ends AS (SELECT dst AS id, 1 AS i, 0 AS o FROM s UNION ALL SELECT src, 0, 1 FROM s) SELECT id, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM ends GROUP BY id")
@@ -169,12 +170,12 @@ def exchange_audit(s, d):
     return plan.union(o.join(t.table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.lit("NoRegistration"), "o_orderkey"))
 
 
-@query("""WITH r AS (SELECT l_partkey AS command, c_mktsegment AS role, NOT bool_or(c_acctbal < 0) AS override FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' GROUP BY 1, 2),
+@query("""WITH r AS (SELECT l_partkey AS command, c_mktsegment AS role, NOT bool_or(c_acctbal < 0) AS override FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
 c AS (SELECT p_partkey AS command, CASE WHEN p_size < 10 THEN false WHEN p_size < 20 THEN true END AS common FROM part)
 SELECT c.command, role, coalesce(override, common, true) AS visible, CASE WHEN override IS NOT NULL THEN 'role' WHEN common IS NOT NULL THEN 'common' ELSE 'default' END AS "by" FROM c LEFT JOIN r ON c.command = r.command""")
 def command_visibility(s, d):
     """Whether commands are shown: a role's setting, else the common one, else yes."""
-    o = t.table(s, d, "orders").where("o_orderstatus = 'P'").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_mktsegment").alias("role"), (F.col("c_acctbal") < 0).alias("hidden"))
+    o = t.table(s, d, "orders").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), F.col("c_mktsegment").alias("role"), (F.col("c_acctbal") < 0).alias("hidden"))
     r = t.table(s, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("command")).join(o, "l_orderkey").groupBy("command", "role").agg((~F.bool_or("hidden")).alias("override"))
     c = t.table(s, d, "part").select(F.col("p_partkey").alias("command"), F.when(F.col("p_size") < 10, False).when(F.col("p_size") < 20, True).alias("common"))
     by = F.when(F.col("override").isNotNull(), "role").when(F.col("common").isNotNull(), "common").otherwise("default")

@@ -139,17 +139,17 @@ def log_page(s, d):
     return t.table(s, d, "events").where("event_type <> 'view'").select("event_id", "ts", "event_type", F.substring("props", 1, 5).alias("comment")).orderBy(F.desc("ts"), "event_id").offset(50).limit(100)
 
 
-@query("SELECT n_name AS profile, CAST(count(c_custkey) AS BIGINT) AS users, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS roles FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal < 0 GROUP BY 1")
+@query("SELECT n_name AS profile, CAST(count(c_custkey) AS BIGINT) AS users, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS roles FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def profile_counts(s, d):
     """Users and roles of every profile, also of those that have none."""
-    c = t.table(s, d, "customer").where("c_acctbal < 0")
+    c = t.table(s, d, "customer")
     return t.table(s, d, "nation").join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_name").alias("profile")).agg(F.count("c_custkey").alias("users"), F.countDistinct("c_mktsegment").alias("roles"))
 
 
-@query("""SELECT o_orderpriority AS object, o_orderstatus AS access, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS roles, bool_and(c_acctbal < 0) AS restricted FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1, 2""")
+@query("""SELECT o_orderpriority AS object, o_orderstatus AS access, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS roles, bool_and(c_acctbal < 0) AS restricted FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def effective_rights(s, d):
     """Rights combined over roles: restricted only if every grant is."""
-    g = t.table(s, d, "orders").where("o_totalprice > 1000").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = t.table(s, d, "orders").join(t.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return g.groupBy(F.col("o_orderpriority").alias("object"), F.col("o_orderstatus").alias("access")).agg(F.countDistinct("c_mktsegment").alias("roles"), F.bool_and(F.col("c_acctbal") < 0).alias("restricted"))
 
 

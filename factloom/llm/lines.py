@@ -46,8 +46,6 @@ PAIRS, RUN, KNOWN, GROUPS = 1 << 20, 1 << 19, 1 << 18, 1 << 16
 FEW = 24
 #: Lines of a text that are looked up in one row.
 LISTED = 1 << 16
-#: Added to the position of a word that more than ``CELL`` lines may hold.
-HOT = 1 << 30
 #: Words of a line from which on 64 parity bits say too little.
 LONG = 64
 _SHIFT = np.uint64(64 - RARITY_BITS)
@@ -142,13 +140,14 @@ def identified(docs: DataFrame) -> DataFrame:
 
 def _lines(rows: DataFrame, ranks: np.ndarray, similarity: float, cell: int) -> DataFrame:
     """Every line with words: its place, n (set size), two sums of its words' hashes, their
-    parity bits and the shareable words of its prefix with their positions.
+    parity bits and the shareable words of its prefix with their positions; those that more than
+    ``cell`` lines may hold are ``hot``.
 
     Lines of one class have equal words, so a task gives them with the first that it meets.
     """
     shared = rows.sparkSession.sparkContext.broadcast(ranks)  # 2**RARITY_BITS bytes
     hot = 1 + round(8 * np.log2(cell))
-    names = [*ORDER, "n", "s1", "s2", "b1", "b2", "words", "places"]
+    names = [*ORDER, "n", "s1", "s2", "b1", "b2", "words", "places", "hot_words", "hot_places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -178,15 +177,16 @@ def _lines(rows: DataFrame, ranks: np.ndarray, similarity: float, cell: int) ->
                         known.clear()
                     least = np.where(fresh & (n > 1 / (1 - similarity) - 1 - 1e-9), prefix_length(n, similarity), 0)  # shorter lines match equal ones only
                     wanted = (place < np.repeat(least, n)) & (rank > 0)
-                    places = (place + np.where(rank >= hot, HOT, 0))[wanted].astype(np.int32)
-                    cut = pa.array(np.append(0, np.add.reduceat(wanted, first, dtype=np.int64).cumsum()), pa.int32())
+                    lists = []
+                    for mine in (wanted & (rank < hot), wanted & (rank >= hot)):
+                        cut = pa.array(np.append(0, np.add.reduceat(mine, first, dtype=np.int64).cumsum()), pa.int32())
+                        lists += [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[mine].view(np.int64), place[mine].astype(np.int32))]
                     own = pa.array(begin + doc[first])
                     place_of = [batch["doc_id"].take(own), batch["h"].take(own), batch["row"].take(own), pa.array(far[first] + w.line[s.start] - w.first_line[doc[first]], pa.int64())]
-                    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (h[wanted].view(np.int64), places)]
                     yield pa.record_batch([*place_of, pa.array(n, pa.int32()), *map(pa.array, sums + bits), *lists], names=names)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, h long, row long, line long, n int, s1 long, s2 long, b1 long, b2 long, words array<long>, places array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, h long, row long, line long, n int, s1 long, s2 long, b1 long, b2 long, words array<long>, places array<int>, hot_words array<long>, hot_places array<int>")
 
 
 def survivors(group: np.ndarray, rows: dict[str, np.ndarray], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -272,17 +272,25 @@ def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[dict[str, np
 
 def candidate_edges(lines: DataFrame, similarity: float, cell: int = CELL) -> DataFrame:
     """Edges ``a``, ``b`` between classes, named by ``s1``, that hold every candidate pair in one component."""
-    posts = lines.select(F.col("s1").alias("id"), "n", "b1", "b2", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("places").alias("place"))))
-    posts = posts.toDF("id", "n", "b1", "b2", "word", "place")
-    row = ["id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place") % HOT).alias("np"), "b1", "b2"]
-    some = _celled(posts.where(F.col("place") >= HOT), "word", cell)
+    def posts(words: str, places: str) -> DataFrame:
+        each = lines.select(F.col("s1").alias("id"), "n", "b1", "b2", F.inline(F.arrays_zip(F.col(words).alias("word"), F.col(places).alias("place"))))
+        return each.toDF("id", "n", "b1", "b2", "word", "place")
+
+    row = ["id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place")).alias("np"), "b1", "b2"]
+    some = _celled(posts("hot_words", "hot_places"), "word", cell)
     # a cell of a word is a key like a word: were two keys equal, they would add candidates, and lose none
     key = F.when(F.col("cell") == 0, F.col("word")).otherwise(F.xxhash64("word", "cell"))
-    dealt = posts.where(F.col("place") < HOT).select(F.col("word").alias("key"), *row).union(some.select(key.alias("key"), *row))
+    dealt = posts("words", "places").select(F.col("word").alias("key"), *row).union(some.select(key.alias("key"), *row))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, "key"):
-            order = np.lexsort((rows["id"], rows["np"], rows["key"]))
+            # rows come sorted by key: its number, the set's size and the place make one number to sort by
+            number = np.cumsum(np.append(False, rows["key"][1:] != rows["key"][:-1]))
+            n, place = rows["np"] >> 32, rows["np"] & 0xFFFFFFFF
+            if int(n.max()) < 1 << 20 and int(number[-1]) < 1 << 23:
+                order = np.argsort((number << 40) | (n << 20) | place)
+            else:
+                order = np.lexsort((place, n, number))
             rows = {c: v[order] for c, v in rows.items()}
             again = np.append(False, np.all([rows[c][1:] == rows[c][:-1] for c in ("key", "np", "id", "b1")], axis=0))  # several tasks may have met a class
             rows = {c: v[~again] for c, v in rows.items()}

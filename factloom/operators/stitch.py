@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import kept, side
+from ..sources.shared import kept, parted, side
 
 # How sure a stitch is, by whether the host names the project and the path is whole.
 SURE = {(True, "static"): 0.9, (True, "prefix"): 0.7, (False, "static"): 0.6, (False, "prefix"): 0.5}
@@ -34,12 +34,21 @@ def _template(root: Column, template: Column) -> Column:
     return F.when(star > 0, F.slice(own, F.lit(1), star.cast("int"))).otherwise(own)
 
 
+#: Classes of endpoints, met by calls, that one task judges.
+PART = 500_000
+
+
 def trie(endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (``node, segment, to``) and, for every node, the endpoints below it (``node, endpoint, project, verb, root, path``)."""
-    own = endpoints.where(F.size(segments(F.col("root"))) > 0).select("endpoint", "project", "verb", F.size(segments(F.col("root"))).alias("root"), _template(F.col("root"), F.col("template")).alias("path"))
+    """Edges (``node, segment, to``) and, for every node, the endpoints below it (``node, endpoints, project, verb, root, path, leaf``).
+
+    Endpoints of a project with the same path and verb are one class, as every call is judged alike for them;
+    ``leaf`` is whether their path ends at the node.
+    """
+    own = endpoints.where(F.size(segments(F.col("root"))) > 0).select("endpoint", "project", F.upper("verb").alias("verb"), F.size(segments(F.col("root"))).alias("root"), _template(F.col("root"), F.col("template")).alias("path"))
+    own = own.groupBy("project", "verb", "root", "path").agg(F.collect_set("endpoint").alias("endpoints"))
     heads = own.select("*", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth"))
     name = lambda n: F.array_join(F.slice("path", F.lit(1), n), "/")
-    below = heads.select(name(F.col("depth")).alias("node"), "endpoint", "project", "verb", "root", "path")
+    below = heads.select(name(F.col("depth")).alias("node"), "endpoints", "project", "verb", "root", "path", (F.col("depth") == F.size("path")).alias("leaf"))
     edges = heads.where("depth > 0").select(name(F.col("depth") - 1).alias("node"), F.get("path", F.col("depth") - 1).alias("segment"), name(F.col("depth")).alias("to")).distinct()
     return kept(edges), kept(below)
 
@@ -100,29 +109,39 @@ def stitched(calls: DataFrame, endpoints: DataFrame, projects: DataFrame) -> Dat
     done = seen.where(F.col("at") == F.col("full"))
     starred = seen.join(edges.where(F.col("segment") == REST), "node").select("id", F.col("to").alias("node"), "at", "rest", "full", "partial")
     last = F.get("rest", F.col("full"))
-    cut_inside = done.where("partial").join(edges, "node").where((F.col("segment") == ANY) | (F.col("segment") == REST) | F.col("segment").startswith(last)).select("id", F.col("to").alias("node"), "at", "rest", "full", "partial")
-    ways = done.where("NOT partial").union(cut_inside).select("id", "node").withColumn("star", F.lit(False)).union(starred.select("id", "node").withColumn("star", F.lit(True))).distinct()
-    met = ways.join(side(below, below.count()), "node").join(c.select("id", "wanted", "host", "path_kind", "suffix", "partial", "full", F.size("rest").alias("size"), F.col("verb").alias("asked")), "id")
-    met = met.where((F.col("host") == "") | (F.col("project") == F.col("wanted")))
+    # a segment that is cut meets the beginnings of all segments by equality
+    cut = done.where("partial").select("id", "node", last.alias("begin"))
+    begins = edges.where(~F.col("segment").isin(ANY, REST)).select("node", "to", F.explode(F.sequence(F.lit(0), F.length("segment"))).alias("n"), "segment").select("node", "to", F.left("segment", "n").alias("begin"))
+    cut_inside = cut.join(begins, ["node", "begin"]).select("id", F.col("to").alias("node")).union(cut.join(edges.where(F.col("segment").isin(ANY, REST)), "node").select("id", F.col("to").alias("node")))
+    ways = done.where("NOT partial").select("id", "node").union(cut_inside).union(starred.select("id", "node")).distinct()
+    asking = c.select("id", "wanted", "host", "path_kind", "suffix", "partial", "full", F.size("rest").alias("size"), F.col("verb").alias("asked"))
+    ways = kept(ways.join(asking, "id"))
+    # few rows become many: parts are sized by how many classes the ways meet, and a call's stay in its part
+    n_below = below.count()
+    met_n = ways.join(below.groupBy("node").agg(F.count("*").alias("n"), F.count_if("leaf").alias("n_leaf")), "node").agg(F.sum(F.when(F.col("path_kind") == "static", F.col("n_leaf")).otherwise(F.col("n")))).first()[0]
+    ways = parted(ways, "id", met_n or 0, PART)
+    mine = (F.col("host") == "") | (F.col("project") == F.col("wanted"))
     rooted = F.col("full") >= F.col("root")
-    exact = F.array_join("path", "/") == F.col("node")
+    # a whole path meets the classes that end where it does; before a root it only counts that there is one
+    met = ways.where("path_kind = 'static'").join(side(below.where("leaf"), n_below), "node").union(ways.where("path_kind <> 'static'").join(side(below, n_below), "node")).where(mine & rooted)
+    early = ways.where("path_kind = 'prefix'").join(side(below.select("node", "project", "root").distinct(), n_below), "node").where(mine & ~rooted).select("id", F.lit(True).alias("before")).distinct()
     tail = _ends(F.slice("path", F.col("root") + 1, F.size("path")), F.col("size") - F.col("root"), F.col("partial"), F.col("suffix"))
-    ok = rooted & F.when(F.col("path_kind") == "static", exact).otherwise((F.col("suffix") == "") | tail)
-    verb = F.upper("verb")
-    allowed = (F.col("asked") == "") | (verb == "") | verb.isin("ANY", "*") | (verb == F.upper("asked"))
-    judged = met.select("id", "endpoint", ok.alias("ok"), allowed.alias("allowed"), (~rooted & (F.col("path_kind") == "prefix")).alias("before"))
-    found = judged.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("ok") & F.col("allowed"), F.col("endpoint")))).alias("good"), F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("endpoint")))).alias("any"), F.bool_or("before").alias("before"))
-    out = c.join(found, "id", "left")
+    good = met.where((F.col("path_kind") == "static") | (F.col("suffix") == "") | tail)
+    allowed = (F.col("asked") == "") | (F.col("verb") == "") | F.col("verb").isin("ANY", "*") | (F.col("verb") == F.upper("asked"))
+    # endpoints whose verb is another count where no verb fits
+    lists = good.select("id", allowed.alias("allowed"), "endpoints").groupBy("id").agg(F.bool_or("allowed").alias("fits"), F.collect_list(F.when(F.col("allowed"), F.col("endpoints"))).alias("good"), F.collect_list("endpoints").alias("any"))
+    hits = lists.select("id", "fits", F.array_join(F.array_sort(F.array_distinct(F.flatten(F.when(F.col("fits"), F.col("good")).otherwise(F.col("any"))))), ",").alias("reached"))
+    out = c.join(hits, "id", "left").join(side(early, c.count()), "id", "left")
     named = F.col("host") != ""
-    hit = F.size(F.coalesce("any", F.array().cast("array<string>"))) > 0
-    wrong_verb = F.size("good") == 0
+    hit = F.col("fits").isNotNull()
+    wrong_verb = ~F.col("fits")
     nowhere = F.when(F.col("hs").isNull() | (F.col("hs") == 0), F.when(prefix, "prefix-without-hs").otherwise("no-endpoint")).when(F.coalesce("before", F.lit(False)), "prefix-before-root").otherwise("no-endpoint")
     kind = F.when(named & F.col("wanted").isNull(), "external").when(~F.col("path_kind").isin("static", "prefix"), "dynamic").when(named & F.col("loaded").isNull(), "unknown").when(hit, "stitched").when(prefix, "unknown").otherwise("external")
     reason = F.when(named & F.col("wanted").isNull(), "host-unmapped").when(~F.col("path_kind").isin("static", "prefix"), F.when(F.col("reason") != "", F.col("reason")).otherwise("dynamic-path")).when(named & F.col("loaded").isNull(), "project-not-loaded")
     reason = reason.when(hit & wrong_verb, "verb-not-allowed").when(hit, F.when(named, "host-mapped").otherwise("path-only")).otherwise(nowhere)
     sure = reduce(lambda a, k: a.when((named == k[0]) & (F.col("path_kind") == k[1]), SURE[k]), SURE, F.when(F.lit(False), 0.0))
     is_hit = kind == "stitched"
-    return out.select("id", kind.alias("kind"), reason.alias("reason"), F.when(is_hit, F.array_join(F.when(wrong_verb, F.col("any")).otherwise(F.col("good")), ",")).otherwise("").alias("endpoints"), F.when(is_hit, sure).otherwise(0.0).alias("confidence"))
+    return out.select("id", kind.alias("kind"), reason.alias("reason"), F.when(is_hit, F.col("reached")).otherwise("").alias("endpoints"), F.when(is_hit, sure).otherwise(0.0).alias("confidence"))
 
 
 def link_counts(stitches: DataFrame, owners: DataFrame) -> DataFrame:

@@ -44,3 +44,15 @@ def found(spark):
 @pytest.mark.parametrize("k", range(len(CASES)))
 def test_stitch(found, k):
     assert found[k] == CASES[k][1], CASES[k][0]
+
+
+def test_endpoints_of_one_template_are_one_class(spark):
+    endpoints = spark.createDataFrame([(f"e{i}", "shop", "x", "/{id}" if i % 3 else f"/{i}", ("GET", "get", "POST")[i % 3 - 1]) for i in range(300)], "endpoint string, project string, root string, template string, verb string")
+    _, below = stitch.trie(endpoints)
+    assert below.where("node = 'x/{}'").count() == 1
+    calls = spark.createDataFrame([(0, "GET", "", "/hs/x/9", "static", "", ""), (1, "GET", "", "/hs/x/", "prefix", "", ""), (2, "PUT", "", "/hs/x/1", "prefix", "", "")], "id int, verb string, host string, path string, path_kind string, suffix string, reason string")
+    got = {x.id: x.endpoints.split(",") for x in stitch.stitched(calls, endpoints, spark.createDataFrame(PROJECTS, "host string, project string")).collect()}
+    same = [f"e{i}" for i in range(300) if i % 3]
+    assert got[0] == sorted(same)
+    assert got[1] == sorted(same)
+    assert got[2] == sorted([*same, *(f"e{i}" for i in range(300) if i % 3 == 0 and str(i).startswith("1"))])

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, saved
+from .common import BROADCAST_IDS, released, saved
 from .words import hashes, mix
 
 SEED = 5
@@ -191,7 +191,7 @@ def benchmark_seeds(items: DataFrame, seed: int) -> DataFrame:
                 same = np.ones(len(h), np.int64)
                 yield pa.record_batch({"item": item * same, "words": len(ids) * same, "least": least * same, "hash": h})
 
-    return items.select("item", "text").mapInArrow(run, "item long, words long, least long, hash long")
+    return items.select("item", "text").mapInArrow(released(run), "item long, words long, least long, hash long")
 
 
 def _map(seeds: DataFrame) -> np.ndarray:
@@ -229,7 +229,7 @@ def pairs(rows: DataFrame, seeds: DataFrame, coverage: float) -> DataFrame:
                 yield pa.record_batch([batch["doc_id"].take(own), batch["h"].take(own), pa.array(np.concatenate(found))], names=["doc_id", "h", "hash"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    hits = rows.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h long, hash long")
+    hits = rows.select("doc_id", "h", "text").mapInArrow(released(run), f"doc_id {kind}, h long, hash long")
     grouped = saved(seeds.groupBy("hash", "item").agg(F.count("*").alias("n"), F.first("words").alias("words"), F.first("least").alias("least")))
     few = grouped.count() <= BROADCAST_IDS // 2
     met = hits.join(F.broadcast(grouped) if few else grouped, "hash").groupBy("doc_id", "h", "item").agg(F.sum("n").alias("n"), F.first("words").alias("words"), F.first("least").alias("least"))
@@ -261,7 +261,7 @@ def _tiled(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) ->
             yield pa.record_batch([*kept, *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.float64(), pa.int32(), pa.int32())))], names=["doc_id", "h", "item_id", "coverage", "tiles", "longest"])
 
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
-    found = both.select("doc_id", "h", "item_id", "_text", "text").mapInArrow(run, f"doc_id {kinds[0]}, h long, item_id {kinds[1]}, coverage double, tiles int, longest int")
+    found = both.select("doc_id", "h", "item_id", "_text", "text").mapInArrow(released(run), f"doc_id {kinds[0]}, h long, item_id {kinds[1]}, coverage double, tiles int, longest int")
     return saved(found.where(F.col("coverage") >= coverage))
 
 

@@ -33,6 +33,8 @@ RANGES = 4_096
 #: A group of equal texts may be divided if it fills more than this part of a shard.
 WHOLE = 0.01
 LEAST = -(1 << 63)
+#: Bits of a hash by which rows meet the ranges.
+BITS = 13
 
 
 def keys(docs: DataFrame) -> DataFrame:
@@ -74,28 +76,21 @@ def _splitters(sample: pd.DataFrame, parts: int) -> list[tuple[int, int, int]]:
 
 
 def _ranged(rows: DataFrame, cuts: list[tuple[int, int, int]]) -> DataFrame:
-    """``rows`` with the ``range`` of their key: the number of splitters up to it."""
-    h, d, t = (np.array([c[k] for c in cuts], np.int64) for k in range(3))
-
-    @F.pandas_udf("int")
-    def number(hashes: pd.Series, ids: pd.Series, ties: pd.Series) -> pd.Series:
-        x, own, tie = hashes.to_numpy(), ids.to_numpy(), ties.to_numpy()
-        low, high = np.searchsorted(h, x, side="left"), np.searchsorted(h, x, side="right")
-        out = high.copy()
-        inside = np.flatnonzero(high - low > 1)  # texts with splitters among their copies
-        for begin in np.unique(low[inside]):
-            i = inside[low[inside] == begin]
-            end = int(high[i[0]])
-            first = begin + np.searchsorted(d[begin:end], own[i], side="left")
-            last = begin + np.searchsorted(d[begin:end], own[i], side="right")
-            out[i] = last
-            again = np.flatnonzero(last - first > 1)  # rows with splitters among their repeats
-            for a in np.unique(first[again]):
-                j = again[first[again] == a]
-                out[i[j]] = a + np.searchsorted(t[a : int(last[j[0]])], tie[i[j]], side="right")
-        return pd.Series(out.astype(np.int32))
-
-    return rows.withColumn("range", number("hash", F.coalesce("doc_id", F.lit(LEAST)), "tie"))
+    """``rows`` with the ``range`` of their key: the number of splitters up to it.
+
+    Ranges are a table that rows meet by the first bits of their hash, so rows with their texts stay in Spark:
+    where a range covers these bits alone there is nothing to compare, else its first and next key decide.
+    """
+    spark = rows.sparkSession
+    edges = [(LEAST, LEAST, LEAST), *cuts]
+    table = spark.createDataFrame([(i, *low, *(high or (None, None, None))) for i, (low, high) in enumerate(zip(edges, [*cuts, None]))], "range int, h0 long, d0 long, t0 long, h1 long, d1 long, t1 long")
+    bits = lambda c: F.shiftright(c, 64 - BITS).cast("int")
+    table = table.withColumn("_bits", F.explode(F.sequence(bits("h0"), bits(F.coalesce("h1", F.lit((1 << 63) - 1))))))
+    h, d, t = F.col("hash"), F.coalesce("doc_id", F.lit(LEAST)), F.col("tie")
+    reached = lambda n: (h > F.col(f"h{n}")) | ((h == F.col(f"h{n}")) & ((d > F.col(f"d{n}")) | ((d == F.col(f"d{n}")) & (t >= F.col(f"t{n}")))))
+    own = rows.withColumn("_bits", bits("hash"))
+    # a few thousand ranges and as many beginnings of a hash, whatever the input: their numbers are parameters
+    return own.join(F.broadcast(table), "_bits").where(reached(0) & ~F.coalesce(reached(1), F.lit(False))).drop("_bits", "h0", "d0", "t0", "h1", "d1", "t1")
 
 
 def _plan(rows: DataFrame, shards: int, sample: int, ranges: int) -> tuple[list[tuple[int, int, int]], pd.DataFrame]:

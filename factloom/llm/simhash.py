@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_ids, saved
+from .common import connected_components, join_ids, released, saved
 from .verify import verified, with_few, within
 from .words import chunks, split_words
 
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInPandas(released(run), f"doc_id {kind}, fp long")
 
 
 def hexed(fp: Column) -> Column:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
             yield pd.DataFrame({"doc_id": ids, "n": size, "same": same, "fp": np.array(fps, np.uint64).view(np.int64), "bands": bands})
 
     rows = docs.select("doc_id", "text")
-    sketches = saved(rows.mapInPandas(sketch, "doc_id long, n int, same binary, fp long, bands array<long>"))
+    sketches = saved(rows.mapInPandas(released(sketch), "doc_id long, n int, same binary, fp long, bands array<long>"))
     # one document of each group of equal sets goes on; the others are tied to it
     first = saved(sketches.groupBy("same").agg(F.min("doc_id").alias("first")))
     copies = sketches.select("doc_id", "same").join(first, "same").where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
                 found = list(_shingle_sets(pdf["text"].tolist(), words))
                 yield pd.DataFrame({"id": pdf["doc_id"], "n": [len(s) for s in found], "s": [s.tobytes() for s in found]})
 
-        return join_ids(rows, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(run, "id long, n int, s binary")
+        return join_ids(rows, ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInPandas(released(run), "id long, n int, s binary")
 
     # these pairs first: most groups fall together; then all pairs of a group that are still apart
     real = saved(verified(tied, sets, similarity))

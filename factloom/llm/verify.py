@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, saved
+from .common import BROADCAST_IDS, released, saved
 from .lines import _roots, _stream
 
 #: Members that one task compares with a set at most.
@@ -70,7 +70,7 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarit
                 a, b = zip(*found)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
+    return found.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b")).mapInArrow(released(run), "a long, b long")
 
 
 def cells(rows: DataFrame, key: str, cell: int, shingles: int | None = None) -> DataFrame:
@@ -113,7 +113,7 @@ def within(groups: DataFrame, sets: Callable[[DataFrame], DataFrame], labels: Da
                     other = np.flatnonzero(root != np.arange(b - a))
                     yield pd.DataFrame({"a": ids[a + root[other]], "b": ids[a + other]})
 
-    return placed.select("g", "id", "s").repartition("g").sortWithinPartitions("g", "id").mapInPandas(run, "a long, b long")
+    return placed.select("g", "id", "s").repartition("g").sortWithinPartitions("g", "id").mapInPandas(released(run), "a long, b long")
 
 
 def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:

@@ -536,3 +536,21 @@ def test_window_entropy_is_exact(spark):
         h = lambda s: -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s))
         hit = [i for i in range(len(x.p) - secrets.WINDOW + 1) if h(x.p[i : i + secrets.WINDOW]) >= need - 1e-9]
         assert (x.w.first, x.w.last) == ((hit[0], hit[-1]) if hit else (-1, -1))
+
+
+def test_ranges_count_the_splitters_up_to_a_key_without_leaving_spark(spark):
+    import bisect
+    import random
+
+    r = random.Random(5)
+    least = sharding.LEAST
+    hashes = [least, -5, 0, 7, 1 << 40, (1 << 63) - 1, *[r.randrange(-(1 << 63), 1 << 63) for _ in range(20)]]
+    keys = [(r.choice(hashes), r.choice([None, least, -1, 3, 9]), r.randrange(4)) for _ in range(600)]
+    rows = spark.createDataFrame(keys, "hash long, doc_id long, tie long")
+    for n in (0, 1, 7, 90):
+        cuts = sorted({(h, least if d is None else d, t) for h, d, t in r.sample(keys, n)})
+        cuts = sorted({*cuts, *((h, least, least) for h, _, _ in cuts), *((h, d, least) for h, d, _ in cuts)})
+        placed = sharding._ranged(rows, cuts)
+        want = sorted((h, str(d), t, bisect.bisect_right(cuts, (h, least if d is None else d, t))) for h, d, t in keys)
+        assert sorted((x.hash, str(x.doc_id), x.tie, x.range) for x in placed.collect()) == want
+        assert "ArrowEvalPython" not in placed._jdf.queryExecution().executedPlan().toString()

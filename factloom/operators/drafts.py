@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import kept, side
+from ..sources.shared import kept, parted, side
 from . import search, tokens
 
 # Beginnings of the names of event handlers, which no method replaces.
@@ -63,13 +63,14 @@ def ready_made(drafts: DataFrame, methods: DataFrame, n_methods: int, most: int
     sizes = asked.groupBy("query").agg(F.count("*").alias("terms"), F.count_if("of_name").alias("name_terms")).where("terms >= 2 AND name_terms > 0")
     n = asked.count()
     word = lambda c: F.transform(text.distinct_tokens(F.coalesce(c, F.lit(""))), text.word_key)
-    live = methods.where("NOT deprecated")
+    live = parted(methods.where("NOT deprecated"), "id", n_methods, search.METHODS)
     keys = live.select("id", "owner", "library", F.array_distinct(word("name")).alias("_name"), word(F.concat_ws(" ", "owner", "summary")).alias("_rest"))
     each = keys.select("id", "owner", "library", F.size("_name").alias("name_words"), F.explode(F.array_union("_name", "_rest")).alias("key"), "_name")
     each = each.select("id", "owner", "library", "name_words", "key", F.array_contains("_name", F.col("key")).alias("in_name"))
     met = kept(each.join(side(asked.select("key").distinct(), n), "key", "left_semi"))
     worth = met.groupBy("key").agg(F.log(1 + n_methods / F.count("*")).alias("w"))
-    joined = met.join(side(worth, n), "key").join(side(asked, n), "key")
+    many = met.groupBy("key").agg(F.count("*").alias("n")).join(asked.groupBy("key").agg(F.count("*").alias("m")), "key").agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+    joined = parted(met.join(side(worth, n), "key"), "id", many or 0, search.HITS).join(side(asked, n), "key")
     found = joined.groupBy("query", "id", "owner", "library", "name_words").agg(F.count("*").alias("matched"), F.count_if("in_name").alias("names"), F.count_if(F.col("in_name") & F.col("of_name")).alias("both"), F.round(F.sum(F.col("w") * F.when(F.col("in_name"), 1.0).otherwise(0.7)), 6).alias("score"))
     found = found.join(side(sizes, n), "query").join(side(drafts.select(F.col("draft").alias("query"), F.col("owner").alias("own")), n), "query")
     close = (F.col("names") >= 2) & (F.col("names") * 3 >= F.col("name_words") * 2) & (F.col("both") * 2 >= F.col("name_terms"))

@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import advice, audits, graph, routes, search
 from ..operators import relational as rel
 from ..sources import tables as t
+from ..sources.shared import parted
 from ..streaming import logs
 from .queries import _EDGES, query
 
@@ -40,6 +41,9 @@ def host_rules(s, d):
     return routes.mapped_hosts(t.table(s, d, "pages").select(text.host(F.col("url")).alias("host")), r)
 
 
+#: Parts whose texts one task reads: few bytes each, but long texts.
+PART = 20_000
+
 # Invented queries in the dialect of the application's language with the rules that each breaks, by kind of part.
 _TEXTS = {
     "ECONOMY": ("ВЫБРАТЬ РАЗЛИЧНЫЕ ПЕРВЫЕ 5 * ИЗ Справочник.Товары КАК Т ГДЕ Т.Имя = \"ПОЛНОЕ СОЕДИНЕНИЕ (\"", ["SelectStar"]),
@@ -54,7 +58,8 @@ _TEXTS = {
 @query("SELECT p_partkey AS id, unnest(CASE p_type " + " ".join(f"WHEN '{k}' THEN {rules!r}" for k, (_, rules) in _TEXTS.items()) + " END) AS rule FROM part")
 def query_advice(s, d):
     """Rules that query texts break, one text for each part."""
-    p, kind = t.table(s, d, "part"), F.col("p_type")
+    p, kind = t.table(s, d, "part").select("p_partkey", "p_type", "p_name"), F.col("p_type")
+    p = parted(p, "p_partkey", p.count(), PART)
     own = F.element_at(F.create_map(*[F.lit(x) for k, (q, _) in _TEXTS.items() for x in (k, q)]), kind)
     return advice.query_advice(p.select(F.col("p_partkey").alias("id"), F.concat(own, F.lit(" // ПОЛНОЕ СОЕДИНЕНИЕ "), "p_name").alias("text")))
 

@@ -20,3 +20,24 @@ def test_ready_methods_for_drafts(spark):
     assert got == {(1, "library", 10), (1, "other", 12), (2, "other", 13), (4, "other", 16)}
     names = make([("ПриОткрытии",), ("ОбработкаПроведения",), ("Приём",), ("OnOpen",)], "n string")
     assert [x[0] for x in names.select(drafts.is_handler(names["n"])).collect()] == [True, True, False, True]
+
+
+def test_heavy_rows_are_parted_by_their_number(spark, monkeypatch):
+    from factloom.operators import search
+    from factloom.plans import QUERIES, audits, scoped
+
+    for module in (audits, scoped):
+        monkeypatch.setattr(module, "PART", 10)
+    monkeypatch.setattr(search, "METHODS", 10)
+    monkeypatch.setattr(search, "HITS", 1_000)
+    folder = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{folder}/part.parquet").count()
+    assert QUERIES["query_advice"](spark, folder).rdd.getNumPartitions() == parts // 10 + 1
+    for name in ("fielded_search", "scope_advice", "draft_check", "query_advice", "ready_methods", "find_api"):
+        seen = []
+        own = search.parted
+        for module in (search, audits, scoped, __import__("factloom.operators.drafts", fromlist=["x"])):
+            monkeypatch.setattr(module, "parted", lambda df, key, rows, each, own=own: seen.append(key) or own(df, key, rows, each))
+        assert QUERIES[name](spark, folder).count() > 0 and seen, name
+        for module in (search, audits, scoped, __import__("factloom.operators.drafts", fromlist=["x"])):
+            monkeypatch.setattr(module, "parted", own)

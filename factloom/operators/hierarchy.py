@@ -16,6 +16,10 @@ from ..sources.shared import kept, side
 from .findings import named, union
 
 
+#: Pairs of a round of a walk, and of all rounds before, that a join may broadcast; rounds may be many.
+LEVEL, SEEN = 20_000, 100_000
+
+
 def inherited(nodes: DataFrame, flags: list[str]) -> DataFrame:
     """``node`` and its ``flags``, each true where it is true at the node or at any one above it.
 
@@ -72,9 +76,10 @@ def reaching(calls: DataFrame, goals: DataFrame) -> DataFrame:
     n = levels[0].count()
     total = n
     while n:
-        step = back.join(side(levels[-1], n), "node").select("goal", F.col("from").alias("node")).distinct()
+        # what was seen grows with every round, so much of it is not sent whole to all
+        step = back.join(F.broadcast(levels[-1]) if n <= LEVEL else levels[-1].hint("merge"), "node").select("goal", F.col("from").alias("node")).distinct()
         seen = reduce(DataFrame.union, levels)
-        levels.append(kept(step.join(side(seen, total), ["goal", "node"], "left_anti")))
+        levels.append(kept(step.join(F.broadcast(seen) if total <= SEEN else seen.hint("merge"), ["goal", "node"], "left_anti")))
         n = levels[-1].count()
         total += n
     return reduce(DataFrame.union, levels)

@@ -42,3 +42,13 @@ def test_coverage_follows_calls_and_rings(spark):
     handlers = make([("o1", "h1"), ("o2", "h2"), ("o3", "h3"), ("o4", "h2"), ("o1", "h2")], "object string, node string")
     got = hierarchy.exchange_coverage(content, handlers, calls, make([("p", "reg"), ("q", "none")], "plan string, node string"))
     assert {(x.plan, x.object): (x.handlers, x.reaching, x.status) for x in got.collect()} == {("p", "o1"): (2, 1, "manual"), ("p", "o2"): (1, 0, "uncovered"), ("p", "o3"): (1, 1, "twice"), ("q", "o1"): (2, 0, "uncovered"), ("p", "o4"): (1, 0, "automatic"), ("p", "o5"): (0, 0, "uncovered")}
+
+
+def test_a_walk_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(hierarchy, "LEVEL", 0)
+    monkeypatch.setattr(hierarchy, "SEEN", 0)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 5), (3, 9)], "src long, dst long")
+    goals = spark.createDataFrame([("a", 7), ("b", 12), ("b", 2)], "goal string, node long")
+    got = {(x.goal, x.node) for x in hierarchy.reaching(edges, goals).collect()}
+    everything = set(range(13))
+    assert got == {("a", n) for n in everything} | {("b", n) for n in everything}

@@ -102,3 +102,14 @@ def test_attribution_says_where_it_was_cut(spark):
         got = graph.traced_attribution(make([(k, *v) for k, v in starts.items()], "access string, symbol int, confidence double"), make([(a, b, s) for (a, b), s in calls.items()], "caller int, callee int, confidence double"), make(list(owners.items()), "symbol int, owner string"), budget, cap, 3)
         want = {k: plain_climb(*v, up, owners, budget, cap, 3, 2) for k, v in starts.items()}
         assert {(x.access, x.owner): (round(x.confidence, 9), x.truncated) for x in got.collect()} == {(k, o): (round(c, 9), w[1]) for k, w in want.items() for o, c in w[0].items()}
+
+
+def test_a_trace_writes_no_step_and_nothing_beyond_its_last_level(spark, monkeypatch):
+    written, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: written.append(df.columns) or kept(df))
+    calls = spark.createDataFrame([(2, 1, 0.9), (3, 2, 0.8), (4, 3, 0.7)], "caller int, callee int, confidence double")
+    owners = spark.createDataFrame([(3, "o")], "symbol int, owner string")
+    found = graph.traced_attribution(spark.createDataFrame([("a", 1, 1.0)], "access string, symbol int, confidence double"), calls, owners, most_steps=3)
+    assert [tuple(x) for x in found.collect()] == [("a", "o", 0.8, 2, False, False)]
+    assert not any("access" in c and "caller" in c for c in written)
+    assert sum("penalised" in c and "owner" not in c for c in written) == 3

@@ -105,6 +105,8 @@ def test_attribution_says_where_it_was_cut(spark):
 
 
 def test_a_trace_writes_no_step_and_nothing_beyond_its_last_level(spark, monkeypatch):
+    from factloom.operators import graph
+
     written, kept = [], graph.kept
     monkeypatch.setattr(graph, "kept", lambda df: written.append(df.columns) or kept(df))
     calls = spark.createDataFrame([(2, 1, 0.9), (3, 2, 0.8), (4, 3, 0.7)], "caller int, callee int, confidence double")
@@ -113,3 +115,16 @@ def test_a_trace_writes_no_step_and_nothing_beyond_its_last_level(spark, monkeyp
     assert [tuple(x) for x in found.collect()] == [("a", "o", 0.8, 2, False, False)]
     assert not any("access" in c and "caller" in c for c in written)
     assert sum("penalised" in c and "owner" not in c for c in written) == 3
+
+
+def test_attribution_ends_at_owners_and_drops_other_last_callers(spark, monkeypatch):
+    from factloom.operators import graph
+
+    written, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: written.append(df) or kept(df))
+    calls = spark.createDataFrame([(2, 1, 0.9), (3, 2, 0.8), (4, 2, 0.7), (5, 4, 0.6)], "caller int, callee int, confidence double")
+    owners = spark.createDataFrame([(3, "o"), (4, "p"), (5, "q"), (1, None)], "symbol int, owner string")
+    accesses = spark.createDataFrame([(1, "r", "write", 1.0)], "symbol int, register string, mode string, confidence double")
+    assert sorted(tuple(x) for x in graph.attribution(accesses, calls, owners, depth=2).collect()) == [("o", "r", "write", 0.8), ("p", "r", "write", 0.7)]
+    # the callers, the accesses and one level between: the last one is not written
+    assert len(written) == 3

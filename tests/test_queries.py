@@ -61,3 +61,20 @@ def test_keyset_pages_cover_all_rows_once(spark):
             break
         after = page[5]
     assert seen == sorted((f"n{i % 5}", i) for i in range(23))
+
+
+def test_shortest_paths_look_no_further_than_the_target(spark, monkeypatch):
+    deepest, distances = [], graph._distances
+
+    def watched(*args):
+        found = distances(*args)
+        deepest.append(max(x.depth for x in found.collect()))
+        return found
+
+    monkeypatch.setattr(graph, "_distances", watched)
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "x"), ("x", "c"), ("c", "d"), ("d", "e"), ("b", "a")], "src string, dst string")
+    assert [(x.n, x.path) for x in graph.shortest_paths(e, "a", "c", 4, 5).collect()] == [(1, "a>b>c"), (2, "a>x>c")]
+    assert deepest == [2]
+    assert [tuple(x) for x in graph.shortest_paths(e, "a", "a", 4, 5).collect()] == [(1, "a")]
+    monkeypatch.setattr(graph, "SMALL", 0)  # both sides parted
+    assert {x.id: (x.depth, x.paths) for x in graph.shortest_path_counts(e, "a", 4).collect()} == {"a": (0, 1), "b": (1, 1), "x": (1, 1), "c": (2, 2), "d": (3, 2), "e": (4, 2)}

@@ -78,3 +78,20 @@ def test_shortest_paths_look_no_further_than_the_target(spark, monkeypatch):
     assert [tuple(x) for x in graph.shortest_paths(e, "a", "a", 4, 5).collect()] == [(1, "a")]
     monkeypatch.setattr(graph, "SMALL", 0)  # both sides parted
     assert {x.id: (x.depth, x.paths) for x in graph.shortest_path_counts(e, "a", 4).collect()} == {"a": (0, 1), "b": (1, 1), "x": (1, 1), "c": (2, 2), "d": (3, 2), "e": (4, 2)}
+
+
+def test_expansion_and_edges_are_made_distinct_in_parts_of_bounded_rows(spark, monkeypatch):
+    from factloom.operators import resolve
+    from factloom.sources import tables
+
+    monkeypatch.setattr(resolve, "ROWS", 20)
+    monkeypatch.setattr(tables, "LINES", 300)
+    monkeypatch.setattr(resolve, "side", lambda df, rows: df)  # neither side broadcast
+    e = [(f"a{i}", f"b{i % 7}", "k") for i in range(300)] * 2 + [(f"b{i}", "c", "other") for i in range(7)] + [(None, "b1", "k")]
+    anchors = spark.createDataFrame([("t", "x", f"b{i}") for i in range(7)] * 2 + [("u", "y", "a3"), ("u", "none", "a4")], "task string, intent string, id string")
+    got = resolve.expanded(anchors, spark.createDataFrame(e, "src string, dst string, kind string"), {"x": [("k", "in")], "y": [("k", "out")]})
+    assert sorted(tuple(r) for r in got.where("id IS NOT NULL").collect()) == sorted([("t", "k", f"a{i}", 1) for i in range(300)] + [("u", "k", "b3", 1)])
+    assert got.where("id IS NULL").count() == 1
+    assert max(got.rdd.glom().map(len).collect()) <= 40
+    own = tables.edges(spark, FOLDER).where("kind = 'part-supplier'")
+    assert own.rdd.getNumPartitions() > 20 and max(own.rdd.glom().map(len).collect()) <= 600

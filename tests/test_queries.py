@@ -95,3 +95,24 @@ def test_expansion_and_edges_are_made_distinct_in_parts_of_bounded_rows(spark, m
     assert max(got.rdd.glom().map(len).collect()) <= 40
     own = tables.edges(spark, FOLDER).where("kind = 'part-supplier'")
     assert own.rdd.getNumPartitions() > 20 and max(own.rdd.glom().map(len).collect()) <= 600
+
+
+def test_ranked_texts_are_parted_by_their_number_and_split_once(spark, monkeypatch):
+    from factloom.operators import search
+
+    written, keep = [], search.kept
+
+    def watched(df):
+        written.append((df.rdd.getNumPartitions(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return keep(df)
+
+    monkeypatch.setattr(search, "kept", watched)
+    monkeypatch.setattr(search, "TEXTS", 10, raising=False)
+    texts = [(i, "one two, two" if i % 2 else "three") for i in range(100)] + [(None, None), (None, " ,"), (7, ""), (7, "Two")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    per, stat = search.ranked_texts(docs, spark.createDataFrame([("two",), ("one",), ("two",)], "word string"), "a-z")
+    got = sorted((x.doc_id, x.n, sorted(map(tuple, x.hits))) for x in per.collect())
+    assert got == sorted([(i, 3, [("one", 1), ("two", 2)]) if i % 2 else (i, 1, []) for i in range(100)] + [(7, 1, [("two", 1)])])
+    assert tuple(stat.first()) == (101, (50 * 3 + 50 + 1) / 101)
+    (parts, plan), = written
+    assert parts > 10 and plan.count("split(lower(") == 1

@@ -35,11 +35,12 @@ def placed(found: DataFrame) -> DataFrame:
     """Lines with the ``routine`` that they stand in (null outside) and the path of their ``region``."""
     so_far = W.partitionBy("module").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     code = F.col("code")
-    mark = F.when(code.rlike(HEADING), F.regexp_extract(code, HEADING, 2)).when(code.rlike(END), "")
-    after_end = F.lag(code.rlike(END), 1, False).over(W.partitionBy("module").orderBy("line"))
+    after_end = F.lag("_end", 1, False).over(W.partitionBy("module").orderBy("line"))
     step = F.when(code.rlike(REGION), F.struct(F.lit(True).alias("opens"), F.regexp_extract(code, REGION, 1).alias("name"))).when(code.rlike(END_REGION), F.struct(F.lit(False).alias("opens"), F.lit("").alias("name")))
     path = F.aggregate(F.collect_list(step).over(so_far), F.array().cast("array<string>"), lambda s, x: F.when(x["opens"], F.array_append(s, x["name"])).otherwise(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))))
-    marked = found.withColumn("_mark", F.when(after_end & mark.isNull(), "").when(code.rlike(END), None).otherwise(mark))
+    # each pattern looks at a line once
+    flagged = found.select("module", "line", "code", F.nullif(F.regexp_extract(code, HEADING, 2), F.lit("")).alias("_head"), code.rlike(END).alias("_end"))
+    marked = flagged.withColumn("_mark", F.when(F.col("_end"), None).when(after_end & F.col("_head").isNull(), "").otherwise(F.col("_head")))
     return marked.select("module", "line", "code", F.nullif(F.last("_mark", ignorenulls=True).over(so_far), F.lit("")).alias("routine"), F.array_join(path, "/").alias("region"))
 
 
@@ -70,14 +71,16 @@ def register_accesses(found: DataFrame) -> DataFrame:
     direct = rf"{REGISTERS}\.({NAME})\.{READS}\("
     bind = rf"^\s*({NAME})\s*=\s*{REGISTERS}\.({NAME})\.{CREATES}\("
     use = rf"^\s*({NAME})\.({WRITES}|{CLEARS}|{LOADS})\("
-    reads = found.where(code.rlike(direct)).select("module", "line", F.regexp_extract(code, direct, 1).alias("register"), F.lit("read").alias("mode"), F.lit(SURE["direct"]).alias("confidence"))
-    name = F.when(code.rlike(bind), F.regexp_extract(code, bind, 1)).when(code.rlike(use), F.regexp_extract(code, use, 1))
+    part = lambda pattern, k: F.nullif(F.regexp_extract(code, pattern, k), F.lit(""))
     so_far = W.partitionBy("module", "routine", "name").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    touched = found.withColumn("name", name).where("name IS NOT NULL")
-    bound = touched.withColumn("register", F.last(F.when(code.rlike(bind), F.regexp_extract(code, bind, 2)), ignorenulls=True).over(so_far))
-    method = F.regexp_extract(code, use, 2)
+    # reads and uses are rows of one table, so lines are cut, placed and looked at once
+    touched = found.select("module", "routine", "line", "code", part(direct, 1).alias("read"), F.coalesce(part(bind, 1), part(use, 1)).alias("name")).where("read IS NOT NULL OR name IS NOT NULL")
+    bound = touched.select("module", "line", "read", part(use, 2).alias("method"), F.last(part(bind, 2), ignorenulls=True).over(so_far).alias("register"))
+    method = F.col("method")
     mode = F.when(method.rlike(f"^{WRITES}$"), "write").when(method.rlike(f"^{CLEARS}$"), "clear").otherwise("read")
-    return reads.union(bound.where(code.rlike(use) & F.col("register").isNotNull()).select("module", "line", "register", mode, F.lit(SURE["bound"])))
+    access = lambda register, how, sure: F.struct(register.alias("register"), how.alias("mode"), F.lit(SURE[sure]).alias("confidence"))
+    own = F.array(F.when(F.col("read").isNotNull(), access(F.col("read"), F.lit("read"), "direct")), F.when(method.isNotNull() & F.col("register").isNotNull(), access(F.col("register"), mode, "bound")))
+    return bound.select("module", "line", F.inline(F.filter(own, lambda x: x.isNotNull())))
 
 
 def is_query(c: Column) -> Column:

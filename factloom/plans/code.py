@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import code
 from ..sources import files
 from ..sources import tables as t
+from ..sources.shared import parted
 from .queries import query
 
+#: Lines of orders that one task makes source texts of and reads.
+LINES = 250_000
+
 _CODE = {
     "AF": 'Т = "ВЫБРАТЬ * ИЗ Док";', "AO": "Выборка = Запрос.Выполнить(); // Лишнее(1)", "NF": "О = РегистрыНакопления.Запас.Остатки(Дата);",
     "NO": 'Т = "ВЫБРАТЬ " + Поля;', "RF": "Н = РегистрыНакопления.Запас.СоздатьНаборЗаписей();", "RO": "Н.Записать();",
@@ -18,9 +22,12 @@ _LINES = "l AS (SELECT l_orderkey AS module, 1 + row_number() OVER (PARTITION BY
 
 def _found(s, d):
     """Lines of one module for each order: a heading, a line for each of its lines, the end."""
-    li = t.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("k"))
+    # few bytes of lines are much work, so they are parted by their number, and once for all that follows
+    rows = t.table(s, d, "lineitem")
+    few = parted(rows.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"), "l_orderkey", rows.count(), LINES)
+    li = few.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.concat("l_returnflag", "l_linestatus")).alias("k"))
     own = F.element_at(F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair]), F.col("k"))
-    body = li.groupBy(F.col("l_orderkey").alias("module")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", own.alias("code")))), lambda x: x["code"]).alias("c"))
+    body = li.groupBy(F.col("l_orderkey").alias("module")).agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", own.alias("code")))), lambda x: x["code"]).alias("c"))
     head = F.concat(F.lit("Процедура П"), "module", F.lit("(А, Знач Б = 1) Экспорт"))
     return code.lines(body.select("module", F.array_join(F.concat(F.array(head), "c", F.array(F.lit("КонецПроцедуры"), F.lit("А = 1;"))), "\n").alias("text")))
 

@@ -120,3 +120,16 @@ def test_walk_caps_and_leaves(spark):
     assert got == {"a": (0, "a", False), "b": (1, "a>b", False), "c": (1, "a>c", True), "d": (2, "a>b>d", False)}
     assert {r.id for r in graph.walk(e, ["a"], 3, node_cap=2).collect()} == {"a", "b"}
     assert {r.id for r in graph.walk(e, ["a"], 3, fan_cap=1).collect()} == {"a", "b", "d"}
+
+
+def test_accesses_cut_lines_once_in_parts_of_bounded_rows(spark, monkeypatch):
+    from factloom.plans import code as plan
+
+    source = "\n".join(["Процедура П()", "Н = РегистрыСведений.Два.СоздатьНаборЗаписей();", "Н.Записать(РегистрыНакопления.Один.Остатки(А));", "КонецПроцедуры", "Н.Записать();", "Процедура Р()", "Н.Очистить();", "КонецПроцедуры"])
+    found = code.register_accesses(code.placed(code.lines(spark.createDataFrame([(1, source), (2, ""), (3, None)], "module int, text string"))))
+    assert rows(found, "module", "line", "register", "mode", "confidence") == [(1, 3, "Два", "write", 0.85), (1, 3, "Один", "read", 0.95)]
+    monkeypatch.setattr(plan, "LINES", 300, raising=False)
+    df = plan.code_accesses(spark, "/root/testdata/sf0.001")
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert [shown.count(x) for x in ("Exchange", "Generate posexplode", "FileScan parquet")] == [1, 1, 1]
+    assert df.rdd.getNumPartitions() > 20

@@ -58,12 +58,16 @@ def write_warnings(handlers: DataFrame, subscriptions: DataFrame) -> DataFrame:
     ``handlers`` also have writes, moves and checks_load.
     """
     several = subscriptions.groupBy("object", "event").count().where("count > 1").select("object").distinct()
-    return union(
-        named("SubscriptionOrder", several, "object"),
-        named("MovementsUnavailable", handlers.where("moves AND event = 'BeforeWrite'").select("object").distinct(), "object"),
-        named("WriteInsideHandler", handlers.where("writes AND event = 'OnWrite'").select("object").distinct(), "object"),
-        named("NoExchangeLoadCheck", handlers.where("event IN ('BeforeWrite', 'OnWrite')").groupBy("object").agg(F.bool_and(~F.col("checks_load")).alias("never")).where("never"), "object"),
-    )
+    # one pass over the handlers says for each object which of their rules it breaks
+    event = F.col("event")
+    broken = {
+        "MovementsUnavailable": F.bool_or(F.col("moves") & (event == "BeforeWrite")),
+        "WriteInsideHandler": F.bool_or(F.col("writes") & (event == "OnWrite")),
+        "NoExchangeLoadCheck": F.bool_and(F.when(event.isin("BeforeWrite", "OnWrite"), ~F.col("checks_load"))),
+    }
+    own = handlers.groupBy("object").agg(*[c.alias(rule) for rule, c in broken.items()])
+    rules = F.filter(F.array(*[F.when(F.col(rule), rule) for rule in broken]), lambda r: r.isNotNull())
+    return union(named("SubscriptionOrder", several, "object"), own.select(F.explode(rules).alias("rule"), "object"))
 
 
 # Words that open and close a loop, in the two spellings.

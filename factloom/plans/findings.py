@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import findings
 from ..sources import facts
 from ..sources import tables as t
+from ..sources.shared import parted
 from .lookups import fact_query
 from .queries import query
 
@@ -34,11 +35,17 @@ _HANDLERS = f"""h AS (SELECT l_orderkey AS object, {_EVENT} AS event, min('h' ||
 u AS (SELECT DISTINCT l_orderkey AS object, {_EVENT} AS event, 's' || l_suppkey AS name FROM lineitem)"""
 
 
+#: Lines of orders that one task groups.
+LINES = 250_000
+
+
 def _handlers(s, d):
+    """Handlers and subscriptions of objects; either has its lines parted by their number and object, once for all that follows."""
     event = F.element_at(F.array(*map(F.lit, (*findings.EVENTS, "Other"))), F.least(F.col("l_linenumber"), F.lit(5)))
-    li = t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("object"), event.alias("event"), "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = t.table(s, d, "lineitem").select(F.col("l_orderkey").alias("object"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    li = parted(rows, "object", rows.count(), LINES).withColumn("event", event)
     h = li.groupBy("object", "event").agg(F.min(F.concat(F.lit("h"), "l_partkey")).alias("name"), F.bool_or(F.col("l_returnflag") == "R").alias("writes"), F.bool_or(F.col("l_returnflag") == "A").alias("moves"), F.bool_or(F.col("l_linestatus") == "F").alias("checks_load"))
-    return h, li.select("object", "event", F.concat(F.lit("s"), "l_suppkey").alias("name")).distinct()
+    return h, li.select("object", "event", "l_suppkey").distinct().select("object", "event", F.concat(F.lit("s"), "l_suppkey").alias("name"))
 
 
 @query(f"""WITH {_HANDLERS}, e AS (SELECT object, event, 'handler' AS source, name FROM h UNION ALL SELECT object, event, 'subscription', name FROM u)

@@ -116,3 +116,19 @@ def test_ranked_texts_are_parted_by_their_number_and_split_once(spark, monkeypat
     assert tuple(stat.first()) == (101, (50 * 3 + 50 + 1) / 101)
     (parts, plan), = written
     assert parts > 10 and plan.count("split(lower(") == 1
+
+
+def test_write_warnings_part_lines_by_their_objects_and_move_them_twice(spark, monkeypatch):
+    from factloom.operators import findings
+    from factloom.plans import findings as plan
+
+    h = [(1, "BeforeWrite", "a", True, True, False), (1, "OnWrite", "b", True, True, None), (2, "OnWrite", "c", False, True, True), (2, "Posting", "d", True, True, False), (3, None, "e", True, True, False), (None, "OnWrite", "f", True, None, False), (4, "OnWrite", "g", None, None, None)]
+    handlers = spark.createDataFrame(h, "object long, event string, name string, writes boolean, moves boolean, checks_load boolean")
+    subscriptions = spark.createDataFrame([(1, "OnWrite", "s"), (1, "Posting", "s"), (2, "OnWrite", "s"), (2, "OnWrite", "r"), (2, "Posting", "s"), (2, "Posting", "r")], "object long, event string, name string")
+    got = sorted(((x.rule, x.object) for x in findings.write_warnings(handlers, subscriptions).collect()), key=str)
+    assert got == sorted([("SubscriptionOrder", 2), ("MovementsUnavailable", 1), ("WriteInsideHandler", 1), ("WriteInsideHandler", None), ("NoExchangeLoadCheck", 1), ("NoExchangeLoadCheck", None)], key=str)
+    monkeypatch.setattr(plan, "LINES", 300, raising=False)
+    df = plan.write_warnings(spark, FOLDER)
+    shown = df._jdf.queryExecution().executedPlan().toString()
+    assert (shown.count("Exchange hashpartitioning"), shown.count("FileScan parquet")) == (2, 2)
+    assert df.rdd.getNumPartitions() > 20

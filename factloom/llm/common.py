@@ -91,7 +91,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     both = saved(real.union(real.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
     few = labels.count() <= BROADCAST_IDS // 4
-    side = lambda df: F.broadcast(df) if few else df
+    side = lambda df: F.broadcast(df) if few else df.hint("merge")
     while True:
         near = both.join(side(labels.select(F.col("id").alias("b"), "component")), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = saved(labels.join(side(near), "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old")))
@@ -108,4 +108,4 @@ def join_ids(df: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
     wide rows of ``df`` stay where they are; beyond that both sides are shuffled.
     """
     few = saved(ids)
-    return df.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, column, how)
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few.hint("merge"), column, how)

@@ -101,7 +101,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         # flipping set bits is enough: of two fingerprints that differ in one bit, one has it set
         tries.append(f"transform(filter(array({', '.join(f'{x}L' for x in [0, *flips])}), f -> f = 0 OR (fp & f) <> 0), f -> struct({i} AS ring, {key} ^ f AS key, f = 0 AS same))")
     probe = fps.select(F.col("fp").alias("x"), F.expr(f"inline(concat({', '.join(tries)}))"))
-    pairs = home.join(probe, ["ring", "key"]).where("CASE WHEN same THEN x < y ELSE x <> y END").where(f"bit_count(x ^ y) <= {max_bits}")
+    # Spark sizes what an inline makes by the rows before it, so neither side is left to be broadcast
+    pairs = home.join(probe.hint("merge"), ["ring", "key"]).where("CASE WHEN same THEN x < y ELSE x <> y END").where(f"bit_count(x ^ y) <= {max_bits}")
     for n in range(3, m):
         ok = " ".join(f"WHEN {i} THEN bit_count((x ^ y) & {_signed(chain[i][n])}L) <= {n * max_bits // m}" for i in range(m))
         pairs = pairs.where(f"CASE ring {ok} END")

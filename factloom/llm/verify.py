@@ -28,7 +28,7 @@ CELL_SHINGLES, WIDTH = 1 << 19, 1_024
 
 def with_few(df: DataFrame, table: DataFrame, on: str, how: str = "left") -> DataFrame:
     """A join with a saved table that is broadcast if its counted rows are few."""
-    return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table, on, how)
+    return df.join(F.broadcast(table) if table.count() <= BROADCAST_IDS // 4 else table.hint("merge"), on, how)
 
 
 def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:

@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ma
     # proportion to them: with the first of a band, and with a fingerprint's owner
     band = distinct.select("doc_id", F.posexplode("bands").alias("k", "band"))
     lead = band.groupBy("k", "band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("high")).where("a < high").drop("high")
-    candidates = band.join(lead, ["k", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"))
+    candidates = band.join(lead.hint("merge"), ["k", "band"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"))
     owner = distinct.groupBy("fp").agg(F.min("doc_id").alias("id"))
     near = links(distinct.select("fp").distinct(), max_bits)
     by_fp = near.join(owner.select(F.col("fp").alias("a"), F.col("id").alias("x")), "a").join(owner.select(F.col("fp").alias("b"), F.col("id").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))

@@ -2,7 +2,7 @@
 
 import random
 
-from factloom.operators import context
+from factloom.operators import context, search
 
 
 def plain_walk(edges, root, depth, node_cap, fan_cap):
@@ -128,3 +128,46 @@ def test_attribution_ends_at_owners_and_drops_other_last_callers(spark, monkeypa
     assert sorted(tuple(x) for x in graph.attribution(accesses, calls, owners, depth=2).collect()) == [("o", "r", "write", 0.8), ("p", "r", "write", 0.7)]
     # the callers, the accesses and one level between: the last one is not written
     assert len(written) == 3
+
+
+def test_blocks_that_admit_nothing_are_not_folded(spark):
+    r = random.Random(3)
+    rows = [(t, "ab"[r.randrange(2)], f"i{k:03}", r.choice([3, 5, 8, 40]) if k < 60 or t % 2 else 90, r.random()) for t in range(6) for k in range(20 * t + 1)]
+    # one candidate of a late block still fits
+    rows += [(9, "a", f"i{k:03}", 1 if k == 77 else 30, 1.0 - k / 100) for k in range(90)]
+    rows += [(None, "a", f"i{k:03}", 7, 1.0 - k / 100) for k in range(35)]
+    df = spark.createDataFrame(rows, "task int, category string, id string, cost long, score double")
+    folds = []
+    original = search.kept
+    try:
+        search.kept = lambda x: folds.append(x) or original(x)
+        got = {(x.task, x.id): (x.used, x.admitted) for x in search.packed_context(df, ["b"], 100, block=10).collect()}
+    finally:
+        search.kept = original
+    want = {}
+    for t in {x[0] for x in rows}:
+        used = 0
+        for _, _, i, cost, _ in sorted((x for x in rows if x[0] == t), key=lambda x: (x[1] != "b", -x[4], x[2])):
+            ok = used + cost <= 100
+            used += cost * ok
+            want[t, i] = (used, ok)
+    assert got == want
+    assert want[9, "i077"][1] and len(folds) < 11  # of eleven blocks
+
+
+def test_only_what_leads_on_from_the_nodes_is_asked_for(spark):
+    relations = [("calls", f"s{k}", f"s{(k * 7 + n) % 40}", 0.5 + n / 10) for k in range(40) for n in range(3)] + [("body", f"s{k}", f"b{k}", 1.0) for k in range(40)] + [("handlers", "f", "s5", 1.0), ("same_name", "s1", "s2", 0.7)]
+    df = spark.createDataFrame(relations, "relation string, src string, dst string, confidence double")
+    anchors = spark.createDataFrame([(1, "bugfix", "s1", 1.0), (2, "form", "f", 1.0), (3, "signature-change", "s1", 0.6)], "task int, intent string, id string, strength double")
+    asked = set()
+
+    def leads(direction, wanted):
+        asked.update((direction, x.relation, x.node) for x in wanted.collect())
+        return context._leads(df, direction, wanted).join(wanted, ["relation", "node"], "left_semi")
+
+    whole, some = (context.expanded(anchors, x) for x in (df, leads))
+    for a, b in zip(whole, some):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert ("in", "calls", "s1") in asked and ("out", "body", "s5") in asked and ("out", "calls", "s5") in asked
+    # the first steps of two intents, the walk of one, and what the form's handler does
+    assert {n for _, r, n in asked if r == "body"} == {"s1", "s5"} and {n for w, r, n in asked if w == "in"} == {"s1"}
